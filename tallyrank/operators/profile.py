@@ -69,7 +69,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     grid = edges.where("lo is not null").select(
-        "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin")
+        "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
     )
     width = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counted, "bin", "left").select(

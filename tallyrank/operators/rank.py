@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrank.spec import Stage
@@ -49,6 +49,22 @@ def _cut(df: DataFrame, by: list[str], ordering: list, limit: int, name: str) ->
     return df.withColumn(name, F.row_number().over(window).cast("bigint")).where(F.col(name) <= limit)
 
 
+def kth_floor(df: DataFrame, values: dict[str, Column], k: int, key: str, parts: int = 1024) -> DataFrame:
+    """One struct: per value a bound at or below its k-th largest, NULL with too few rows.
+
+    Rows are split by a hash of ``key`` into a fixed number of parts. The maxima
+    of the parts belong to different rows, so the k-th largest of them never lies
+    above the k-th largest of all rows, and with many parts it lies close to it.
+    """
+    parts = max(parts, 8 * k)
+    tops = df.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")).agg(
+        *[F.max(v).alias(name) for name, v in values.items()]
+    )
+    return tops.agg(F.struct(*[
+        F.get(F.sort_array(F.collect_list(name), asc=False), F.lit(k - 1)).alias(name) for name in values
+    ]).alias("floor"))
+
+
 def cascade(
     df: DataFrame, stages: Sequence[Stage], *, by: Sequence[str] = (), tie: str = "id"
 ) -> DataFrame:

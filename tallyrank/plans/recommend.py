@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyrank.functions.scalars import parse_flag
 from tallyrank.functions.text import any_flag, contains_flag, keyword_score, normalise, odds
 from tallyrank.operators.impute import dropna_any
-from tallyrank.operators.rank import cascade
+from tallyrank.operators.rank import cascade, kth_floor
+from tallyrank.session import write_through
 from tallyrank.spec import CUTS, PRIORITIES, ItemSpec, LineSpec, Stage, Terms
 
 KEYS = ("name", "place", "priority", "song", "politics")
@@ -109,56 +110,93 @@ def ranking_stages(terms: Terms, cuts: Sequence[int] = CUTS, top: int = 1) -> li
     ]
 
 
-def candidate_rows(
-    items: DataFrame, scores: DataFrame, terms: Terms,
-    priorities: Sequence[str] = PRIORITIES, spec: ItemSpec = ItemSpec(),
+def ranked_items(
+    items: DataFrame, scores: DataFrame, terms: Terms, spec: ItemSpec = ItemSpec()
 ) -> DataFrame:
-    """One row per complete item and (name, place, priority) with the odds to rank by.
+    """Complete items with their scores and the odds of every name and place.
 
-    When the place comes first, items without a matching place sort behind all
-    others and are dropped right after the first cut, so they are left out here.
+    The joined scores are written once: they are read twice, first for the floors
+    of the cut and then for the ranking, and the lines are to be scanned once.
     """
-    ranked = complete_items(items, spec).select(
+    joined = complete_items(items, spec).select(
         F.col(spec.key).alias("id"), F.col(spec.rating).alias("rating")
     ).join(scores, "id")
-    per_name = _odds_rows("name", terms.names, "matched_names")
-    per_place = _odds_rows("place", terms.places, "matched_places")
-    wide = ranked.select(
-        "id", "rating", "n_lines", F.col("song").alias("song_score"),
-        F.col("topic").alias("topic_score"), per_name.alias("_names"), per_place.alias("_places"),
-    )
-    base = ("id", "rating", "n_lines", "song_score", "topic_score")
-    crossed = wide.select(*base, "_names", F.inline("_places")).select(
-        *base, "place", "place_odds", F.inline("_names")
+    return write_through(joined, "scores").select(
+        "id", "rating", "n_lines",
+        F.col("song").alias("song_score"), F.col("topic").alias("topic_score"),
+        _odds_rows(terms.names, "matched_names").alias("name_rows"),
+        _odds_rows(terms.places, "matched_places").alias("place_rows"),
     )
-    usable = [
-        F.lit(p) if p == PRIORITIES[0] else F.when(F.col("place_odds") > 0, F.lit(p))
-        for p in priorities
-    ]
-    expanded = crossed.withColumn("priority", F.explode(F.array_compact(F.array(*usable))))
-    name_first = F.col("priority") == PRIORITIES[0]
-    return expanded.withColumns({
-        "primary_odds": F.when(name_first, F.col("name_odds")).otherwise(F.col("place_odds")),
-        "secondary_odds": F.when(name_first, F.col("place_odds")).otherwise(F.col("name_odds")),
-    })
 
 
-def _odds_rows(dimension: str, terms: Sequence[str], matched: str) -> Column:
+def _odds_rows(wanted: Sequence[str], matched: str) -> Column:
     return F.array(*[
         F.struct(
-            F.lit(t).alias(dimension),
-            odds(F.col(matched)[i], F.col("n_lines") - F.col(matched)[i]).alias(f"{dimension}_odds"),
+            F.lit(t).alias("term"),
+            odds(F.col(matched)[i], F.col("n_lines") - F.col(matched)[i]).alias("odds"),
         )
-        for i, t in enumerate(terms)
+        for i, t in enumerate(wanted)
     ])
 
 
+def candidate_rows(
+    ranked: DataFrame, terms: Terms, first_cut: int, priorities: Sequence[str] = PRIORITIES
+) -> DataFrame:
+    """One row per item and (name, place, priority) that may survive the first cut.
+
+    The first cut takes the best ``first_cut`` items by the leading odds, so only
+    items at or above a floor known to lie at or below that many items of the
+    term need to be spread over the second dimension. When the place leads,
+    items without a matching place sort last and fall right after the cut; they
+    are left out at once.
+    """
+    dimensions = {
+        PRIORITIES[0]: ("name_rows", terms.names, F.lit(0.0), "place_rows"),
+        PRIORITIES[1]: ("place_rows", terms.places, F.lit(5e-324), "name_rows"),
+    }
+    leads, floors = [], {}
+    for priority in priorities:
+        rows, wanted, least, _ = dimensions[priority]
+        for i, term in enumerate(wanted):
+            value, name = F.col(rows)[i]["odds"], f"{rows}_{i}"
+            floors[name] = value
+            leads.append((priority, term, value, name, least))
+    floor = kth_floor(ranked, floors, first_cut, "id").scalar()
+    leading = F.array_compact(F.array(*[
+        F.when(
+            value >= F.greatest(F.coalesce(floor[name], least), least),
+            F.struct(
+                F.lit(priority).alias("priority"), F.lit(term).alias("lead"), value.alias("primary_odds")
+            ),
+        )
+        for priority, term, value, name, least in leads
+    ]))
+    name_first = F.col("priority") == PRIORITIES[0]
+    base = ["id", "rating", "n_lines", "song_score", "topic_score"]
+    spread = (
+        ranked.select(*base, "name_rows", "place_rows", F.inline(leading))
+        .select(
+            *base, "priority", "lead", "primary_odds",
+            F.inline(F.when(name_first, F.col("place_rows")).otherwise(F.col("name_rows"))),
+        )
+        .withColumnRenamed("odds", "secondary_odds")
+    )
+    return spread.select(
+        *base, "priority", "primary_odds", "secondary_odds",
+        F.when(name_first, F.col("lead")).otherwise(F.col("term")).alias("name"),
+        F.when(name_first, F.col("term")).otherwise(F.col("lead")).alias("place"),
+        F.when(name_first, F.col("primary_odds")).otherwise(F.col("secondary_odds")).alias("name_odds"),
+        F.when(name_first, F.col("secondary_odds")).otherwise(F.col("primary_odds")).alias("place_odds"),
+    )
+
+
 def winners(
     items: DataFrame, scores: DataFrame, terms: Terms,
     cuts: Sequence[int] = CUTS, top: int = 1, spec: ItemSpec = ItemSpec(),
 ) -> DataFrame:
     """The best item(s) for every preference combination that has one."""
-    candidates = candidate_rows(items, scores, terms, spec=spec)
+    ranked = ranked_items(items, scores, terms, spec)
+    candidates = candidate_rows(ranked, terms, cuts[0])
     return cascade(candidates, ranking_stages(terms, cuts, top), by=KEYS[:3])
 
 
@@ -215,7 +253,8 @@ def recommend_one(
     scores = line_scores(lines, one, line_spec)
     # any priority but the first means the place comes first
     priority = PRIORITIES[0] if preference["priority"] == PRIORITIES[0] else PRIORITIES[1]
-    candidates = candidate_rows(items, scores, one, (priority,), item_spec).withColumns(
+    ranked = ranked_items(items, scores, one, item_spec)
+    candidates = candidate_rows(ranked, one, cuts[0], (priority,)).withColumns(
         {"song": F.lit(preference["song"]), "politics": F.lit(preference["politics"])}
     )
     stages = [
