@@ -420,3 +420,54 @@ SQL["feature_target_pairs"] = _with(
         for c in ("title_len", "mean_words", "group_share", "max_words")
     ), "items", "lines", **_FEATURE_VIEWS,
 )
+
+# --- rating models: the split and the nearest neighbours, by comparing all pairs ---
+
+_BUCKET = "('0x' || substr(md5(cast(id as varchar)), 1, 8))::bigint % 100"
+SQL["train_test_split"] = _with(
+    f"select id, case when {_BUCKET} < 80 then 'train' else 'test' end as split from items", "items"
+)
+
+MODEL_FEATURES = (
+    "id", "number_in_season", "title_len", "cycle_year", "mean_words", "max_words", "group_share", "n_places",
+)
+_TAGGED = f"select *, case when {_BUCKET} < 80 then 'train' else 'test' end as split from imputed"
+_DISTANCE = " + ".join(f"pow(t.{f}::double - q.{f}::double, 2)" for f in MODEL_FEATURES)
+
+
+def _near(asked: str) -> str:
+    return f"""
+select q.id as q_id, min({{'d': {_DISTANCE}, 'id': t.id, 'y': t.rating}}, 5) as best
+from {asked} q, (select * from tagged where split = 'train') t group by q.id"""
+
+
+_MODEL_VIEWS = {**_FEATURE_VIEWS, "imputed": _IMPUTED, "tagged": _TAGGED}
+_NEIGHBOURS = """
+select id, split, rating, list_avg(list_transform(best, lambda b: b.y)) as predicted
+from tagged join near on q_id = id"""
+_KNN_VIEWS = {**_MODEL_VIEWS, "near": _near("tagged"), "neighbours": _NEIGHBOURS}
+
+SQL["knn_regress"] = _with(
+    "select id, split, round(rating, 6) as rating, round(predicted, 6) as predicted from neighbours",
+    "items", "lines", **_KNN_VIEWS,
+)
+SQL["rmse"] = _with(
+    "select split, round(sqrt(avg(pow(rating - predicted, 2))), 6) as rmse from neighbours group by split",
+    "items", "lines", **_KNN_VIEWS,
+)
+SQL["predicted_vs_actual"] = _with(
+    """select id, round(rating, 6) as rating, round(predicted, 6) as predicted, position
+from (select *, row_number() over (order by id) - 1 as position from neighbours) where position % 4 = 0""",
+    "items", "lines", **_KNN_VIEWS,
+)
+SQL["recommend_enriched"] = _with(
+    f"""select name, place, priority, song, politics, {_FILLED},
+  coalesce(round(list_avg(list_transform(best5, lambda b: b.y)), 6), 0) as predicted
+from grid left join (
+  select b.name, b.place, b.priority, b.song, b.politics, i.id, i.title, i.rating, i.image, i.link,
+    near.best as best5
+  from best b join items i on i.id = b.id join near on q_id = b.id
+) using (name, place, priority, song, politics)""",
+    "items", "lines", **_cascade(1), **_MODEL_VIEWS,
+    near=_near("(select * from tagged where id in (select id from best))"),
+)

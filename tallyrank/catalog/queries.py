@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tallyrank.catalog import fixtures as fx
 from tallyrank.functions import scalars, text
+from tallyrank.ml import compare, knn, search, split, stack
 from tallyrank.operators import aggregate, impute, ordering, profile, rank
 from tallyrank.plans import charts, features, recommend
-from tallyrank.session import scratch_path
+from tallyrank.session import scratch_path, write_through
 from tallyrank.sources import tables
 from tallyrank.spec import ItemSpec, LineSpec
 
@@ -477,3 +478,168 @@ def feature_target_pairs(spark, sf):
         _features(spark, sf), "id", "rating", ["title_len", "mean_words", "group_share", "max_words"]
     )
     return pairs.withColumn("x", F.round("x", 6))
+
+
+# --- rating models -----------------------------------------------------------
+# Rounds and trees are kept small here; the defaults of the library are larger.
+
+SMALL_FIRST = {"maxIter": 6}
+SMALL_SECOND = {"maxIter": 6}
+
+
+def _model_table(spark, sf):
+    """The imputed feature table, written once: every fit reads it many times."""
+    return write_through(features.model_table(_features(spark, sf)), "model-table")
+
+
+@query
+def train_test_split(spark, sf):
+    return split.with_split(fx.items(spark, sf).select("id"))
+
+
+def _neighbours(table):
+    tagged = split.with_split(table)
+    train = tagged.where(F.col("split") == "train")
+    near = knn.knn_predict(train, tagged, features.FEATURES, "rating")
+    return tagged.select("id", "split", "rating").join(near, "id")
+
+
+@query
+def knn_regress(spark, sf):
+    return _neighbours(_model_table(spark, sf)).withColumns(
+        {c: F.round(c, 6) for c in ("rating", "predicted")}
+    )
+
+
+@query
+def rmse(spark, sf):
+    scored = _neighbours(_model_table(spark, sf))
+    return scored.groupBy("split").agg(F.round(split.rmse("rating", "predicted"), 6).alias("rmse"))
+
+
+@query
+def predicted_vs_actual(spark, sf):
+    """Every fourth item by id, with its predicted and its actual rating."""
+    series = charts.predicted_vs_actual(_neighbours(_model_table(spark, sf)))
+    return ordering.strided_sample(series, "id", 0, None, 4).withColumns(
+        {c: F.round(c, 6) for c in ("rating", "predicted")}
+    )
+
+
+@query
+def recommend_enriched(spark, sf):
+    """The recommendation table with the predicted rating next to the actual one."""
+    items, table = fx.items(spark, sf), _model_table(spark, sf)
+    found = recommend.winners(items, _scores(spark, sf), fx.TERMS)
+    train = split.with_split(table).where(F.col("split") == "train")
+    wanted = table.join(F.broadcast(found.select("id").distinct()), "id")
+    predictions = knn.knn_predict(train, wanted, features.FEATURES, "rating")
+    records = recommend.enrich(found, items, predictions)
+    grid = recommend.preference_grid(spark.range(1), fx.TERMS.names, fx.TERMS.places).drop("id")
+    default = {**fx.DEFAULT, "predicted": 0.0}
+    return recommend.with_default(grid, records, recommend.KEYS, default).withColumn(
+        "predicted", F.round("predicted", 6)
+    )
+
+
+def _fitted(spark, sf, estimator):
+    vectors = stack.assembler().transform(split.with_split(_model_table(spark, sf)))
+    model = estimator.fit(vectors.where(F.col("split") == "train"))
+    return model.transform(vectors).select("id", "split", "rating", "predicted")
+
+
+@query
+def adaboost_r2(spark, sf):
+    return _fitted(spark, sf, compare.boosting(rounds=8))
+
+
+@query
+def gbt_regress(spark, sf):
+    return _fitted(spark, sf, compare.gradient_boosting(rounds=8, lossType="absolute"))
+
+
+@query
+def forest_regress(spark, sf):
+    return _fitted(spark, sf, compare.forest(trees=20, depth=8))
+
+
+@query
+def cv_rmse(spark, sf):
+    vectors = stack.assembler().transform(_model_table(spark, sf))
+    errors = {
+        ("boosting", "cv"): search.cv_rmse(compare.boosting(rounds=3), vectors, 4),
+        ("gradient_boosting", "cv"): search.cv_rmse(compare.gradient_boosting(rounds=3), vectors, 5),
+    }
+    return stack.error_rows(spark, errors)
+
+
+@query
+def random_search(spark, sf):
+    """The drawn settings with their mean score over the folds."""
+    vectors = stack.assembler().transform(_model_table(spark, sf))
+    learner = compare.gradient_boosting()
+    space = {
+        learner.maxDepth: search.GRADIENT_DEPTHS, learner.stepSize: search.GRADIENT_RATES,
+        learner.maxIter: search.Between(2, 5),
+    }
+    found = search.random_search(learner, vectors, space, draws=2, folds=4)
+    rows = [
+        (i, *[float(settings[p]) for p in space], float(score))
+        for i, (settings, score) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics))
+    ]
+    return spark.createDataFrame(rows, "draw int, max_depth double, step_size double, max_iter double, r2 double")
+
+
+def _stack(spark, table):
+    """A stack with fixed settings, fitted on the training rows."""
+    train, _ = split.train_test_split(table)
+    return stack.stack_pipeline(
+        stack.first_stage(**SMALL_FIRST), stack.second_stage(**SMALL_SECOND)
+    ).fit(train)
+
+
+@query
+def stack_regress(spark, sf):
+    table = _model_table(spark, sf)
+    return _stack(spark, table).transform(split.with_split(table)).select(
+        "id", "split", "rating", stack.FIRST, "predicted"
+    )
+
+
+@query
+def retrain_until(spark, sf):
+    """A whole training run with small search ranges: the errors of both stages."""
+    first, second = stack.first_stage(), stack.second_stage()
+    result = stack.train_stack(
+        _model_table(spark, sf), draws=1, folds=2, max_rounds=2,
+        first_params={"maxIter": 3}, second_params={"maxIter": 3},
+        first_space={
+            first.loss: search.BOOST_LOSSES, first.stepSize: search.BOOST_RATES,
+            first.maxIter: search.Between(2, 5),
+        },
+        second_space={
+            second.maxDepth: search.GRADIENT_DEPTHS, second.stepSize: search.GRADIENT_RATES,
+            second.maxIter: search.Between(3, 6),
+        },
+    )
+    return stack.error_rows(spark, result.errors)
+
+
+@query
+def batch_score(spark, sf):
+    """All items scored with a saved and reloaded stack."""
+    table, path = _model_table(spark, sf), scratch_path(spark, "stack")
+    stack.save_model(_stack(spark, table), path)
+    return stack.batch_score(stack.load_model(path), table, fx.items(spark, sf))
+
+
+@query
+def model_comparison(spark, sf):
+    table = _model_table(spark, sf)
+    return compare.compare_models(table, _stack(spark, table), trees=10, rounds=5, depth=8)
+
+
+@query
+def feature_importance(spark, sf):
+    model = _stack(spark, _model_table(spark, sf))
+    return charts.labelled_importances(stack.feature_importances(spark, model))

@@ -41,10 +41,30 @@ def with_ranges(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame
     return tagged.withColumn(RANGE, F.col(RANGE).cast("int")).drop("_order")
 
 
-def _carry(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Joins the one-row-per-range table. Without groups it has at most one row per
-    range, which bounds the broadcast; with groups Spark chooses by size."""
-    return df.join(small if by else F.broadcast(small), [*by, RANGE], "left")
+def _carry(df: DataFrame, small: DataFrame, by: Sequence[str], bounded: bool) -> DataFrame:
+    """Joins the one-row-per-range table; a bounded number of groups bounds its size."""
+    return df.join(F.broadcast(small) if bounded else small, [*by, RANGE], "left")
+
+
+def _accumulate(
+    tagged: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, bounded: bool
+) -> DataFrame:
+    """Running sum ``out`` and group total ``_total`` over rows that carry their range."""
+    inside = Window.partitionBy(*by, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        tagged.groupBy(*by, RANGE).agg(F.sum(value).alias("_sum"))
+        .select(
+            *by, RANGE, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+            F.sum("_sum").over(Window.partitionBy(*by)).alias("_total"),
+        )
+    )
+    placed = tagged.withColumn("_inside", F.sum(value).over(inside))
+    return (
+        _carry(placed, offsets, by, bounded)
+        .withColumn(out, F.col("_inside") + F.col("_before"))
+        .drop("_inside", "_before", RANGE)
+    )
 
 
 def running_total(
@@ -54,28 +74,21 @@ def running_total(
     out: str,
     *,
     by: Sequence[str] = (),
+    tie: Sequence[str] = (),
     ranges: int | None = None,
-    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` in the order of a unique numeric column."""
+    """Inclusive running sum of ``value`` in the order of a numeric column.
+
+    Where that column is not unique, ``tie`` names the columns that settle the
+    order of equal values.
+    """
     by = list(by)
-    if bounds is None:
-        bounds = range_bounds(df, [order], range_count(df, ranges))[0]
+    bounds = range_bounds(df, [order], range_count(df, ranges))[0]
     tagged = with_ranges(df, order, bounds).withColumn(
         "_value", F.col(value) if isinstance(value, str) else value
     )
-    inside = Window.partitionBy(*by, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*by, RANGE).agg(F.sum("_value").alias("_sum"))
-        .select(*by, RANGE, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    )
-    placed = tagged.withColumn("_inside", F.sum("_value").over(inside))
-    return (
-        _carry(placed, offsets, by)
-        .withColumn(out, F.col("_inside") + F.col("_before"))
-        .drop("_value", "_inside", "_before", RANGE)
-    )
+    placed = _accumulate(tagged, by, [order, *tie], "_value", out, bounded=not by)
+    return placed.drop("_value", "_total")
 
 
 def row_positions(df: DataFrame, order: str, out: str = "position", **options) -> DataFrame:
@@ -126,7 +139,7 @@ def backfill(
         {f"_local_{c}": F.first(c, ignorenulls=True).over(inside) for c in columns}
     )
     filled = {c: F.coalesce(F.col(f"_local_{c}"), F.col(f"_next_{c}")) for c in columns}
-    return _carry(local, following, by).select(
+    return _carry(local, following, by, bounded=not by).select(
         *[filled[c].alias(c) if c in filled else F.col(c) for c in names]
     )
 
@@ -137,36 +150,38 @@ def exact_quantiles(
     """Exact, linearly interpolated quantiles: one row per column, one field per probability.
 
     Equal values are counted together before anything is ordered, so repeated
-    values cost one row and the order is built over distinct values only.
+    values cost one row and the order is built over distinct values only. All
+    columns go through the same three shuffles.
     """
-    bounds = range_bounds(df, columns, range_count(df, ranges))
-    rows = [
-        _column_quantiles(df.select(F.col(c).cast("double").alias("value")), c, probabilities, b)
-        for c, b in zip(columns, bounds)
-    ]
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
-
-
-def _column_quantiles(
-    values: DataFrame, name: str, probabilities: Sequence[float], bounds: Sequence[float]
-) -> DataFrame:
+    columns = list(columns)
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    bounds = range_bounds(wide, columns, range_count(df, ranges))
+    tagged = Bucketizer(
+        splitsArray=[[float("-inf"), *b, float("inf")] for b in bounds],
+        inputCols=columns, outputCols=[f"{RANGE}_{c}" for c in columns], handleInvalid="keep",
+    ).transform(wide)
+    values = F.inline(F.array(*[
+        F.struct(
+            F.lit(c).alias("metric"), F.col(c).alias("value"),
+            F.col(f"{RANGE}_{c}").cast("int").alias(RANGE),
+        )
+        for c in columns
+    ]))
     counts = (
-        values.where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        tagged.select(values).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .groupBy("metric", RANGE, "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    placed = running_total(counts, "value", "n", "upto", bounds=bounds)
+    placed = _accumulate(counts, ["metric"], ["value"], "n", "_upto", bounded=True)
     ends, picks = [], []
     for i, p in enumerate(probabilities):
-        rank = F.lit(float(p)) * (total - 1)
+        rank = F.lit(float(p)) * (F.col("_total") - 1)
         for side, edge in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            ends.append(F.min(F.when(F.col("upto") > edge, F.col("value"))).alias(f"{side}{i}"))
+            ends.append(F.min(F.when(F.col("_upto") > edge, F.col("value"))).alias(f"{side}{i}"))
         weight = rank - F.floor(rank)
-        picks.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * weight).alias(quantile_name(p)))
-    return placed.agg(*ends).select(F.lit(name).alias("metric"), *picks)
+        picks.append(
+            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * weight).alias(quantile_name(p))
+        )
+    return placed.groupBy("metric").agg(F.max("_total").alias("_total"), *ends).select("metric", *picks)
 
 
 def quantile_name(p: float) -> str:

@@ -32,7 +32,7 @@ def _stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
     quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75), ranges)
-    return _stats(df, columns).join(quartiles, "metric").select(
+    return _stats(df, columns).join(quartiles, "metric", "left").select(
         "metric", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
@@ -40,7 +40,7 @@ def describe(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -
 def metric_summary(df: DataFrame, columns: Sequence[str], digits: int = 1) -> DataFrame:
     """Deviation, mean, median and maximum per column, rounded half to even."""
     medians = exact_quantiles(df, columns, (0.5,)).withColumnRenamed("p50", "median")
-    joined = _stats(df, columns).join(medians, "metric")
+    joined = _stats(df, columns).join(medians, "metric", "left")
     return joined.select(
         "metric", *[round_even(c, digits).alias(c) for c in ("std", "mean", "median", "max")]
     )
