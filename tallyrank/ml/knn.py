@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.operators.ordering import running_total
+from tallyrank.operators.ordering import range_bounds, range_count, running_total
+from tallyrank.operators.rank import topk
+from tallyrank.session import write_through
 
 
 def widest_feature(df: DataFrame, features: Sequence[str]) -> str:
@@ -26,94 +28,84 @@ def widest_feature(df: DataFrame, features: Sequence[str]) -> str:
 
 def knn_predict(
     train: DataFrame, queries: DataFrame, features: Sequence[str], target: str, *,
-    key: str = "id", k: int = 5, axis: str | None = None, cell_rows: int = 64, out: str = "predicted",
+    key: str = "id", k: int = 5, axis: str | None = None, cell_rows: int = 16, out: str = "predicted",
 ) -> DataFrame:
     """Mean target of the k nearest training rows (Euclidean, ties to the smaller key)."""
-    if cell_rows < k:
-        raise ValueError("a cell must hold at least k rows")
+    cell_rows = max(cell_rows, k)
     axis = axis or widest_feature(train, features)
-    point = F.struct(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    bounds = range_bounds(train, [axis], range_count(train, None))[0]
+    point = [F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
     known = train.select(
-        F.col(key).alias("_id"), F.col(axis).cast("double").alias("_at"), point.alias("_x"),
-        F.col(target).cast("double").alias("_y"), F.lit(0).alias("_probe"),
+        F.col(key).alias("_id"), F.col(axis).cast("double").alias("_at"),
+        F.col(target).cast("double").alias("_y"), F.lit(0).alias("_probe"), *point,
     )
     asked = queries.select(
-        F.col(key).alias("_id"), F.col(axis).cast("double").alias("_at"), point.alias("_x"),
-        F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_probe"),
+        F.col(key).alias("_id"), F.col(axis).cast("double").alias("_at"),
+        F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_probe"), *point,
     )
-    placed = running_total(
-        known.unionByName(asked), "_at", 1 - F.col("_probe"), "_rank", tie=["_probe", "_id"]
-    ).withColumn("_cell", F.floor(F.greatest(F.col("_rank") - 1, F.lit(0)) / cell_rows))
-    cells = (
-        placed.where("_probe = 0").groupBy("_cell")
-        .agg(
-            F.collect_list(F.struct("_id", "_x", "_y")).alias("_rows"),
-            F.min("_at").alias("_low"), F.max("_at").alias("_high"),
-        )
+    placed = write_through(
+        running_total(
+            known.unionByName(asked), "_at", 1 - F.col("_probe"), "_rank",
+            tie=["_probe", "_id"], bounds=bounds,
+        ).withColumn("_cell", F.floor(F.greatest(F.col("_rank") - 1, F.lit(0)) / cell_rows)),
+        "neighbour-cells",
     )
-    probes = placed.where("_probe = 1").select("_id", "_at", "_x", F.col("_cell").alias("_home"))
-    near = probes.withColumn(
-        "_cell", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1))
+    rows = placed.where("_probe = 0").select(
+        "_cell", F.col("_id").alias("_near"), F.col("_at").alias("_near_at"), "_y",
+        *[F.col(f"_f{i}").alias(f"_n{i}") for i in range(len(point))],
     )
-    first = _nearest(near, cells, len(features), k).withColumn(
-        "_reach", F.sqrt(F.get(F.col("_best")["distance"], F.lit(k - 1)))
+    probes = placed.where("_probe = 1").select(
+        "_id", "_at", F.col("_cell").alias("_home"), *[f"_f{i}" for i in range(len(point))]
     )
-    unsettled = first.where(
-        (F.col("_at") - F.col("_reach") <= F.col("_seen_low"))
-        | (F.col("_at") + F.col("_reach") >= F.col("_seen_high"))
+    around = F.array(*[F.col("_home") + step for step in (-1, 0, 1)])
+    first = write_through(
+        _nearest(probes.withColumn("_cell", F.explode(around)).join(rows, "_cell"), len(point), k),
+        "neighbours",
     )
-    far = _cells_within_reach(known, unsettled, cell_rows).where(
-        F.abs(F.col("_cell") - F.col("_home")) > 1
-    )
-    second = _nearest(far, cells, len(features), k).select("_id", F.col("_best").alias("_more"))
-    best = F.slice(F.array_sort(F.concat(
-        "_best", F.coalesce(F.col("_more"), F.expr("slice(_best, 1, 0)"))
-    )), 1, k)
-    total = F.aggregate(best, F.lit(0.0), lambda acc, r: acc + r["y"])
-    return first.join(second, "_id", "left").select(
-        F.col("_id").alias(key), (total / F.size(best)).alias(out)
+    far = _cells_within_reach(rows, probes, _reach(first, k), cell_rows, bounds)
+    second = _nearest(
+        far.join(rows, "_cell").where(F.abs(F.col("_near_at") - F.col("_at")) <= F.col("_reach")),
+        len(point), k,
     )
+    best = topk(first.unionByName(second), ["-_distance"], k, by=["_id"], tie="_near")
+    return best.groupBy(F.col("_id").alias(key)).agg(F.avg("_y").alias(out))
 
 
-def _nearest(probes: DataFrame, cells: DataFrame, width: int, k: int) -> DataFrame:
-    """The k best rows per probe from its cells, and the stretch of axis they cover."""
+def _nearest(pairs: DataFrame, width: int, k: int) -> DataFrame:
+    """The k nearest rows of each probe among the given pairs."""
+    squares = [F.pow(F.col(f"_n{i}") - F.col(f"_f{i}"), F.lit(2.0)) for i in range(width)]
+    measured = pairs.select("_id", "_near", "_y", reduce(add, squares).alias("_distance"))
+    return topk(measured, ["-_distance"], k, by=["_id"], tie="_near")
 
-    def candidate(row: Column) -> Column:
-        squares = [
-            F.pow(row["_x"][f"f{i}"] - F.col("_x")[f"f{i}"], F.lit(2.0)) for i in range(width)
-        ]
-        return F.struct(
-            reduce(add, squares).alias("distance"), row["_id"].alias("id"), row["_y"].alias("y")
-        )
 
-    best = F.slice(F.array_sort(F.transform("_rows", candidate)), 1, k)
-    found = probes.join(cells, "_cell").select(
-        "_id", "_at", "_x", "_home", "_low", "_high", best.alias("_best")
-    )
-    return found.groupBy("_id", "_at", "_x", "_home").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best"),
-        F.min("_low").alias("_seen_low"), F.max("_high").alias("_seen_high"),
-    )
+def _reach(found: DataFrame, k: int) -> DataFrame:
+    """Distance of the k-th row found so far; probes with fewer have seen all rows there are."""
+    return found.groupBy("_id").agg(
+        F.sqrt(F.max("_distance")).alias("_reach"), F.count(F.lit(1)).alias("_n")
+    ).where(F.col("_n") == k).drop("_n")
 
 
-def _cells_within_reach(known: DataFrame, probes: DataFrame, cell_rows: int) -> DataFrame:
-    """Each probe with every cell that holds training rows between its two reach ends."""
-    ends = probes.select(
-        "_id", "_x", "_home", F.col("_at").alias("_center"),
-        F.inline(F.array(
-            F.struct((F.col("_at") - F.col("_reach")).alias("_at"), F.lit(-1).alias("_side")),
-            F.struct((F.col("_at") + F.col("_reach")).alias("_at"), F.lit(1).alias("_side")),
-        )),
+def _cells_within_reach(
+    rows: DataFrame, probes: DataFrame, reach: DataFrame, cell_rows: int, bounds: Sequence[float]
+) -> DataFrame:
+    """Each probe with every cell not looked at yet that may hold rows within its reach."""
+    ends = probes.join(reach, "_id").select(
+        "_id",
+        F.inline(F.array(*[
+            F.struct((F.col("_at") + F.col("_reach") * side).alias("_at"), F.lit(side).alias("_side"))
+            for side in (-1, 1)
+        ])),
     )
-    points = known.select("_id", "_at", F.lit(0).alias("_side")).unionByName(ends, allowMissingColumns=True)
+    points = rows.select(
+        F.col("_near").alias("_id"), F.col("_near_at").alias("_at"), F.lit(0).alias("_side")
+    ).unionByName(ends)
     ranked = running_total(
-        points, "_at", (F.col("_side") == 0).cast("bigint"), "_rank", tie=["_side", "_id"]
+        points, "_at", (F.col("_side") == 0).cast("bigint"), "_rank", tie=["_side", "_id"], bounds=bounds
     ).where("_side <> 0")
-    spans = ranked.groupBy("_id", "_x", "_home", "_center").agg(
-        F.floor(F.max(F.when(F.col("_side") < 0, F.col("_rank"))) / cell_rows).alias("_from"),
-        F.floor((F.max(F.when(F.col("_side") > 0, F.col("_rank"))) - 1) / cell_rows).alias("_to"),
-    )
-    return spans.where("_from <= _to").select(
-        "_id", F.col("_center").alias("_at"), "_x", "_home",
-        F.explode(F.sequence("_from", "_to")).alias("_cell"),
-    )
+    below = F.max(F.when(F.col("_side") < 0, F.col("_rank")))
+    upto = F.max(F.when(F.col("_side") > 0, F.col("_rank")))
+    spans = ranked.groupBy("_id").agg(
+        F.floor(below / cell_rows).alias("_from"), F.floor((upto - 1) / cell_rows).alias("_to")
+    ).where("_from <= _to")
+    cells = F.filter(F.sequence("_from", "_to"), lambda c: F.abs(c - F.col("_home")) > 1)
+    return probes.join(reach, "_id").join(spans, "_id").withColumn("_cell", F.explode(cells))
