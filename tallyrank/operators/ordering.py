@@ -124,21 +124,25 @@ def backfill(
     by: Sequence[str] = (),
     ranges: int | None = None,
 ) -> DataFrame:
-    """Replaces a missing value by the next non-missing one; trailing ones stay missing."""
+    """Replaces a missing value by the next non-missing one; trailing ones stay missing.
+
+    Windows run in descending order: a frame that starts at the current row would
+    be evaluated anew for every row, one that ends there grows by a row at a time.
+    """
     by, names = list(by), df.columns
     bounds = range_bounds(df, [order], range_count(df, ranges))[0]
     tagged = with_ranges(df, order, bounds)
-    inside = Window.partitionBy(*by, RANGE).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    after = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy(*by, RANGE).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by).orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     first = tagged.groupBy(*by, RANGE).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_first_{c}") for c in columns]
     )
     following = first.select(
         *by, RANGE,
-        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_next_{c}") for c in columns],
     )
     local = tagged.withColumns(
-        {f"_local_{c}": F.first(c, ignorenulls=True).over(inside) for c in columns}
+        {f"_local_{c}": F.last(c, ignorenulls=True).over(inside) for c in columns}
     )
     filled = {c: F.coalesce(F.col(f"_local_{c}"), F.col(f"_next_{c}")) for c in columns}
     return _carry(local, following, by, bounded=not by).select(
