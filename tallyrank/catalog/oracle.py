@@ -68,11 +68,16 @@ SQL["contains_complement"] = _with(
     + " from lines", "lines",
 )
 
-SQL["keyword_score"] = _with(f"select item_id, txt, ({TOPIC})::bigint as score from lines", "lines")
-
+_PROSE = " + ".join(_has("line", t) for t in TEXT_TERMS)
+_KEYWORDS = f"""
+select 'lines' as source, item_id as key, ({TOPIC})::bigint as score, {TOP} as top from lines
+union all select 'text_lines', doc_id, ({_PROSE})::bigint, {len(TEXT_TERMS)} from text_lines"""
+SQL["keyword_score"] = _with(
+    "select source, key, score from keywords", "lines", "text_lines", keywords=_KEYWORDS
+)
 SQL["keyword_score_negated"] = _with(
-    f"""select item_id, sum({TOPIC})::bigint as score, sum({TOP} - ({TOPIC}))::bigint as score_negated
-from lines group by item_id""", "lines",
+    """select source, key, sum(score)::bigint as score, sum(top - score)::bigint as score_negated
+from keywords group by source, key""", "lines", "text_lines", keywords=_KEYWORDS,
 )
 
 

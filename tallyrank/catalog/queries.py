@@ -96,18 +96,30 @@ def contains_complement(spark, sf):
     return fx.lines(spark, sf).select("item_id", "who", *flags)
 
 
+def _keyword_rows(spark, sf):
+    """Lines with their topic terms, and lines of real text with some common endings."""
+    lines = fx.lines(spark, sf).select(
+        F.lit("lines").alias("source"), F.col("item_id").alias("key"),
+        text.keyword_score(LINE.text, fx.TERMS.topic).alias("score"),
+        F.lit(len(fx.TERMS.topic)).alias("top"),
+    )
+    prose = fx.text_lines(spark, sf).select(
+        F.lit("text_lines").alias("source"), F.col("doc_id").alias("key"),
+        text.keyword_score("line", fx.TEXT_TERMS).alias("score"), F.lit(len(fx.TEXT_TERMS)).alias("top"),
+    )
+    return lines.unionByName(prose)
+
+
 @query
 def keyword_score(spark, sf):
-    score = text.keyword_score(LINE.text, fx.TERMS.topic).cast("bigint").alias("score")
-    return fx.lines(spark, sf).select("item_id", "txt", score)
+    return _keyword_rows(spark, sf).select("source", "key", F.col("score").cast("bigint").alias("score"))
 
 
 @query
 def keyword_score_negated(spark, sf):
-    lines, top = fx.lines(spark, sf), len(fx.TERMS.topic)
-    score = text.keyword_score(LINE.text, fx.TERMS.topic)
+    score, top = F.col("score"), F.col("top")
     return aggregate.grouped(
-        lines, LINE.key,
+        _keyword_rows(spark, sf), ["source", "key"],
         F.sum(text.polarity(score, top, True)).alias("score"),
         F.sum(text.polarity(score, top, False)).alias("score_negated"),
     )

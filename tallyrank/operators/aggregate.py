@@ -70,4 +70,4 @@ def missing_keys(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     if low is None:
         return spark.range(0).toDF(key)
-    return spark.range(low, high + 1).toDF(key).join(df.select(key), key, "left_anti")
+    return spark.range(low, high + 1).toDF(key).join(df.select(key).distinct(), key, "left_anti")

@@ -8,6 +8,7 @@ range borders. Range count follows ``spark.sql.shuffle.partitions`` unless given
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE = "_range"
+# Up to this many rows a sort-and-limit beats numbering the whole table.
+FEW_ROWS = 10_000
 
 
 def range_count(df: DataFrame, ranges: int | None) -> int:
@@ -28,15 +31,19 @@ def range_bounds(df: DataFrame, columns: Sequence[str], ranges: int) -> list[lis
     found = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(
         list(columns), [i / ranges for i in range(1, ranges)], 0.5 / ranges
     )
-    return [sorted(set(b)) for b in found]
+    return [sorted({b for b in borders if math.isfinite(b)}) for borders in found]
+
+
+def _splits(bounds: Sequence[float]) -> list[float]:
+    """Outer and inner borders; without inner ones any number serves as the one a split needs."""
+    return [float("-inf"), *(bounds or [0.0]), float("inf")]
 
 
 def with_ranges(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
     """Adds the range number; missing order values go to a range of their own at the end."""
-    splits = [float("-inf"), *bounds, float("inf")]
     tagged = df.withColumn("_order", F.col(order).cast("double"))
     tagged = Bucketizer(
-        splits=splits, inputCol="_order", outputCol=RANGE, handleInvalid="keep"
+        splits=_splits(bounds), inputCol="_order", outputCol=RANGE, handleInvalid="keep"
     ).transform(tagged)
     return tagged.withColumn(RANGE, F.col(RANGE).cast("int")).drop("_order")
 
@@ -104,15 +111,17 @@ def strided_sample(
 ) -> DataFrame:
     """Rows ``start, start + step, …`` below ``stop`` in the given order (Python slice).
 
-    With a ``stop`` only that many first rows are ever ranked.
+    With a small ``stop`` only that many first rows are ever ranked.
     """
-    if stop is not None:
+    if stop is not None and stop <= FEW_ROWS:
         first = df.orderBy(order).limit(stop)
         numbered = first.withColumn(
             out, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint")
         )
     else:
         numbered = row_positions(df, order, out)
+        if stop is not None:
+            numbered = numbered.where(F.col(out) < stop)
     return numbered.where((F.col(out) >= start) & ((F.col(out) - start) % step == 0))
 
 
@@ -163,7 +172,7 @@ def exact_quantiles(
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     bounds = range_bounds(wide, columns, range_count(df, ranges))
     tagged = Bucketizer(
-        splitsArray=[[float("-inf"), *b, float("inf")] for b in bounds],
+        splitsArray=[_splits(b) for b in bounds],
         inputCols=columns, outputCols=[f"{RANGE}_{c}" for c in columns], handleInvalid="keep",
     ).transform(wide)
     values = F.inline(F.array(*[

@@ -60,32 +60,26 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins over the data range, the last one closed; empty bins stay with 0."""
+    """Equal-width bins over the data range, the last one closed; empty bins stay with 0.
+
+    A constant column gets a range of half a unit to each side.
+    """
     values = df.select(F.col(column).cast("double").alias("x")).where(present("x", "double"))
-    edges = _widened(values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
-    span = edges.agg(F.struct(F.first("lo").alias("lo"), F.first("hi").alias("hi"))).scalar()
-    position = F.floor((F.col("x") - span["lo"]) / (span["hi"] - span["lo"]) * bins)
+    flat = F.when(F.min("x") == F.max("x"), 0.5).otherwise(0.0)
+    extent = values.agg(
+        F.struct((F.min("x") - flat).alias("lo"), (F.max("x") + flat).alias("hi")).alias("extent")
+    ).scalar()
+    low, high = extent["lo"], extent["hi"]
+    position = F.floor((F.col("x") - low) / (high - low) * bins)
     counted = values.groupBy(F.least(position, F.lit(bins - 1)).cast("bigint").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    grid = edges.where("lo is not null").select(
-        "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
-    )
-    width = (F.col("hi") - F.col("lo")) / bins
+    width = (high - low) / bins
+    grid = df.sparkSession.range(bins).toDF("bin").select(
+        "bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high")
+    ).where(F.col("low").isNotNull())
     return grid.join(counted, "bin", "left").select(
-        "bin",
-        (F.col("lo") + F.col("bin") * width).alias("low"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("high"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-    )
-
-
-def _widened(extent: DataFrame) -> DataFrame:
-    """A constant column gets a range of half a unit to each side."""
-    flat = F.col("lo") == F.col("hi")
-    return extent.select(
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        "bin", "low", "high", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
 
 

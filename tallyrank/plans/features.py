@@ -12,6 +12,7 @@ from tallyrank.functions.text import matches
 from tallyrank.operators.aggregate import conditional_share, grouped
 from tallyrank.operators.impute import dropna_any, impute_mean
 from tallyrank.operators.ordering import backfill
+from tallyrank.session import write_through
 from tallyrank.spec import ItemSpec, LineSpec
 
 FEATURES = (
@@ -82,8 +83,12 @@ def item_features(
 
 
 def model_table(features: DataFrame) -> DataFrame:
-    """The feature table with the model columns mean-imputed, as doubles."""
-    return impute_mean(features, IMPUTED)
+    """The feature table with the model columns mean-imputed, as doubles.
+
+    The features are written first: the means need a pass of their own, and the
+    lines behind the features are to be scanned once.
+    """
+    return impute_mean(write_through(features, "features"), IMPUTED)
 
 
 def speaking_lines(

@@ -113,15 +113,11 @@ def ranking_stages(terms: Terms, cuts: Sequence[int] = CUTS, top: int = 1) -> li
 def ranked_items(
     items: DataFrame, scores: DataFrame, terms: Terms, spec: ItemSpec = ItemSpec()
 ) -> DataFrame:
-    """Complete items with their scores and the odds of every name and place.
-
-    The joined scores are written once: they are read twice, first for the floors
-    of the cut and then for the ranking, and the lines are to be scanned once.
-    """
+    """Complete items with their scores and the odds of every name and place."""
     joined = complete_items(items, spec).select(
         F.col(spec.key).alias("id"), F.col(spec.rating).alias("rating")
     ).join(scores, "id")
-    return write_through(joined, "scores").select(
+    return joined.select(
         "id", "rating", "n_lines",
         F.col("song").alias("song_score"), F.col("topic").alias("topic_score"),
         _odds_rows(terms.names, "matched_names").alias("name_rows"),
@@ -139,42 +135,46 @@ def _odds_rows(wanted: Sequence[str], matched: str) -> Column:
     ])
 
 
+def odds_floors(ranked: DataFrame, terms: Terms, cut: int) -> Column:
+    """Per name and place, odds that at least ``cut`` items reach."""
+    values = {
+        _floor_name(rows, i): F.col(rows)[i]["odds"]
+        for rows, wanted in (("name_rows", terms.names), ("place_rows", terms.places))
+        for i in range(len(wanted))
+    }
+    return kth_floor(ranked, values, cut, "id").scalar()
+
+
+def _floor_name(rows: str, i: int) -> str:
+    return f"{rows}_{i}"
+
+
 def candidate_rows(
-    ranked: DataFrame, terms: Terms, first_cut: int, priorities: Sequence[str] = PRIORITIES
+    ranked: DataFrame, terms: Terms, priorities: Sequence[str] = PRIORITIES, floors: Column | None = None
 ) -> DataFrame:
     """One row per item and (name, place, priority) that may survive the first cut.
 
-    The first cut takes the best ``first_cut`` items by the leading odds, so only
-    items at or above a floor known to lie at or below that many items of the
-    term need to be spread over the second dimension. When the place leads,
-    items without a matching place sort last and fall right after the cut; they
-    are left out at once.
+    The cut takes the best items by the leading odds, so an item below a floor
+    that enough items reach cannot survive and is not spread over the second
+    dimension. When the place leads, items without a matching place sort last
+    and fall right after the cut; they are left out at once.
     """
-    dimensions = {
-        PRIORITIES[0]: ("name_rows", terms.names, F.lit(0.0), "place_rows"),
-        PRIORITIES[1]: ("place_rows", terms.places, F.lit(5e-324), "name_rows"),
-    }
-    leads, floors = [], {}
+    leads = []
     for priority in priorities:
-        rows, wanted, least, _ = dimensions[priority]
+        name_leads = priority == PRIORITIES[0]
+        rows, wanted = ("name_rows", terms.names) if name_leads else ("place_rows", terms.places)
         for i, term in enumerate(wanted):
-            value, name = F.col(rows)[i]["odds"], f"{rows}_{i}"
-            floors[name] = value
-            leads.append((priority, term, value, name, least))
-    floor = kth_floor(ranked, floors, first_cut, "id").scalar()
-    leading = F.array_compact(F.array(*[
-        F.when(
-            value >= F.greatest(F.coalesce(floor[name], least), least),
-            F.struct(
+            value = F.col(rows)[i]["odds"]
+            usable = F.lit(True) if name_leads else value > 0
+            if floors is not None:
+                usable = usable & (value >= F.coalesce(floors[_floor_name(rows, i)], F.lit(0.0)))
+            leads.append(F.when(usable, F.struct(
                 F.lit(priority).alias("priority"), F.lit(term).alias("lead"), value.alias("primary_odds")
-            ),
-        )
-        for priority, term, value, name, least in leads
-    ]))
+            )))
     name_first = F.col("priority") == PRIORITIES[0]
     base = ["id", "rating", "n_lines", "song_score", "topic_score"]
     spread = (
-        ranked.select(*base, "name_rows", "place_rows", F.inline(leading))
+        ranked.select(*base, "name_rows", "place_rows", F.inline(F.array_compact(F.array(*leads))))
         .select(
             *base, "priority", "lead", "primary_odds",
             F.inline(F.when(name_first, F.col("place_rows")).otherwise(F.col("name_rows"))),
@@ -194,9 +194,13 @@ def winners(
     items: DataFrame, scores: DataFrame, terms: Terms,
     cuts: Sequence[int] = CUTS, top: int = 1, spec: ItemSpec = ItemSpec(),
 ) -> DataFrame:
-    """The best item(s) for every preference combination that has one."""
-    ranked = ranked_items(items, scores, terms, spec)
-    candidates = candidate_rows(ranked, terms, cuts[0])
+    """The best item(s) for every preference combination that has one.
+
+    The ranked items are written once: they are read twice, first for the floors
+    of the cut and then for the ranking, and the lines are to be scanned once.
+    """
+    ranked = write_through(ranked_items(items, scores, terms, spec), "ranked-items")
+    candidates = candidate_rows(ranked, terms, floors=odds_floors(ranked, terms, cuts[0]))
     return cascade(candidates, ranking_stages(terms, cuts, top), by=KEYS[:3])
 
 
@@ -245,7 +249,11 @@ def recommend_one(
     cuts: Sequence[int] = CUTS, top: int = 1,
     item_spec: ItemSpec = ItemSpec(), line_spec: LineSpec = LineSpec(),
 ) -> DataFrame:
-    """The best item(s) for one preference; the first cut is a global sort-and-limit."""
+    """The best item(s) for one preference, in a single pass.
+
+    Every cut is a global sort-and-limit, which keeps no more rows than the cut
+    in any task, so floors would save nothing here.
+    """
     one = Terms(
         names=(normalise(preference["name"]),), places=(normalise(preference["place"]),),
         song_text=terms.song_text, song_name=terms.song_name, topic=terms.topic,
@@ -254,7 +262,7 @@ def recommend_one(
     # any priority but the first means the place comes first
     priority = PRIORITIES[0] if preference["priority"] == PRIORITIES[0] else PRIORITIES[1]
     ranked = ranked_items(items, scores, one, item_spec)
-    candidates = candidate_rows(ranked, one, cuts[0], (priority,)).withColumns(
+    candidates = candidate_rows(ranked, one, (priority,)).withColumns(
         {"song": F.lit(preference["song"]), "politics": F.lit(preference["politics"])}
     )
     stages = [
