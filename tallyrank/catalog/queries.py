@@ -543,6 +543,7 @@ def recommend_enriched(spark, sf):
     """The recommendation table with the predicted rating next to the actual one."""
     items, table = fx.items(spark, sf), _model_table(spark, sf)
     found = recommend.winners(items, _scores(spark, sf), fx.TERMS)
+    found = write_through(found.select("id", *recommend.KEYS), "winners")
     train = split.with_split(table).where(F.col("split") == "train")
     wanted = table.join(F.broadcast(found.select("id").distinct()), "id")
     predictions = knn.knn_predict(train, wanted, features.FEATURES, "rating")

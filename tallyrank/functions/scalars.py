@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,3 +48,9 @@ def present(column: str | Column, dtype: str) -> Column:
     column = col(column)
     ok = column.isNotNull()
     return ok & ~F.isnan(column) if dtype in ("double", "float") else ok
+
+
+def all_present(df: DataFrame, columns: Sequence[str]) -> Column:
+    """True where none of the columns is missing; plain null checks reach the file scan."""
+    types = dict(df.dtypes)
+    return reduce(and_, [present(c, types[c]) for c in columns])

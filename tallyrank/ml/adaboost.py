@@ -27,6 +27,7 @@ from pyspark.storagelevel import StorageLevel
 from tallyrank.session import cut_lineage
 
 LOSSES = ("linear", "square", "exponential")
+TREES_AT_ONCE = 50
 
 
 def loss_column(error: Column, largest: float, loss: str) -> Column:
@@ -45,12 +46,16 @@ def reweighted(weight: Column, loss: Column, beta: float, rate: float) -> Column
     return weight * F.pow(F.lit(beta), (1 - loss) * rate)
 
 
-def weighted_median(values: list[Column], weights: list[float]) -> Column:
-    """The first value, in ascending order, at which half of the total weight is reached."""
-    pairs = F.array_sort(F.array(*[
+def weighted_pairs(values: list[Column], weights: list[float]) -> Column:
+    """(value, weight) structs for the weighted median."""
+    return F.array(*[
         F.struct(v.alias("value"), F.lit(float(w)).alias("weight")) for v, w in zip(values, weights)
-    ]))
-    half = 0.5 * math.fsum(weights) * (1 - 1e-12)
+    ])
+
+
+def weighted_median(pairs: Column, total: float) -> Column:
+    """The first value, in ascending order, at which half of the total weight is reached."""
+    half = 0.5 * total * (1 - 1e-12)
     start = F.struct(F.lit(0.0).alias("reached"), F.lit(None).cast("double").alias("value"))
 
     def step(state, pair):
@@ -58,7 +63,7 @@ def weighted_median(values: list[Column], weights: list[float]) -> Column:
         hit = F.when(reached >= half, pair["value"])
         return F.struct(reached.alias("reached"), F.coalesce(state["value"], hit).alias("value"))
 
-    return F.aggregate(pairs, start, step, lambda state: state["value"])
+    return F.aggregate(F.array_sort(pairs), start, step, lambda state: state["value"])
 
 
 class _BoostParams(
@@ -136,14 +141,21 @@ class AdaBoostR2Model(Model, _BoostParams, MLReadable, MLWritable):
         self.trees, self.weights = list(trees), list(weights)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        names = [f"_tree{i}" for i in range(len(self.trees))]
+        """Scores a few trees at a time, so that the table never gets wider than that."""
+        kept, parts = dataset.columns, []
         scored = dataset
-        for name, tree in zip(names, self.trees):
-            scored = tree.copy({
-                tree.featuresCol: self.getFeaturesCol(), tree.predictionCol: name
-            }).transform(scored)
-        median = weighted_median([F.col(n) for n in names], self.weights)
-        return scored.withColumn(self.getPredictionCol(), median).drop(*names)
+        for start in range(0, len(self.trees), TREES_AT_ONCE):
+            trees = self.trees[start:start + TREES_AT_ONCE]
+            names = [f"_tree{i}" for i in range(len(trees))]
+            for name, tree in zip(names, trees):
+                scored = tree.copy({
+                    tree.featuresCol: self.getFeaturesCol(), tree.predictionCol: name
+                }).transform(scored)
+            part = weighted_pairs([F.col(n) for n in names], self.weights[start:start + TREES_AT_ONCE])
+            scored = scored.select(*kept, *parts, part.alias(f"_pairs{start}"))
+            parts.append(f"_pairs{start}")
+        median = weighted_median(F.concat(*parts), math.fsum(self.weights))
+        return scored.withColumn(self.getPredictionCol(), median).drop(*parts)
 
     def write(self) -> MLWriter:
         return _ModelWriter(self)

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.functions.scalars import present, share
+from tallyrank.functions.scalars import all_present, present, share
 
 
 def grouped(df: DataFrame, keys: str | Sequence[str], *aggregates: Column) -> DataFrame:
     """Group after dropping rows whose key is missing."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.na.drop("any", subset=keys).groupBy(*keys).agg(*aggregates)
+    return df.where(all_present(df, keys)).groupBy(*keys).agg(*aggregates)
 
 
 def conditional_share(condition: Column, counted: str, empty: str = "null") -> Column:

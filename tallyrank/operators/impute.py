@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.functions.scalars import present
+from tallyrank.functions.scalars import all_present, present
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,4 +31,4 @@ def fill_constant(df: DataFrame, value: float = 0, columns: Sequence[str] | None
 
 def dropna_any(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Drops rows with a missing value in any (or any of the given) columns."""
-    return df.na.drop("any", subset=list(columns) if columns else None)
+    return df.where(all_present(df, columns or df.columns))

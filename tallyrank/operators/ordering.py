@@ -3,7 +3,8 @@
 A window without a partition key runs in one task. Here the order column is cut
 into ranges of about equal row counts first; each range is handled on its own,
 and a table with one row per range carries the totals (or the next value) across
-range borders. Range count follows ``spark.sql.shuffle.partitions`` unless given.
+range borders. Unless given, there are four ranges to a shuffle partition, so
+that ranges falling together by hash leave no partition with much more than others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ FEW_ROWS = 10_000
 
 
 def range_count(df: DataFrame, ranges: int | None) -> int:
-    return ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def range_bounds(df: DataFrame, columns: Sequence[str], ranges: int) -> list[list[float]]:
@@ -45,7 +46,8 @@ def with_ranges(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame
     tagged = Bucketizer(
         splits=_splits(bounds), inputCol="_order", outputCol=RANGE, handleInvalid="keep"
     ).transform(tagged)
-    return tagged.withColumn(RANGE, F.col(RANGE).cast("int")).drop("_order")
+    last = F.lit(len(bounds) + 2)
+    return tagged.withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), last)).drop("_order")
 
 
 def _carry(df: DataFrame, small: DataFrame, by: Sequence[str], bounded: bool) -> DataFrame:

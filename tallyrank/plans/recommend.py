@@ -110,14 +110,16 @@ def ranking_stages(terms: Terms, cuts: Sequence[int] = CUTS, top: int = 1) -> li
     ]
 
 
-def ranked_items(
-    items: DataFrame, scores: DataFrame, terms: Terms, spec: ItemSpec = ItemSpec()
-) -> DataFrame:
-    """Complete items with their scores and the odds of every name and place."""
-    joined = complete_items(items, spec).select(
+def scored_items(items: DataFrame, scores: DataFrame, spec: ItemSpec = ItemSpec()) -> DataFrame:
+    """Complete items with their rating and scores."""
+    return complete_items(items, spec).select(
         F.col(spec.key).alias("id"), F.col(spec.rating).alias("rating")
     ).join(scores, "id")
-    return joined.select(
+
+
+def ranked_items(scored: DataFrame, terms: Terms) -> DataFrame:
+    """Scored items with the odds of every name and place."""
+    return scored.select(
         "id", "rating", "n_lines",
         F.col("song").alias("song_score"), F.col("topic").alias("topic_score"),
         _odds_rows(terms.names, "matched_names").alias("name_rows"),
@@ -135,14 +137,14 @@ def _odds_rows(wanted: Sequence[str], matched: str) -> Column:
     ])
 
 
-def odds_floors(ranked: DataFrame, terms: Terms, cut: int) -> Column:
-    """Per name and place, odds that at least ``cut`` items reach."""
+def odds_floors(ranked: DataFrame, terms: Terms, cut: int) -> dict[str, float | None]:
+    """Per name and place, odds that at least ``cut`` items reach: one number each."""
     values = {
         _floor_name(rows, i): F.col(rows)[i]["odds"]
         for rows, wanted in (("name_rows", terms.names), ("place_rows", terms.places))
         for i in range(len(wanted))
     }
-    return kth_floor(ranked, values, cut, "id").scalar()
+    return kth_floor(ranked, values, cut, "id").first()["floor"].asDict()
 
 
 def _floor_name(rows: str, i: int) -> str:
@@ -150,7 +152,8 @@ def _floor_name(rows: str, i: int) -> str:
 
 
 def candidate_rows(
-    ranked: DataFrame, terms: Terms, priorities: Sequence[str] = PRIORITIES, floors: Column | None = None
+    ranked: DataFrame, terms: Terms, priorities: Sequence[str] = PRIORITIES,
+    floors: dict[str, float | None] | None = None,
 ) -> DataFrame:
     """One row per item and (name, place, priority) that may survive the first cut.
 
@@ -166,8 +169,9 @@ def candidate_rows(
         for i, term in enumerate(wanted):
             value = F.col(rows)[i]["odds"]
             usable = F.lit(True) if name_leads else value > 0
-            if floors is not None:
-                usable = usable & (value >= F.coalesce(floors[_floor_name(rows, i)], F.lit(0.0)))
+            floor = (floors or {}).get(_floor_name(rows, i))
+            if floor is not None:
+                usable = usable & (value >= floor)
             leads.append(F.when(usable, F.struct(
                 F.lit(priority).alias("priority"), F.lit(term).alias("lead"), value.alias("primary_odds")
             )))
@@ -196,10 +200,10 @@ def winners(
 ) -> DataFrame:
     """The best item(s) for every preference combination that has one.
 
-    The ranked items are written once: they are read twice, first for the floors
+    The scored items are written once: they are read twice, first for the floors
     of the cut and then for the ranking, and the lines are to be scanned once.
     """
-    ranked = write_through(ranked_items(items, scores, terms, spec), "ranked-items")
+    ranked = ranked_items(write_through(scored_items(items, scores, spec), "scored-items"), terms)
     candidates = candidate_rows(ranked, terms, floors=odds_floors(ranked, terms, cuts[0]))
     return cascade(candidates, ranking_stages(terms, cuts, top), by=KEYS[:3])
 
@@ -261,7 +265,7 @@ def recommend_one(
     scores = line_scores(lines, one, line_spec)
     # any priority but the first means the place comes first
     priority = PRIORITIES[0] if preference["priority"] == PRIORITIES[0] else PRIORITIES[1]
-    ranked = ranked_items(items, scores, one, item_spec)
+    ranked = ranked_items(scored_items(items, scores, item_spec), one)
     candidates = candidate_rows(ranked, one, (priority,)).withColumns(
         {"song": F.lit(preference["song"]), "politics": F.lit(preference["politics"])}
     )

@@ -221,6 +221,13 @@ def test_store_round_trip(spark, tmp_path, sorted_rows):
     assert sorted_rows(back) == sorted_rows(df)
 
 
+def test_series_export(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 2.5)], "series string, x int, y double")
+    path = str(tmp_path / "series")
+    tables.write_series(df, path)
+    assert tables.read_csv(spark, path, df.schema).collect() == df.collect()
+
+
 def test_missing_text_in_line_features(spark):
     df = spark.createDataFrame(
         [(1, None, None, None, "t", True, 4.0), (1, "Red", 7, None, None, True, None)],

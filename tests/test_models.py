@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tallyrank.ml import compare, search, split, stack
-from tallyrank.ml.adaboost import AdaBoostR2, AdaBoostR2Model, loss_column, reweighted, weighted_median
+from tallyrank.ml.adaboost import AdaBoostR2, AdaBoostR2Model, loss_column, reweighted, weighted_median, weighted_pairs
 from tallyrank.plans import charts
 from tallyrank.plans.features import FEATURES
 
@@ -60,9 +60,9 @@ def test_losses(spark):
 def test_weighted_median(spark):
     df = spark.createDataFrame([(3.0, 1.0, 2.0), (1.0, 1.0, 9.0)], "a double, b double, c double")
     columns = [F.col(c) for c in "abc"]
-    assert [r[0] for r in df.select(weighted_median(columns, [1, 1, 1])).collect()] == [2.0, 1.0]
-    assert [r[0] for r in df.select(weighted_median(columns, [1, 1, 5])).collect()] == [2.0, 9.0]
-    assert [r[0] for r in df.select(weighted_median(columns, [1, 2, 1])).collect()] == [1.0, 1.0]
+    for weights, want in (([1, 1, 1], [2.0, 1.0]), ([1, 1, 5], [2.0, 9.0]), ([1, 2, 1], [1.0, 1.0])):
+        median = weighted_median(weighted_pairs(columns, weights), sum(weights))
+        assert [r[0] for r in df.select(median).collect()] == want
 
 
 def test_first_round_with_half_the_loss_is_kept_alone(spark):
@@ -91,6 +91,16 @@ def test_boosting_beats_the_mean(table, loss):
     assert search.holdout_rmse(model, vectors, "predicted") < 0.9 * spread(table)
 
 
+def test_many_trees(table):
+    """More trees than are scored at once: repeating a model does not move its median."""
+    vectors = stack.assembler().transform(table)
+    model = compare.boosting(rounds=4).fit(vectors)
+    times = 120 // len(model.trees)
+    many = model._copyValues(AdaBoostR2Model(model.trees * times, model.weights * times))
+    a, b = (m.transform(vectors).orderBy("id").select("predicted").collect() for m in (model, many))
+    assert len(many.trees) > 100 and a == b
+
+
 def test_boosting_survives_saving(table, tmp_path):
     vectors = stack.assembler().transform(table)
     model = compare.boosting(rounds=3, stepSize=0.5).fit(vectors)

@@ -13,7 +13,8 @@ from tallyrank.catalog import fixtures as fx
 from tallyrank.catalog.queries import REGISTRY
 from tallyrank.ml.knn import knn_predict
 from tallyrank.operators import ordering, rank
-from tallyrank.plans import recommend
+from tallyrank.plans import features, recommend
+from tallyrank.spec import LineSpec
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -66,9 +67,9 @@ def test_quantiles_with_one_value_in_most_rows(spark):
 
 
 def test_positions_with_nulls_last(spark):
-    df = spark.createDataFrame([(i,) for i in (5, 3, 9, 1)], "k long")
+    df = spark.createDataFrame([(i,) for i in (5, 3, None, 9, 1)], "k long")
     got = {r.k: r.position for r in ordering.row_positions(df, "k", ranges=3).collect()}
-    assert got == {1: 0, 3: 1, 5: 2, 9: 3}
+    assert got == {1: 0, 3: 1, 5: 2, 9: 3, None: 4}
 
 
 def test_strided_sample_is_a_slice(spark):
@@ -132,7 +133,7 @@ def test_neighbours_of_a_tiny_training_set(spark):
 
 
 def test_one_hot_item(spark, sf_dir, sorted_rows):
-    """An item that holds a third of all lines: same table of winners as worked out without it split."""
+    """An item that holds a third of all lines."""
     lines = fx.lines(spark, sf_dir)
     hot = lines.withColumn("item_id", F.when(F.rand(5) < 0.34, F.lit(1)).otherwise(F.col("item_id")))
     scores = recommend.line_scores(hot, fx.TERMS)
@@ -140,6 +141,8 @@ def test_one_hot_item(spark, sf_dir, sorted_rows):
     once = scores.where("id = 1").first()
     assert once.n_lines > lines.count() / 4
     assert all(m <= once.n_lines for m in once.matched_names)
+    places = hot.where("item_id = 1").select("place_id").na.drop().distinct().count()
+    assert features.line_features(hot, LineSpec(), "red").where("id = 1").first().n_places == places
 
 
 def test_invariants_of_scores(spark, sf_dir):
@@ -163,7 +166,7 @@ def test_at_most_one_winner_per_preference(spark, sf_dir):
 def test_pruned_candidates_rank_as_all(spark, sf_dir, sorted_rows):
     """The floors only leave out rows that cannot survive the first cut."""
     items, scores = fx.items(spark, sf_dir), recommend.line_scores(fx.lines(spark, sf_dir), fx.TERMS)
-    ranked = recommend.ranked_items(items, scores, fx.TERMS)
+    ranked = recommend.ranked_items(recommend.scored_items(items, scores), fx.TERMS)
     stages = recommend.ranking_stages(fx.TERMS)
     pruned = recommend.candidate_rows(ranked, fx.TERMS, floors=recommend.odds_floors(ranked, fx.TERMS, 40))
     whole = recommend.candidate_rows(ranked, fx.TERMS)
