@@ -27,21 +27,31 @@ def read_csv(
     schema: str | StructType,
     *,
     lenient: bool = False,
+    by_name: bool = False,
     multi_line: bool = True,
     na_values: Sequence[str] = NA_TOKENS,
 ) -> DataFrame:
     """Headered CSV with doubled quotes; NA-like texts become NULL.
 
-    ``lenient`` drops rows with too many fields and keeps short ones, padded with
-    NULL. ``multi_line`` lets quoted fields span lines; Spark then reads each file
-    in one piece, so turn it off for large files without line breaks in fields.
+    The schema names the columns in file order, or, with ``by_name``, those to
+    take from a file with more columns or another order. ``lenient`` drops rows
+    with too many fields and keeps short ones, padded with NULL. ``multi_line``
+    lets quoted fields span lines; Spark then reads each file in one piece, so
+    turn it off for large files without line breaks in fields.
     """
     schema = _schema(schema)
-    wanted = schema
+    fields = schema.fields
+    if by_name:
+        header = spark.read.options(header=True, quote='"', escape='"').csv(path).columns
+        missing = [f.name for f in fields if f.name not in header]
+        if missing:
+            raise ValueError(f"no such columns in {path}: {missing}")
+        typed = {f.name: f for f in fields}
+        fields = [typed.get(name, StructField(name, StringType())) for name in header]
     if lenient:
-        wanted = StructType([*schema.fields, StructField(OVERFLOW, StringType())])
+        fields = [*fields, StructField(OVERFLOW, StringType())]
     df = (
-        spark.read.schema(wanted)
+        spark.read.schema(StructType(fields))
         .options(header=True, quote='"', escape='"', mode="PERMISSIVE", multiLine=multi_line)
         .csv(path)
     )
