@@ -58,10 +58,10 @@ def keyword_score(column: str | Column, terms: Sequence[str], **options) -> Colu
 
 
 def song_flags(
-    text: str | Column, name: str | Column, text_terms: Sequence[str], name_terms: Sequence[str]
+    text: str | Column, name: str | Column, text_terms: Sequence[str], name_terms: Sequence[str], **options
 ) -> Column:
     """One point for a text term plus one for a name term (0 … 2)."""
-    return any_flag(text, text_terms) + any_flag(name, name_terms)
+    return any_flag(text, text_terms, **options) + any_flag(name, name_terms, **options)
 
 
 def polarity(score: Column, top: int | Column, wanted: bool | Column) -> Column:

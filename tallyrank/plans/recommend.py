@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.functions.scalars import parse_flag
-from tallyrank.functions.text import any_flag, contains_flag, keyword_score, normalise, odds
+from tallyrank.functions.text import contains_flag, keyword_score, normalise, odds, song_flags
 from tallyrank.operators.impute import dropna_any
 from tallyrank.operators.rank import cascade, kth_floor
 from tallyrank.session import write_through
@@ -31,10 +31,13 @@ def line_scores(lines: DataFrame, terms: Terms, spec: LineSpec = LineSpec()) ->
     ).where("id is not null")
     flagged = lowered.select(
         "id",
-        *[contains_flag("_name", t).alias(f"_n{i}") for i, t in enumerate(terms.names)],
-        *[contains_flag("_place", t).alias(f"_p{i}") for i, t in enumerate(terms.places)],
-        (any_flag("_text", terms.song_text) + any_flag("_name", terms.song_name)).alias("_song"),
-        keyword_score("_text", terms.topic).alias("_topic"),
+        *[_flag("_name", t).alias(f"_n{i}") for i, t in enumerate(terms.names)],
+        *[_flag("_place", t).alias(f"_p{i}") for i, t in enumerate(terms.places)],
+        song_flags(
+            "_text", "_name", [normalise(t) for t in terms.song_text],
+            [normalise(t) for t in terms.song_name], case_sensitive=True,
+        ).alias("_song"),
+        keyword_score("_text", [normalise(t) for t in terms.topic], case_sensitive=True).alias("_topic"),
     )
     sums = flagged.groupBy("id").agg(
         F.count(F.lit(1)).alias("n_lines"),
@@ -51,6 +54,11 @@ def line_scores(lines: DataFrame, terms: Terms, spec: LineSpec = LineSpec()) ->
     )
 
 
+def _flag(lowered: str, term: str) -> Column:
+    """The flag of a term on a column that is in lower case already."""
+    return contains_flag(lowered, normalise(term), case_sensitive=True)
+
+
 def match_odds(
     lines: DataFrame, key: str, column: str, wanted: Sequence[str]
 ) -> DataFrame:
@@ -58,7 +66,7 @@ def match_odds(
     flagged = lines.where(F.col(key).isNotNull()).select(key, F.lower(column).alias("_c"))
     sums = flagged.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.sum(contains_flag("_c", t)).alias(f"_t{i}") for i, t in enumerate(wanted)],
+        *[F.sum(_flag("_c", t)).alias(f"_t{i}") for i, t in enumerate(wanted)],
     )
     rows = F.array(*[
         F.struct(F.lit(t).alias("term"), F.col(f"_t{i}").alias("matched")) for i, t in enumerate(wanted)
@@ -279,7 +287,7 @@ def option_lists(lines: DataFrame, terms: Terms, spec: LineSpec = LineSpec()) ->
     """The choices to offer: names and places that occur in the lines, and the fixed ones."""
     lowered = lines.select(F.lower(spec.name).alias("_name"), F.lower(spec.place).alias("_place"))
     hits = F.array_compact(F.array(*[
-        F.when(contains_flag(column, v) == 1, _option(dimension, v))
+        F.when(_flag(column, v) == 1, _option(dimension, v))
         for dimension, column, values in (
             ("name", "_name", terms.names), ("place", "_place", terms.places)
         )

@@ -14,10 +14,10 @@ from tallyrank.spec import LineSpec, Stage
 
 def test_conditional_share(spark, sorted_rows):
     df = spark.createDataFrame(
-        [(1, "A Simpson", True), (1, "x", False), (2, "x", True), (2, None, True), (3, "B Simpson", None)],
+        [(1, "A Smith", True), (1, "x", False), (2, "x", True), (2, None, True), (3, "B Smith", None)],
         "k int, who string, speaking boolean",
     )
-    hit = text.matches("who", "Simpson", case_sensitive=True)
+    hit = text.matches("who", "Smith", case_sensitive=True)
     got = df.groupBy("k").agg(
         aggregate.conditional_share(hit, "speaking").alias("s"),
         aggregate.conditional_share(hit, "speaking", "zero").alias("z"),
