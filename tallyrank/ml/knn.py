@@ -1,18 +1,24 @@
 """Exact k-nearest-neighbour regression without comparing all pairs.
 
-Training rows are laid out along one feature (the axis) and cut into cells of
+Training rows are laid out along a direction (the axis) and cut into cells of
 equal size. A first look at a row's own and adjacent cells bounds how far its
 k-th neighbour can be; since no distance is smaller than the difference along
 the axis, only cells within that bound need a second look.
+
+The axis weighs every feature by its variance. It follows a feature that spreads
+the rows far more than the others, and still tells rows apart that share a value
+of it. Of equal training rows only the k first can ever be chosen, so the others
+are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.operators.ordering import range_bounds, range_count, running_total
@@ -20,29 +26,39 @@ from tallyrank.operators.rank import topk
 from tallyrank.session import write_through
 
 
-def widest_feature(df: DataFrame, features: Sequence[str]) -> str:
-    """The feature with the largest variance, which prunes best as the axis."""
-    spread = df.agg(*[F.coalesce(F.var_pop(f), F.lit(0.0)).alias(f) for f in features]).first()
-    return max(features, key=lambda f: spread[f])
+def axis_weights(df: DataFrame, features: Sequence[str]) -> list[float]:
+    """A unit vector with the variances of the features as its proportions."""
+    spread = df.agg(*[F.coalesce(F.var_pop(f), F.lit(0.0)) for f in features]).first()
+    length = math.sqrt(math.fsum(v * v for v in spread))
+    if not length:
+        return [1.0] + [0.0] * (len(features) - 1)
+    return [v / length for v in spread]
 
 
 def knn_predict(
     train: DataFrame, queries: DataFrame, features: Sequence[str], target: str, *,
-    key: str = "id", k: int = 5, axis: str | None = None, cell_rows: int = 16, out: str = "predicted",
+    key: str = "id", k: int = 5, weights: Sequence[float] | None = None, cell_rows: int = 16,
+    out: str = "predicted",
 ) -> DataFrame:
-    """Mean target of the k nearest training rows (Euclidean, ties to the smaller key)."""
+    """Mean target of the k nearest training rows (Euclidean, ties to the smaller key).
+
+    ``weights`` gives the axis, a vector of length one, where it is known.
+    """
     cell_rows = max(cell_rows, k)
-    axis = axis or widest_feature(train, features)
-    bounds = range_bounds(train, [axis], range_count(train, None))[0]
+    weights = weights or axis_weights(train, features)
     point = [F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
+    at = reduce(add, [F.col(f).cast("double") * w for f, w in zip(features, weights)])
+    if key not in features:
+        train = topk(train, [], k, by=list(features), tie=key)
     known = train.select(
-        F.col(key).alias("_id"), F.col(axis).cast("double").alias("_at"),
+        F.col(key).alias("_id"), at.alias("_at"),
         F.col(target).cast("double").alias("_y"), F.lit(0).alias("_probe"), *point,
     )
     asked = queries.select(
-        F.col(key).alias("_id"), F.col(axis).cast("double").alias("_at"),
+        F.col(key).alias("_id"), at.alias("_at"),
         F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_probe"), *point,
     )
+    bounds = range_bounds(known, ["_at"], range_count(train, None))[0]
     placed = write_through(
         running_total(
             known.unionByName(asked), "_at", 1 - F.col("_probe"), "_rank",
@@ -85,11 +101,17 @@ def _reach(found: DataFrame, k: int) -> DataFrame:
     ).where(F.col("_n") == k).drop("_n")
 
 
+def _with_slack(reach: Column, at: Column) -> Column:
+    """The reach a little wider, to stay safe where rounding makes the axis inexact."""
+    return (reach + F.abs(at) + 1) * 1e-9 + reach
+
+
 def _cells_within_reach(
     rows: DataFrame, probes: DataFrame, reach: DataFrame, cell_rows: int, bounds: Sequence[float]
 ) -> DataFrame:
     """Each probe with every cell not looked at yet that may hold rows within its reach."""
-    ends = probes.join(reach, "_id").select(
+    within = probes.join(reach, "_id").withColumn("_reach", _with_slack(F.col("_reach"), F.col("_at")))
+    ends = within.select(
         "_id",
         F.inline(F.array(*[
             F.struct((F.col("_at") + F.col("_reach") * side).alias("_at"), F.lit(side).alias("_side"))
@@ -108,4 +130,4 @@ def _cells_within_reach(
         F.floor(below / cell_rows).alias("_from"), F.floor((upto - 1) / cell_rows).alias("_to")
     ).where("_from <= _to")
     cells = F.filter(F.sequence("_from", "_to"), lambda c: F.abs(c - F.col("_home")) > 1)
-    return probes.join(reach, "_id").join(spans, "_id").withColumn("_cell", F.explode(cells))
+    return within.join(spans, "_id").withColumn("_cell", F.explode(cells))

@@ -107,7 +107,8 @@ def brute_force(train, queries, k):
 
 @pytest.mark.parametrize("spread", [1.0, 40.0, 4000.0])
 @pytest.mark.parametrize("hot", [False, True])
-def test_neighbours_as_brute_force(spark, spread, hot):
+@pytest.mark.parametrize("weights", [None, [1.0, 0.0, 0.0]])
+def test_neighbours_as_brute_force(spark, spread, hot, weights):
     """With a weak axis, and with a third of all rows at one point of it."""
     source = random.Random(3)
     points = {
@@ -120,11 +121,20 @@ def test_neighbours_as_brute_force(spark, spread, hot):
     asked = spark.createDataFrame([(i, *p) for i, p in points.items()], schema)
     got = {
         r.id: r.predicted
-        for r in knn_predict(known, asked, ["a", "b", "c"], "y", axis="a", cell_rows=5).collect()
+        for r in knn_predict(known, asked, ["a", "b", "c"], "y", weights=weights, cell_rows=5).collect()
     }
     assert got == pytest.approx(brute_force(train, points, 5))
 
 
+def test_neighbours_with_a_third_of_equal_rows(spark):
+    """Equal rows are cut to k before they meet, and the first by key are chosen."""
+    points = {i: (1.0, 2.0) if i % 3 == 0 else (float(i % 50), float(i % 7)) for i in range(300)}
+    train = {i: (p, float(i % 13)) for i, p in points.items()}
+    known = spark.createDataFrame([(i, *p, y) for i, (p, y) in train.items()], "id long, a double, b double, y double")
+    got = {r.id: r.predicted for r in knn_predict(known, known, ["a", "b"], "y", k=3).collect()}
+    assert got == pytest.approx(brute_force(train, points, 3))
+
+
 def test_neighbours_of_a_tiny_training_set(spark):
     known = spark.createDataFrame([(1, 0.0, 2.0), (2, 9.0, 4.0)], "id long, a double, y double")
     asked = spark.createDataFrame([(7, 3.0), (8, 500.0)], "id long, a double")
