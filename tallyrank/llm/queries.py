@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm import langid, urlfilter
+from tallyrank.llm import langid, packing, piece, simhash, urlfilter
 from tallyrank.llm.common import remainder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,14 @@ URL_RULES = (
 )
 
 
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies, here and in tasks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(function):
     REGISTRY[function.__name__] = function
     return function
@@ -46,3 +54,22 @@ def op2_url_filter(spark, sf_dir):
     pages = read(spark, sf_dir, "pages", "page_id", "url")
     judged = urlfilter.judged(pages, urlfilter.fit(pages), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op3_simhash(spark, sf_dir):
+    found = simhash.near_copies(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_sentencepiece(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents", "doc_id", "text")
+    trip = piece.round_trip(F.col("text"), vocabulary("piece_bpe_32k.model"))
+    return documents.select("doc_id", trip.alias("t")).select("doc_id", "t.*")
+
+
+@query
+def op10_packing(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(packing.pieces(documents, vocabulary("byte_bpe_50k.json")))
