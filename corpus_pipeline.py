@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyrank.llm import langid
+from tallyrank.llm import langid, packing, secrets, simhash, toxicity
+from tallyrank.llm.queries import vocabulary
 from tallyrank.session import scratch_path
 
 #: SQL cannot express the stages; a test runs them against brute force.
 ORACLE_SQL = None
 #: Smallest likeness to a language's profile that a document must reach.
 LEAST_LANGUAGE = 0.35
+#: Toxicity score from which a document goes.
+MOST_TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +24,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, langid.fit(docs), least=LEAST_LANGUAGE)
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that a model of the labelled ones does not find toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean(docs, toxicity.fit(docs, labels), most=MOST_TOXIC)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: shingles of five words, 0.8 alike."""
+    return simhash.one_of_each(docs, words=5, radius=6, similarity=0.8)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret; ``n_chars`` is that of the masked text."""
+    found = secrets.scan(docs, secrets.fit(docs), out="_secrets")
+    masked = found.withColumn("text", secrets.mask(F.col("text"), F.col("_secrets.all")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in windows of equal size."""
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json")))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
+    ("toxicity", without_toxic),
+    ("simhash", without_copies),
+    ("secrets", without_secrets),
+    ("packing", packed),
 ]
 
 

@@ -11,8 +11,8 @@ pair of blocks deals the distinct fingerprints into shards by their bits there.
 becomes a BK-tree: children hang below their parent by their Hamming distance to it, and a
 search for all within the radius follows only children whose distance is within the radius
 of the parent's own. A shard of more than ``LIMIT`` fingerprints is dealt once more by two
-blocks of the bits that are left, and again: after the second time a shard has at most 256
-(radius 2). So trees are bounded, no link is lost, and no pairs are written: a shard gives
+blocks of the bits that are left, and again, until it is small or too few bits are left to cut: with
+radius 2 a shard then has 256 at most. So trees are bounded, no link is lost, and no pairs are written: a shard gives
 one link from each fingerprint to the smallest of those it reaches there.
 
 Components. The links are joined by alternating large-star and small-star steps, each a
@@ -47,6 +47,8 @@ SEED = 42
 BLOCK = 1 << 20
 #: Fingerprints of one tree.
 LIMIT = 8192
+#: Up to so many are searched one by one, more in blocks.
+FEW = 48
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -60,29 +62,32 @@ def _word_blocks(data: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def _bits(shingles: list[bytes]) -> np.ndarray:
-    """How many of the hashes have each bit set, the lowest bit first."""
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    planes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return planes.sum(axis=0, dtype=np.int64)
+def _shingle_blocks(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of a text, repeats included."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    digest, carry, any_ = xxhash.xxh64_intdigest, [], False
+    for block in _word_blocks(data):
+        carry += block
+        if len(carry) >= words:
+            any_ = True
+            shingles = zip(*(carry[i:] for i in range(words)))
+            yield np.array([digest(b" ".join(s), SEED) for s in shingles], dtype="<u8")
+            carry = carry[len(carry) - words + 1:]
+    if carry and not any_:
+        yield np.array([digest(b" ".join(carry), SEED)], dtype="<u8")
+
+
+def hashes_of(text: str | None, words: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, dtype="<u8"), *_shingle_blocks(text, words)])
 
 
 def fingerprint_of(text: str | None, words: int = 3) -> int:
     """The unsigned fingerprint of one text."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    total, n, carry = np.zeros(64, dtype=np.int64), 0, []
-    for block in _word_blocks(data):
-        held = carry + block
-        if len(held) >= words:
-            shingles = [b" ".join(s) for s in zip(*(held[i:] for i in range(words)))]
-            total += _bits(shingles)
-            n += len(shingles)
-            carry = held[len(held) - words + 1:]
-        else:
-            carry = held
-    if not n:
-        return xxhash.xxh64_intdigest(b" ".join(carry), SEED) if carry else 0
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in _shingle_blocks(text, words):
+        planes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += planes.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
@@ -189,8 +194,34 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
+def _few_roots(values: list[int], radius: int) -> list[int]:
+    """Roots in a shard of few fingerprints: each searches the tree, then joins it."""
+    below: list[dict[int, int]] = [{} for _ in values]
+    parent = list(range(len(values)))
+    for i in range(1, len(values)):
+        own, todo = values[i], [0]
+        while todo:
+            at = todo.pop()
+            away = (own ^ values[at]).bit_count()
+            if away <= radius:
+                a, b = _root(parent, i), _root(parent, at)
+                parent[max(a, b)] = min(a, b)
+            todo += [c for d, c in below[at].items() if away - radius <= d <= away + radius]
+        at = 0
+        while True:
+            child = below[at].setdefault((own ^ values[at]).bit_count(), i)
+            if child == i:
+                break
+            at = child
+    return [_root(parent, i) for i in range(len(values))]
+
+
 def shard_links(fps: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is connected inside one shard; ``fps`` ascend and are distinct."""
+    if len(fps) <= FEW:
+        roots = np.array(_few_roots(fps.tolist(), radius))
+        moved = np.flatnonzero(roots != np.arange(len(fps)))
+        return fps[moved], fps[roots[moved]]
     tree, parent = Tree(fps), list(range(len(fps)))
     for start in range(0, len(fps), block):
         asked, node = tree.within(fps[start:start + block], radius)
@@ -288,27 +319,71 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", *, words
     return marked.join(components(marked, radius), "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
+def shingle_set(text: Column, words: int) -> Column:
+    """Distinct hashes of a text's shingles."""
+
+    @F.arrow_udf("array<long>")
+    def shingled(column: pa.Array) -> pa.Array:
+        found = [np.unique(hashes_of(t, words)).view(np.int64) for _, part in texts(column) for t in part]
+        return pa.array(found, pa.list_(pa.int64()))
+
+    return shingled(text)
+
+
+def _unlike(df: DataFrame, near: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """The (h, first) of ``near`` whose shingle sets are less than ``similarity`` alike."""
+    wanted = near.select("h").union(near.select("first")).distinct()
+    sets = (
+        df.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).join(wanted, "h", "left_semi")
+        .groupBy("h").agg(F.min("t").alias("t")).select("h", shingle_set(F.col("t"), words).alias("own"))
+    )
+    sets = write_through(sets, "shingle-sets")
+    pairs = near.join(sets, "h").join(sets.select(F.col("h").alias("first"), F.col("own").alias("its")), "first")
+    shared = F.size(F.array_intersect("own", "its"))
+    return pairs.where(shared < similarity * (F.size("own") + F.size("its") - shared)).select("h", "first")
+
+
 def one_of_each(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 3, radius: int = 2,
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, radius: int = 6, similarity: float = 0.8,
 ) -> DataFrame:
-    """One row of each component: that of the smallest key. Columns stay as they are.
+    """One row of each group of near copies: that of the smallest key. Columns stay as they are.
 
-    Rows without a key give way to rows that have one; of rows that repeat the key as well,
-    any one stays.
+    Fingerprints propose the groups. A text that differs from its group's first one leaves
+    only if the sets of their shingles are ``similarity`` alike; if it does not, one row of
+    that text stays. Rows without a key give way to rows that have one; of rows that repeat
+    key and text any one stays.
     """
-    fp, again = fresh("fp"), fresh("again")
-    found = near_copies(df, key, text, words=words, radius=radius)
-    found = found.select(F.col(key).alias("k"), F.col("fp").alias("f"), "component_id").groupBy("k", "f").agg(
-        F.min("component_id").alias("c"), F.count("*").alias("n")
+    h, again = fresh("h"), fresh("again")
+    marked = df.select(
+        F.col(key).alias("k"), fingerprint(F.col(text), words).alias("fp"), F.xxhash64(text).alias("h")
+    ).groupBy("k", "fp", "h").agg(F.count("*").alias("n"))
+    marked = write_through(marked, "simhash")
+    grouped = marked.join(components(marked.select(F.col("k").alias("doc_id"), "fp"), radius), "fp")
+    grouped = write_through(grouped.withColumnRenamed("component_id", "c"), "groups")
+    # the first text of each group, and the other texts with their smallest key
+    firsts = grouped.groupBy("c", "fp", "h").agg(F.min("k").alias("k"))
+    heads = firsts.where(F.col("k").eqNullSafe(F.col("c"))).groupBy("c").agg(
+        F.min(F.struct("fp", "h")).alias("first")
+    ).select("c", F.col("first")["fp"].alias("first_fp"), F.col("first")["h"].alias("first"))
+    near = firsts.join(heads, "c").where("h != first").select("h", "first", "c", "k")
+    near = write_through(near, "near-texts")
+    unlike = _unlike(df, near.select("h", "first").distinct(), text, words, similarity)
+    alone = near.join(unlike, ["h", "first"]).select(F.col("c").alias("a_c"), F.col("h").alias("a_h"), F.col("k").alias("a_k"))
+    lone = F.col("c").eqNullSafe(F.col("a_c")) & (F.col("h") == F.col("a_h"))
+    leads = heads.select(F.col("c").alias("h_c"), F.col("first").alias("h_h"))
+    lead = F.col("c").eqNullSafe(F.col("h_c")) & (F.col("h") == F.col("h_h"))
+    chosen = grouped.join(alone, lone, "left").join(leads, lead, "left").withColumn(
+        "stays",
+        F.when(F.col("a_h").isNotNull(), F.col("k").eqNullSafe(F.col("a_k")))
+        .when(F.col("h_h").isNotNull() | F.col("c").isNull(), F.col("k").eqNullSafe(F.col("c")))
+        .otherwise(False),
     )
     found = write_through(
-        found.where(~F.col("k").eqNullSafe(F.col("c")) | (F.col("n") > 1)).select(
-            "k", "f", F.col("k").eqNullSafe(F.col("c")).alias(again)
-        ),
+        chosen.where(~F.col("stays") | (F.col("n") > 1)).select("k", F.col("h").alias("o"), F.col("stays").alias(again)),
         "copies",
     )
-    marked = df.withColumn(fp, fingerprint(F.col(text), words))
-    same = F.col(key).eqNullSafe(F.col("k")) & (F.col(fp) == F.col("f"))
-    single = marked.join(found, same, "left_anti")
-    repeated = marked.join(found.where(again), same, "left_semi").dropDuplicates([key, fp])
+    rows = df.withColumn(h, F.xxhash64(text))
+    same = F.col(key).eqNullSafe(F.col("k")) & (F.col(h) == F.col("o"))
+    single = rows.join(found, same, "left_anti")
+    repeated = rows.join(found.where(again), same, "left_semi").dropDuplicates([key, h])
     return single.union(repeated).select(*df.columns)
