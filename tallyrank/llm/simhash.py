@@ -334,7 +334,7 @@ def _unlike(df: DataFrame, near: DataFrame, text: str, words: int, similarity: f
     """The (h, first) of ``near`` whose shingle sets are less than ``similarity`` alike."""
     wanted = near.select("h").union(near.select("first")).distinct()
     sets = (
-        df.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).join(wanted, "h", "left_semi")
+        df.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).join(wanted, "h", "left_semi")
         .groupBy("h").agg(F.min("t").alias("t")).select("h", shingle_set(F.col("t"), words).alias("own"))
     )
     sets = write_through(sets, "shingle-sets")
@@ -353,7 +353,7 @@ def one_of_each(
     that text stays. Rows without a key give way to rows that have one; of rows that repeat
     key and text any one stays.
     """
-    h, again = fresh("h"), fresh("again")
+    h, again, whose, of = fresh("h"), fresh("again"), fresh("whose"), fresh("of")
     marked = df.select(
         F.col(key).alias("k"), fingerprint(F.col(text), words).alias("fp"), F.xxhash64(text).alias("h")
     ).groupBy("k", "fp", "h").agg(F.count("*").alias("n"))
@@ -379,11 +379,13 @@ def one_of_each(
         .otherwise(False),
     )
     found = write_through(
-        chosen.where(~F.col("stays") | (F.col("n") > 1)).select("k", F.col("h").alias("o"), F.col("stays").alias(again)),
+        chosen.where(~F.col("stays") | (F.col("n") > 1)).select(
+            F.col("k").alias(whose), F.col("h").alias(of), F.col("stays").alias(again)
+        ),
         "copies",
     )
     rows = df.withColumn(h, F.xxhash64(text))
-    same = F.col(key).eqNullSafe(F.col("k")) & (F.col(h) == F.col("o"))
+    same = F.col(key).eqNullSafe(F.col(whose)) & (F.col(h) == F.col(of))
     single = rows.join(found, same, "left_anti")
     repeated = rows.join(found.where(again), same, "left_semi").dropDuplicates([key, h])
     return single.union(repeated).select(*df.columns)

@@ -103,7 +103,7 @@ class Nearest:
         near = np.sort(np.concatenate((self.best[asked], away), axis=1), axis=1)[:, :self.k]
         self.best[asked] = near
         self.bound[asked] = np.minimum(self.bound[asked], near[:, -1])
-        row, column = np.nonzero(away <= self.bound[asked][:, None] + SLACK)
+        row, column = np.nonzero((away <= self.bound[asked][:, None] + SLACK) & np.isfinite(away))
         self.found.append((asked[row], places[column], away[row, column]))
 
     def walk(self, node, asked: np.ndarray) -> None:
