@@ -1,6 +1,7 @@
 """Views over the test tables with the shape the library works on.
 
-The SELECTs run unchanged in Spark SQL and DuckDB; ``{table}`` stands for a table.
+The SELECTs run in Spark SQL and DuckDB; ``{table}`` stands for a table. ``{nan}`` is NaN in
+Spark and NULL in DuckDB: to the library both mean that a value is missing.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ TEXT_TERMS = ("sing", "ing", "the")
 SOURCE_TERMS = ("src1", "src10")
 DEFAULT = {"id": -1, "title": "no match", "rating": 0.0, "image": "img/none", "link": "vid/none"}
 
+NAN = "cast('NaN' as double)"
+
 ITEMS = """
 select o_orderkey as id, concat(o_orderpriority, ' ', o_orderstatus) as title,
   case when o_orderkey % 19 = 0 then null else cast(o_orderdate as date) end as air_date,
   cast(year(o_orderdate) - 1994 as bigint) as season,
   cast(month(o_orderdate) as bigint) as number_in_season,
   case when o_orderkey % 10 = 0 then null else o_totalprice / cast(20000 as double) end as viewers,
-  case when o_orderkey % 13 = 0 then null
+  case when o_orderkey % 13 = 0 then null when o_orderkey % 17 = 0 then {nan}
        else cast(floor(10 + 90 * o_totalprice / 500000) as double) / cast(10 as double) end as rating,
   concat('img/', cast(o_orderkey as varchar(20))) as image,
   concat('vid/', cast(o_orderkey as varchar(20))) as link
@@ -45,7 +48,7 @@ select l_orderkey as item_id,
   n_name as place,
   concat(p_type, ' ', p_name, ' ', p_brand) as txt,
   case when l_linenumber = 7 then null else l_linestatus = 'F' end as speaking,
-  l_quantity * 3 as words
+  case when l_suppkey % 31 = 0 then {nan} else l_quantity * 3 end as words
 from {lineitem}
 join {part} on l_partkey = p_partkey
 join {supplier} on l_suppkey = s_suppkey
@@ -53,7 +56,7 @@ join {nation} on s_nationkey = n_nationkey
 """
 
 SERIES = """
-select event_id, user_id, case when event_id % 7 in (0, 1) then null else value end as value
+select event_id, user_id, case when event_id % 7 in (0, 1) then null when event_id % 11 = 3 then {nan} else value end as value
 from {events}
 """
 
@@ -80,7 +83,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
+    return spark.sql(sql.replace("{nan}", NAN), **{t: table(spark, sf_dir, t) for t in tables})
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +114,7 @@ _NAMES = ("orders", "lineitem", "part", "supplier", "nation", "events", "custome
 
 
 def _duck(sql: str) -> str:
-    return sql.format(**{t: t for t in _NAMES})
+    return sql.format(nan="null", **{t: t for t in _NAMES})
 
 
 CTE = {

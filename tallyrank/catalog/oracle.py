@@ -137,7 +137,7 @@ SQL["left_join_agg"] = _with(
 
 SQL["inner_join_titles"] = _with(
     """select a.id, a.viewers as views, a.rating, b.title
-from (select * from items where rating is not null) a join items b on a.id = b.id""", "items",
+from items a join items b on a.id = b.id""", "items",
 )
 
 SQL["aligned_ratio"] = _with(
@@ -297,7 +297,7 @@ SQL["describe"] = _with(
   round(stddev_samp({c}), 6) as std, round(min({c})::double, 9) as min,
   round(quantile_cont({c}::double, 0.25), 9) as p25, round(quantile_cont({c}::double, 0.5), 9) as p50,
   round(quantile_cont({c}::double, 0.75), 9) as p75, round(max({c})::double, 9) as max from clean"""
-        for c in ("season", "number_in_season", "views", "rating", "title_len", "cycle_year")
+        for c in ("id", "season", "number_in_season", "views", "rating", "title_len", "cycle_year")
     ), "items", clean=_CLEAN,
 )
 SQL["null_profile"] = _with(
@@ -341,6 +341,11 @@ SQL["key_coverage"] = _with(
 from lines""", "lines",
 )
 
+SQL["missing_keys"] = _with(
+    """select k as item_id from (select unnest(range((select min(item_id) from lines),
+  (select max(item_id) from lines) + 1)) as k) where k not in (select item_id from lines)""", "lines",
+)
+
 # --- item tables ---
 
 SQL["clean_items"] = _with("select * from clean", "items", clean=_CLEAN)
@@ -391,12 +396,12 @@ SQL["fill_zero"] = _with("select event_id, user_id, coalesce(value, 0) as value
 SQL["topk"] = _with(
     """select season, id, rating, viewers, place from (
   select *, row_number() over (
-    partition by season order by rating desc, viewers desc nulls last, id) as place from rated)
+    partition by season order by rating desc nulls last, viewers desc nulls last, id) as place from rated)
 where place <= 5
 union all select null, id, rating, viewers, place from (
-  select *, row_number() over (order by rating desc, viewers desc nulls last, id) as place from rated)
+  select *, row_number() over (order by rating desc nulls last, viewers desc nulls last, id) as place from rated)
 where place <= 5""", "items",
-    rated="select season, id, rating, viewers from items where rating is not null",
+    rated="select season, id, rating, viewers from items",
 )
 
 for _name, _column, _terms in (
@@ -416,8 +421,10 @@ from items left join scores on id = item_id""", "items", "lines", scores=_SCORES
     )
 
 SQL["time_series"] = _with(
-    """select air_date as x, id, 'rating' as series, rating as y from items where air_date is not null
-union all select air_date, id, 'views', viewers from items where air_date is not null""", "items",
+    """select x, id, 'rating' as series, rating as y from filled where x is not null
+union all select x, id, 'views', views from filled where x is not null""", "items",
+    filled=f"""select id, {_next('air_date', 'id')} as x, {_next('viewers', 'id')} as views,
+  {_next('rating', 'id')} as rating from items""",
 )
 SQL["feature_target_pairs"] = _with(
     " union all ".join(
@@ -461,6 +468,10 @@ SQL["rmse"] = _with(
     "items", "lines", **_KNN_VIEWS,
 )
 SQL["predicted_vs_actual"] = _with(
+    "select id, round(rating, 6) as rating, round(predicted, 6) as predicted from neighbours",
+    "items", "lines", **_KNN_VIEWS,
+)
+SQL["predicted_vs_actual_strided"] = _with(
     """select id, round(rating, 6) as rating, round(predicted, 6) as predicted, position
 from (select *, row_number() over (order by id) - 1 as position from neighbours) where position % 4 = 0""",
     "items", "lines", **_KNN_VIEWS,
@@ -476,3 +487,34 @@ from grid left join (
     "items", "lines", **_cascade(1), **_MODEL_VIEWS,
     near=_near("(select * from tagged where id in (select id from best))"),
 )
+
+# --- rating models on features of few values: every tree predicts its group's training mean ---
+
+_GROUP = "number_in_season, cycle_year"
+_MEANS = f"select {_GROUP}, avg(rating) as predicted from tagged where split = 'train' group by {_GROUP}"
+_PURE_VIEWS = {
+    **_MODEL_VIEWS, "means": _MEANS,
+    "pure": f"select tagged.*, predicted from tagged join means using ({_GROUP})",
+    "models": "select unnest(['forest', 'boosting', 'gradient_boosting']) as model",
+}
+SQL["models_group_mean"] = _with(
+    "select model, id, split, round(predicted, 6) as predicted from pure, models", "items", "lines", **_PURE_VIEWS
+)
+SQL["comparison_group_mean"] = _with(
+    """select model, split, round(sqrt(avg(pow(rating - predicted, 2))), 6) as rmse from pure, models
+group by model, split""", "items", "lines", **_PURE_VIEWS,
+)
+_FOLD = "(('0x' || substr(md5(cast(id as varchar) || 'fold'), 1, 8))::bigint % 4)::int"
+SQL["cv_folds"] = _with(f"select id, {_FOLD} as fold from items", "items")
+SQL["cv_group_mean"] = _with(
+    f"""select model as stage, 'cv' as split, round(sqrt(avg(mse)), 6) as rmse from (
+  select t.fold, avg(pow(t.rating - m.predicted, 2)) as mse from folded t join (
+    select f.fold, {_GROUP}, avg(rating) as predicted from folded o, (select unnest(range(4))::int as fold) f
+    where o.fold <> f.fold group by f.fold, {_GROUP}
+  ) m using (fold, {_GROUP.replace(', ', ',')}) group by t.fold), models group by model""",
+    "items", "lines", **_PURE_VIEWS, folded=f"select *, {_FOLD} as fold from imputed",
+)
+SQL["stack_group_mean"] = _with(
+    """select id, title, season, views, round(pure.rating, 6) as rating, round(predicted, 6) as predicted
+from pure join (select id, title from items) using (id)""", "items", "lines", **_PURE_VIEWS,
+)

@@ -54,7 +54,7 @@ def scan_csv(spark, sf):
         .otherwise(F.col("o_totalprice").cast("string")).alias("price"),
         F.to_date("o_orderdate").alias("day"),
     ).write.options(header=True, quote='"', escape='"').csv(path)
-    return tables.read_csv(spark, path, "id bigint, note string, price double, day date")
+    return tables.read_csv(spark, path, "id bigint, note string, price double, day date", multi_line=True)
 
 
 @query
@@ -149,15 +149,11 @@ def dropna_any(spark, sf):
 
 @query
 def strided_sample(spark, sf):
-    items = fx.items(spark, sf).select("id", "rating")
-    slices = (("early", 0, 276, 4), ("late", 276, 600, 4), ("rest", 600, None, 4))
-    samples = [
-        ordering.strided_sample(items, "id", start, stop, step).select(
-            F.lit(name).alias("series"), "position", "id", "rating"
-        )
-        for name, start, stop, step in slices
-    ]
-    return samples[0].unionByName(samples[1]).unionByName(samples[2])
+    items = fx.items(spark, sf)
+    slices = {"early": (0, 276, 4), "late": (276, 600, 4), "rest": (600, None, 4)}
+    return ordering.strided_slices(
+        items.select("id", scalars.known_in(items, "rating")), "id", slices, name="series"
+    ).select("series", "position", "id", "rating")
 
 
 @query
@@ -176,12 +172,12 @@ def speaking_lines(spark, sf):
 
 @query
 def filtered_count(spark, sf):
-    return profile.filtered_count(fx.lines(spark, sf), F.col(LINE.words) >= 100, LINE.speaking)
+    return profile.filtered_count(fx.lines(spark, sf), scalars.at_least(LINE.words, 100), LINE.speaking)
 
 
 @query
 def long_rows(spark, sf):
-    return fx.lines(spark, sf).where(F.col(LINE.words) >= 100).select("who", "item_id", "words")
+    return fx.lines(spark, sf).where(scalars.at_least(LINE.words, 100)).select("who", "item_id", "words")
 
 
 # --- joins -------------------------------------------------------------------
@@ -201,8 +197,7 @@ def left_join_agg(spark, sf):
 @query
 def inner_join_titles(spark, sf):
     items = fx.items(spark, sf)
-    scored = features.clean_items(items).where(F.col("rating").isNotNull()).select("id", "views", "rating")
-    return scored.join(items.select("id", "title"), "id")
+    return features.clean_items(items).select("id", "views", "rating").join(items.select("id", "title"), "id")
 
 
 @query
@@ -256,18 +251,20 @@ def lookup_join(spark, sf):
 
 @query
 def group_sum(spark, sf):
+    lines = fx.lines(spark, sf)
     return aggregate.grouped(
-        fx.lines(spark, sf), LINE.key,
-        F.sum("words").alias("words"),
+        lines, LINE.key,
+        F.sum(scalars.known_in(lines, "words")).alias("words"),
         F.sum(text.contains_flag(LINE.name, "old")).alias("matched"),
     )
 
 
 @query
 def group_mean_max(spark, sf):
+    lines = fx.lines(spark, sf)
+    words = scalars.known_in(lines, "words")
     return aggregate.grouped(
-        fx.lines(spark, sf), LINE.key,
-        F.round(F.avg("words"), 6).alias("mean_words"), F.max("words").alias("max_words"),
+        lines, LINE.key, F.round(F.avg(words), 6).alias("mean_words"), F.max(words).alias("max_words"),
     )
 
 
@@ -317,7 +314,7 @@ def metric_summary(spark, sf):
 @query
 def describe(spark, sf):
     items = features.clean_items(fx.items(spark, sf))
-    numeric = ["season", "number_in_season", "views", "rating", "title_len", "cycle_year"]
+    numeric = ["id", "season", "number_in_season", "views", "rating", "title_len", "cycle_year"]
     exact = [F.round(c, 9).alias(c) for c in ("min", "p25", "p50", "p75", "max")]
     return profile.describe(items, numeric).select(
         "metric", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *exact
@@ -349,10 +346,15 @@ def fixed_bins(spark, sf):
 
 @query
 def key_coverage(spark, sf):
-    """Coverage of item ids by the lines, with the listed missing ids counted as a check."""
+    """Coverage of item ids by the lines, with the gaps between them counted as a check."""
     lines = fx.lines(spark, sf)
-    listed = aggregate.missing_keys(lines, LINE.key).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return aggregate.key_coverage(lines, LINE.key).withColumn("n_listed", listed)
+    return aggregate.key_coverage(lines, LINE.key).withColumn("n_listed", aggregate.missing_count(lines, LINE.key))
+
+
+@query
+def missing_keys(spark, sf):
+    """Item ids that no line has, between the smallest and the largest that one has."""
+    return aggregate.missing_keys(fx.lines(spark, sf), LINE.key)
 
 
 # --- imputation --------------------------------------------------------------
@@ -394,7 +396,8 @@ def fill_zero(spark, sf):
 @query
 def topk(spark, sf):
     """The five best items of each season, and over all seasons."""
-    items = fx.items(spark, sf).where(F.col("rating").isNotNull()).select("season", "id", "rating", "viewers")
+    items = fx.items(spark, sf)
+    items = items.select("season", "id", scalars.known_in(items, "rating"), "viewers")
     per_season = rank.topk(items, ["rating", "viewers"], 5, by=["season"], rank="place")
     overall = rank.topk(items, ["rating", "viewers"], 5, rank="place")
     return per_season.unionByName(overall.withColumn("season", F.lit(None).cast("bigint")))
@@ -424,7 +427,16 @@ def recommend_all(spark, sf):
 
 @query
 def option_lists(spark, sf):
-    return recommend.option_lists(fx.lines(spark, sf), fx.TERMS)
+    """The choices, with names and places from lookup lists whose rows end in a stray delimiter."""
+    values = {}
+    for dimension, terms in (("name", fx.TERMS.names), ("place", fx.TERMS.places)):
+        path = scratch_path(spark, dimension)
+        rows = spark.createDataFrame([(t,) for t in terms], "value string")
+        rows.select(F.concat("value", F.lit(",")).alias("value,")).write.options(
+            header=True, sep="\u0001", quote="\u0000", escape="\u0000"
+        ).csv(path)
+        values[dimension] = tables.read_lookup(spark, path, "value")
+    return recommend.options(fx.lines(spark, sf), values["name"], values["place"])
 
 
 # --- item tables -------------------------------------------------------------
@@ -481,7 +493,11 @@ def topic_score(spark, sf):
 
 @query
 def time_series(spark, sf):
-    return charts.time_series(features.clean_items(fx.items(spark, sf)), "air_date", ["rating", "views"])
+    """The series behind the chart, back-filled, written as CSV and read again."""
+    items = features.clean_items(fx.items(spark, sf), fill="before", keep_urls=False)
+    path = scratch_path(spark, "series")
+    tables.write_series(charts.time_series(items, "air_date", ["rating", "views"]), path)
+    return tables.read_csv(spark, path, "x date, id bigint, series string, y double")
 
 
 @query
@@ -493,10 +509,6 @@ def feature_target_pairs(spark, sf):
 
 
 # --- rating models -----------------------------------------------------------
-# Rounds and trees are kept small here; the defaults of the library are larger.
-
-SMALL_FIRST = {"maxIter": 6}
-SMALL_SECOND = {"maxIter": 6}
 
 
 def _model_table(spark, sf):
@@ -531,6 +543,13 @@ def rmse(spark, sf):
 
 @query
 def predicted_vs_actual(spark, sf):
+    """Every item by id, with its predicted and its actual rating."""
+    series = charts.predicted_vs_actual(_neighbours(_model_table(spark, sf)))
+    return series.withColumns({c: F.round(c, 6) for c in ("rating", "predicted")})
+
+
+@query
+def predicted_vs_actual_strided(spark, sf):
     """Every fourth item by id, with its predicted and its actual rating."""
     series = charts.predicted_vs_actual(_neighbours(_model_table(spark, sf)))
     return ordering.strided_sample(series, "id", 0, None, 4).withColumns(
@@ -563,96 +582,95 @@ def _fitted(spark, sf, estimator):
 
 @query
 def adaboost_r2(spark, sf):
-    return _fitted(spark, sf, compare.boosting(rounds=8))
+    return _fitted(spark, sf, compare.boosting())
 
 
 @query
 def gbt_regress(spark, sf):
-    return _fitted(spark, sf, compare.gradient_boosting(rounds=8, lossType="absolute"))
+    return _fitted(spark, sf, compare.gradient_boosting(rounds=500, lossType="absolute"))
 
 
-@query
-def forest_regress(spark, sf):
-    return _fitted(spark, sf, compare.forest(trees=20, depth=8))
+def _stack(table):
+    """A stack with the stages' own settings, fitted on the training rows."""
+    train, _ = split.train_test_split(table)
+    return stack.stack_pipeline(stack.first_stage(), stack.second_stage()).fit(train)
 
 
 @query
-def cv_rmse(spark, sf):
-    vectors = stack.assembler().transform(_model_table(spark, sf))
-    errors = {
-        ("boosting", "cv"): search.cv_rmse(compare.boosting(rounds=3), vectors, 4),
-        ("gradient_boosting", "cv"): search.cv_rmse(compare.gradient_boosting(rounds=3), vectors, 5),
-    }
-    return stack.error_rows(spark, errors)
+def stack_regress(spark, sf):
+    table = _model_table(spark, sf)
+    return _stack(table).transform(split.with_split(table)).select("id", "split", "rating", stack.FIRST, "predicted")
 
 
 @query
-def random_search(spark, sf):
-    """The drawn settings with their mean score over the folds."""
-    vectors = stack.assembler().transform(_model_table(spark, sf))
-    learner = compare.gradient_boosting()
-    space = {
-        learner.maxDepth: search.GRADIENT_DEPTHS, learner.stepSize: search.GRADIENT_RATES,
-        learner.maxIter: search.Between(2, 5),
+def feature_importance(spark, sf):
+    model = _stack(_model_table(spark, sf))
+    return charts.labelled_importances(stack.feature_importances(spark, model))
+
+
+# On features of few values trees grown until nothing is left to split predict the mean of
+# their group, which SQL can tell. These queries put the whole way of the models to that test.
+
+FEW_VALUED = ("number_in_season", "cycle_year")
+PURE = {"maxDepth": 12}
+
+
+def _pure_models():
+    return {
+        "forest": compare.forest(trees=1, depth=12, bootstrap=False),
+        "boosting": compare.boosting(rounds=1, **PURE),
+        "gradient_boosting": compare.gradient_boosting(rounds=1, **PURE),
     }
-    found = search.random_search(learner, vectors, space, draws=2, folds=4)
-    rows = [
-        (i, *[float(settings[p]) for p in space], float(score))
-        for i, (settings, score) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics))
-    ]
-    return spark.createDataFrame(rows, "draw int, max_depth double, step_size double, max_iter double, r2 double")
 
 
-def _stack(spark, table):
-    """A stack with fixed settings, fitted on the training rows."""
-    train, _ = split.train_test_split(table)
-    return stack.stack_pipeline(
-        stack.first_stage(**SMALL_FIRST), stack.second_stage(**SMALL_SECOND)
-    ).fit(train)
+def _pure_vectors(spark, sf):
+    return stack.assembler(FEW_VALUED).transform(split.with_split(_model_table(spark, sf)))
+
+
+def _pure_predictions(spark, sf):
+    vectors = _pure_vectors(spark, sf)
+    train = vectors.where(F.col("split") == "train")
+    return {name: model.fit(train).transform(vectors) for name, model in _pure_models().items()}
 
 
 @query
-def stack_regress(spark, sf):
-    table = _model_table(spark, sf)
-    return _stack(spark, table).transform(split.with_split(table)).select(
-        "id", "split", "rating", stack.FIRST, "predicted"
-    )
+def models_group_mean(spark, sf):
+    """What each kind of tree model predicts for every item."""
+    parts = [
+        p.select(F.lit(name).alias("model"), "id", "split", F.round("predicted", 6).alias("predicted"))
+        for name, p in _pure_predictions(spark, sf).items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
-def retrain_until(spark, sf):
-    """A whole training run with small search ranges: the errors of both stages."""
-    first, second = stack.first_stage(), stack.second_stage()
-    result = stack.train_stack(
-        _model_table(spark, sf), draws=1, folds=2, max_rounds=2,
-        first_params={"maxIter": 3}, second_params={"maxIter": 3},
-        first_space={
-            first.loss: search.BOOST_LOSSES, first.stepSize: search.BOOST_RATES,
-            first.maxIter: search.Between(2, 5),
-        },
-        second_space={
-            second.maxDepth: search.GRADIENT_DEPTHS, second.stepSize: search.GRADIENT_RATES,
-            second.maxIter: search.Between(3, 6),
-        },
-    )
-    return stack.error_rows(spark, result.errors)
+def comparison_group_mean(spark, sf):
+    """Training and test error of each kind of tree model."""
+    parts = [compare.split_errors(p, name) for name, p in _pure_predictions(spark, sf).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("rmse", F.round("rmse", 6))
 
 
 @query
-def batch_score(spark, sf):
-    """All items scored with a saved and reloaded stack."""
-    table, path = _model_table(spark, sf), scratch_path(spark, "stack")
-    stack.save_model(_stack(spark, table), path)
-    return stack.batch_score(stack.load_model(path), table, fx.items(spark, sf))
+def cv_folds(spark, sf):
+    return split.with_folds(fx.items(spark, sf).select("id"), 4)
 
 
 @query
-def model_comparison(spark, sf):
-    table = _model_table(spark, sf)
-    return compare.compare_models(table, _stack(spark, table), trees=10, rounds=5, depth=8)
+def cv_group_mean(spark, sf):
+    """Cross-validated error of each kind of tree model, on as many folds as training takes."""
+    vectors = _pure_vectors(spark, sf)
+    errors = {(name, "cv"): search.cv_rmse(model, vectors, 4) for name, model in _pure_models().items()}
+    return stack.error_rows(spark, errors).withColumn("rmse", F.round("rmse", 6))
 
 
 @query
-def feature_importance(spark, sf):
-    model = _stack(spark, _model_table(spark, sf))
-    return charts.labelled_importances(stack.feature_importances(spark, model))
+def stack_group_mean(spark, sf):
+    """All items scored with a stack that was saved and loaded."""
+    table, path = _model_table(spark, sf), scratch_path(spark, "stack")
+    train, _ = split.train_test_split(table)
+    pipeline = stack.stack_pipeline(
+        stack.first_stage(maxIter=1, **PURE), stack.second_stage(maxIter=1, **PURE), FEW_VALUED
+    )
+    stack.save_model(pipeline.fit(train), path)
+    scored = stack.batch_score(stack.load_model(path), table, fx.items(spark, sf))
+    return scored.select("id", "title", "season", "views", *[F.round(c, 6).alias(c) for c in ("rating", "predicted")])

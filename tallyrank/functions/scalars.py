@@ -50,6 +50,22 @@ def present(column: str | Column, dtype: str) -> Column:
     return ok & ~F.isnan(column) if dtype in ("double", "float") else ok
 
 
+def known(column: str | Column, dtype: str = "double") -> Column:
+    """The value, with NaN as NULL: both mean that it is missing."""
+    column = col(column)
+    return F.when(~F.isnan(column), column) if dtype in ("double", "float") else column
+
+
+def known_in(df: DataFrame, name: str) -> Column:
+    """A column of a table by its type, under its own name, with NaN as NULL."""
+    return known(name, dict(df.dtypes)[name]).alias(name)
+
+
+def at_least(column: str | Column, bound: float) -> Column:
+    """True from ``bound`` on; a missing value, NaN included, is not there."""
+    return known(column) >= bound
+
+
 def all_present(df: DataFrame, columns: Sequence[str]) -> Column:
     """True where none of the columns is missing; plain null checks reach the file scan."""
     types = dict(df.dtypes)

@@ -1,6 +1,8 @@
-"""Jobs for ``spark-submit``: train, precompute, answer, compare.
+"""Jobs for ``spark-submit``: train, score, precompute, answer, compare.
 
-    spark-submit -m tallyrank.jobs train --items items.csv --lines lines.csv --group-term Smith --model out/model
+    spark-submit tallyrank_job.py train --items items.csv --lines lines.csv --group-term Smith --model out/model
+
+``python -m tallyrank.jobs train …`` starts the same on one machine.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from tallyrank import spec as defaults
 from tallyrank.ml import compare, stack
 from tallyrank.plans import features, recommend
 from tallyrank.plans.features import model_table
-from tallyrank.session import write_through
+from tallyrank.session import clear_scratch, write_through
 from tallyrank.sources import tables
 from tallyrank.spec import ItemSpec, LineSpec, Terms
 from tallyrank.streaming import requests as streaming
@@ -23,6 +25,7 @@ from tallyrank.streaming import requests as streaming
 # The columns of the two source files.
 ITEM_COLUMNS = (
     "id bigint, title string, original_air_date string, season int, number_in_season int, "
+    "number_in_series int, "
     "us_viewers_in_millions double, imdb_rating double, image_url string, video_url string"
 )
 LINE_COLUMNS = (
@@ -31,7 +34,7 @@ LINE_COLUMNS = (
 )
 ITEMS = ItemSpec(
     aired="original_air_date", views="us_viewers_in_millions", rating="imdb_rating",
-    image="image_url", link="video_url",
+    image="image_url", link="video_url", series="number_in_series",
 )
 LINES = LineSpec(
     key="episode_id", name="raw_character_text", place="raw_location_text", place_key="location_id",
@@ -42,11 +45,14 @@ MOST_CHOICES = 200
 EMPTY_RECORD = {"title": "", "predicted": 0.0, "rating": 0.0, "image": "", "link": ""}
 
 
-def load(spark: SparkSession, items: str, lines: str) -> tuple[DataFrame, DataFrame]:
-    """Both source files; the lines leniently, as they quote inconsistently."""
+def load(spark: SparkSession, items: str, lines: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both source files; the lines leniently, as they quote inconsistently.
+
+    ``multi_line`` is for files with line breaks in quoted fields; each is then one task.
+    """
     return (
-        tables.read_csv(spark, items, ITEM_COLUMNS, by_name=True),
-        tables.read_csv(spark, lines, LINE_COLUMNS, by_name=True, lenient=True),
+        tables.read_csv(spark, items, ITEM_COLUMNS, by_name=True, multi_line=multi_line),
+        tables.read_csv(spark, lines, LINE_COLUMNS, by_name=True, lenient=True, multi_line=multi_line),
     )
 
 
@@ -66,32 +72,42 @@ def training_table(items: DataFrame, lines: DataFrame, group_term: str) -> DataF
     )
 
 
-def train(spark, items: str, lines: str, group_term: str, model: str, **options) -> DataFrame:
+def train(
+    spark, items: str, lines: str, group_term: str, model: str, multi_line: bool = False, **options
+) -> DataFrame:
     """Trains the stack, saves it and returns the errors of both stages."""
-    result = stack.train_stack(training_table(*load(spark, items, lines), group_term), **options)
+    result = stack.train_stack(training_table(*load(spark, items, lines, multi_line), group_term), **options)
     stack.save_model(result.model, model)
     return stack.error_rows(spark, result.errors)
 
 
-def score(spark, items: str, lines: str, group_term: str, model: str) -> DataFrame:
+def scored(item_table: DataFrame, line_table: DataFrame, group_term: str, model: str) -> DataFrame:
     """All items with their predicted rating and the columns to display."""
-    item_table, line_table = load(spark, items, lines)
     table = training_table(item_table, line_table, group_term)
-    titles = item_table.select("id", "title")
-    return stack.batch_score(stack.load_model(model), table, titles)
+    return stack.batch_score(stack.load_model(model), table, item_table.select("id", "title"))
+
+
+def score(
+    spark, items: str, lines: str, group_term: str, model: str, out: str, multi_line: bool = False
+) -> None:
+    """Writes all items with their predicted rating and the columns to display."""
+    scored(*load(spark, items, lines, multi_line), group_term, model).write.mode("errorifexists").parquet(out)
 
 
 def precompute(
     spark, items: str, lines: str, names: str, places: str, group_term: str, model: str, store: str,
-    default: dict | None = None,
+    default: dict | None = None, multi_line: bool = False,
 ) -> None:
-    """Writes the record of every preference combination."""
-    item_table, line_table = load(spark, items, lines)
+    """Writes the record of every preference combination.
+
+    The lines are scanned twice: for the features and for the ranking scores.
+    """
+    item_table, line_table = load(spark, items, lines, multi_line)
     terms = Terms(
         read_choices(spark, names), read_choices(spark, places),
         defaults.SONG_TEXT_TERMS, defaults.SONG_NAME_TERMS, defaults.CIVIC_TOPIC_TERMS,
     )
-    predictions = score(spark, items, lines, group_term, model).select("id", "predicted")
+    predictions = scored(item_table, line_table, group_term, model).select("id", "predicted")
     records = recommend.recommend_all(
         spark, item_table, line_table, terms, default or EMPTY_RECORD, predictions=predictions,
         item_spec=ITEMS, line_spec=LINES,
@@ -101,16 +117,18 @@ def precompute(
 
 def answer(spark, requests: str, store: str, out: str, checkpoint: str, default: dict | None = None) -> None:
     """Answers the request files that arrived since the last run."""
-    records = spark.read.parquet(store)
+    records = tables.read_store(spark, store)
     stream = streaming.read_requests(spark, requests, REQUEST_COLUMNS)
     streaming.answer_requests(
         stream, records, default or EMPTY_RECORD, out, checkpoint
     ).awaitTermination()
 
 
-def comparison(spark, items: str, lines: str, group_term: str, model: str, **options) -> DataFrame:
+def comparison(
+    spark, items: str, lines: str, group_term: str, model: str, multi_line: bool = False, **options
+) -> DataFrame:
     """Train and test error of all models."""
-    table = training_table(*load(spark, items, lines), group_term)
+    table = training_table(*load(spark, items, lines, multi_line), group_term)
     return compare.compare_models(table, stack.load_model(model), **options)
 
 
@@ -124,16 +142,23 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument(f"--{argument}", required=True)
         if name in ("precompute", "answer"):
             sub.add_argument("--default", type=json.loads, help="default record as JSON")
+        if "items" in arguments:
+            sub.add_argument("--multi-line", action="store_true", help="quoted fields span lines")
 
     job("train", "items", "lines", "group-term", "model")
+    job("score", "items", "lines", "group-term", "model", "out")
     job("precompute", "items", "lines", "names", "places", "group-term", "model", "store")
     job("answer", "requests", "store", "out", "checkpoint")
     job("compare", "items", "lines", "group-term", "model")
     arguments = vars(parser.parse_args(argv))
-    run = {"train": train, "precompute": precompute, "answer": answer, "compare": comparison}
-    result = run[arguments.pop("job")](SparkSession.builder.getOrCreate(), **arguments)
-    if result is not None:
-        result.orderBy(*[F.col(c) for c in result.columns[:2]]).show(truncate=False)
+    run = {"train": train, "score": score, "precompute": precompute, "answer": answer, "compare": comparison}
+    spark = SparkSession.builder.getOrCreate()
+    try:
+        result = run[arguments.pop("job")](spark, **arguments)
+        if result is not None:
+            result.orderBy(*[F.col(c) for c in result.columns[:2]]).show(truncate=False)
+    finally:
+        clear_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -8,9 +8,11 @@ in place of a weighted bootstrap sample, which makes a round reproducible.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import (
     HasCheckpointInterval, HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, HasStepSize,
@@ -27,7 +29,10 @@ from pyspark.storagelevel import StorageLevel
 from tallyrank.session import cut_lineage
 
 LOSSES = ("linear", "square", "exponential")
-TREES_AT_ONCE = 50
+TREES_AT_ONCE = 100
+# Deeper trees are scored by their own model; as expressions they would grow too large.
+MOST_DEPTH = 6
+_BRANCH = re.compile(r"(If|Else) \(feature (\d+) (<=|>) ([^)]+)\)")
 
 
 def loss_column(error: Column, largest: float, loss: str) -> Column:
@@ -71,11 +76,12 @@ class _BoostParams(
 ):
     loss = Param(Params._dummy(), "loss", "linear, square or exponential", TypeConverters.toString)
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of each tree", TypeConverters.toInt)
+    maxBins = Param(Params._dummy(), "maxBins", "candidate splits per feature and one more", TypeConverters.toInt)
 
     def __init__(self):
         super().__init__()
         self._setDefault(
-            maxIter=50, stepSize=1.0, loss="linear", maxDepth=3, seed=7, checkpointInterval=10
+            maxIter=50, stepSize=1.0, loss="linear", maxDepth=3, maxBins=32, seed=7, checkpointInterval=10
         )
 
 
@@ -85,7 +91,7 @@ class AdaBoostR2(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWr
     @keyword_only
     def __init__(
         self, *, featuresCol="features", labelCol="label", predictionCol="prediction", maxIter=50,
-        stepSize=1.0, loss="linear", maxDepth=3, seed=7, checkpointInterval=10,
+        stepSize=1.0, loss="linear", maxDepth=3, maxBins=32, seed=7, checkpointInterval=10,
     ):
         super().__init__()
         self._set(**self._input_kwargs)
@@ -94,44 +100,73 @@ class AdaBoostR2(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWr
         rate, loss = self.getOrDefault("stepSize"), self.getOrDefault("loss")
         tree_learner = DecisionTreeRegressor(
             featuresCol="features", labelCol="label", weightCol="weight", predictionCol="fitted",
-            maxDepth=self.getOrDefault("maxDepth"), seed=self.getOrDefault("seed"),
+            maxDepth=self.getOrDefault("maxDepth"), maxBins=self.getOrDefault("maxBins"),
+            seed=self.getOrDefault("seed"),
         )
         current = dataset.select(
             F.col(self.getFeaturesCol()).alias("features"),
             F.col(self.getLabelCol()).cast("double").alias("label"), F.lit(1.0).alias("weight"),
         )
         trees, weights, kept = [], [], None
-        for turn in range(self.getOrDefault("maxIter")):
-            tree = tree_learner.fit(current)
-            scored = tree.transform(current).select(
-                "features", "label", "weight", F.abs(F.col("label") - F.col("fitted")).alias("error")
-            )
-            if turn % self.getOrDefault("checkpointInterval") == self.getOrDefault("checkpointInterval") - 1:
-                scored = cut_lineage(scored)
-            scored.persist(StorageLevel.MEMORY_AND_DISK)
-            largest, total, rows = scored.agg(F.max("error"), F.sum("weight"), F.count("*")).first()
-            mean_loss = 0.0
-            if largest:
+        try:
+            for turn in range(self.getOrDefault("maxIter")):
+                tree = tree_learner.fit(current)
+                scored = tree.transform(current).select(
+                    "features", "label", "weight", F.abs(F.col("label") - F.col("fitted")).alias("error")
+                )
+                if turn % self.getOrDefault("checkpointInterval") == self.getOrDefault("checkpointInterval") - 1:
+                    scored = cut_lineage(scored)
+                before, kept = kept, scored.persist(StorageLevel.MEMORY_AND_DISK)
+                largest, total, rows, mean_loss = self._losses(scored, loss)
+                if before is not None:
+                    before.unpersist()
+                if mean_loss <= 0 or mean_loss >= 0.5:
+                    if mean_loss <= 0 or not trees:
+                        trees.append(tree)
+                        weights.append(1.0)
+                    break
+                beta = mean_loss / (1 - mean_loss)
+                trees.append(tree)
+                weights.append(rate * math.log(1 / beta))
+                # scaled by the sum before the update, so that weights never underflow
                 lost = loss_column(F.col("error"), largest, loss)
-                mean_loss = scored.agg(F.sum(F.col("weight") * lost)).first()[0] / total
+                weight = reweighted(F.col("weight"), lost, beta, rate) * (rows / total)
+                current = scored.select("features", "label", weight.alias("weight"))
+        finally:
             if kept is not None:
                 kept.unpersist()
-            kept = scored
-            if mean_loss <= 0 or mean_loss >= 0.5:
-                if mean_loss <= 0 or not trees:
-                    trees.append(tree)
-                    weights.append(1.0)
-                break
-            beta = mean_loss / (1 - mean_loss)
-            trees.append(tree)
-            weights.append(rate * math.log(1 / beta))
-            # scaled by the sum before the update, so that weights never underflow
-            weight = reweighted(F.col("weight"), lost, beta, rate) * (rows / total)
-            current = scored.select("features", "label", weight.alias("weight"))
-        if kept is not None:
-            kept.unpersist()
         return self._copyValues(AdaBoostR2Model(trees, weights))
 
+    @staticmethod
+    def _losses(scored: DataFrame, loss: str) -> tuple[float, float, int, float]:
+        """Largest error, sum of weights, rows and mean loss: one job, but for the exponential loss."""
+        weight, error = F.col("weight"), F.col("error")
+        largest, total, rows, first, second = scored.agg(
+            F.max(error), F.sum(weight), F.count("*"), F.sum(weight * error), F.sum(weight * error * error)
+        ).first()
+        if not largest:
+            return largest, total, rows, 0.0
+        if loss == "linear":
+            return largest, total, rows, first / largest / total
+        if loss == "square":
+            return largest, total, rows, second / largest / largest / total
+        return largest, total, rows, scored.agg(F.sum(weight * loss_column(error, largest, loss))).first()[0] / total
+
+
+def tree_expression(described: str, features: str) -> str:
+    """A tree, as its description prints it, as one SQL expression over an array of features."""
+    lines = [line.strip() for line in described.splitlines()[1:] if line.strip()]
+
+    def node(at: int) -> tuple[str, int]:
+        if lines[at].startswith("Predict:"):
+            return f"{float(lines[at].split(':')[1])!r}D", at + 1
+        _, feature, _, bound = _BRANCH.match(lines[at]).groups()
+        yes, at = node(at + 1)
+        no, at = node(at + 1)
+        return f"if({features}[{feature}] <= {float(bound)!r}D, {yes}, {no})", at
+
+    return node(0)[0]
+
 
 class AdaBoostR2Model(Model, _BoostParams, MLReadable, MLWritable):
     """Trees and their weights; predicts the weighted median."""
@@ -141,21 +176,26 @@ class AdaBoostR2Model(Model, _BoostParams, MLReadable, MLWritable):
         self.trees, self.weights = list(trees), list(weights)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Scores a few trees at a time, so that the table never gets wider than that."""
+        """Scores some trees at a time, each as one expression, so that plans stay small."""
         kept, parts = dataset.columns, []
-        scored = dataset
+        shallow = all(tree.depth <= MOST_DEPTH for tree in self.trees)
+        scored = dataset.withColumn("_array", vector_to_array(self.getFeaturesCol())) if shallow else dataset
+        carried = [*kept, "_array"] if shallow else kept
         for start in range(0, len(self.trees), TREES_AT_ONCE):
             trees = self.trees[start:start + TREES_AT_ONCE]
-            names = [f"_tree{i}" for i in range(len(trees))]
-            for name, tree in zip(names, trees):
-                scored = tree.copy({
-                    tree.featuresCol: self.getFeaturesCol(), tree.predictionCol: name
-                }).transform(scored)
-            part = weighted_pairs([F.col(n) for n in names], self.weights[start:start + TREES_AT_ONCE])
-            scored = scored.select(*kept, *parts, part.alias(f"_pairs{start}"))
+            if shallow:
+                values = [F.expr(tree_expression(tree.toDebugString, "_array")) for tree in trees]
+            else:
+                values = [F.col(f"_tree{i}") for i in range(len(trees))]
+                for i, tree in enumerate(trees):
+                    scored = tree.copy({
+                        tree.featuresCol: self.getFeaturesCol(), tree.predictionCol: f"_tree{i}"
+                    }).transform(scored)
+            part = weighted_pairs(values, self.weights[start:start + TREES_AT_ONCE])
+            scored = scored.select(*carried, *parts, part.alias(f"_pairs{start}"))
             parts.append(f"_pairs{start}")
         median = weighted_median(F.concat(*parts), math.fsum(self.weights))
-        return scored.withColumn(self.getPredictionCol(), median).drop(*parts)
+        return scored.withColumn(self.getPredictionCol(), median).drop(*parts, "_array")
 
     def write(self) -> MLWriter:
         return _ModelWriter(self)

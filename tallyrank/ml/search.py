@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from dataclasses import dataclass
@@ -57,16 +58,18 @@ def cross_validate(
     ).fit(with_folds(df, folds, key))
 
 
-def cv_rmse(estimator: Estimator, df: DataFrame, folds: int = 4, label: str = "rating") -> float:
+def cv_rmse(
+    estimator: Estimator, df: DataFrame, folds: int = 4, label: str = "rating", parallelism: int = 2
+) -> float:
     """Root of the mean of the folds' squared errors."""
-    return math.sqrt(cross_validate(estimator, df, [{}], folds, "mse", label).avgMetrics[0])
+    return math.sqrt(cross_validate(estimator, df, [{}], folds, "mse", label, parallelism).avgMetrics[0])
 
 
 def random_search(
     estimator: Estimator, df: DataFrame, space: dict[Param, object], draws: int = 2, folds: int = 4,
-    seed: int = 7, metric: str = "r2", label: str = "rating",
+    seed: int = 7, metric: str = "r2", label: str = "rating", parallelism: int = 2,
 ) -> CrossValidatorModel:
-    return cross_validate(estimator, df, draw_param_maps(space, draws, seed), folds, metric, label)
+    return cross_validate(estimator, df, draw_param_maps(space, draws, seed), folds, metric, label, parallelism)
 
 
 def holdout_rmse(model: Model, holdout: DataFrame, predicted: str, label: str = "rating") -> float:
@@ -75,16 +78,21 @@ def holdout_rmse(model: Model, holdout: DataFrame, predicted: str, label: str =
 
 def retrain_until(
     estimator: Estimator, train: DataFrame, holdout: DataFrame, space: dict[Param, object],
-    threshold: float, max_rounds: int = 5, draws: int = 2, folds: int = 4, seed: int = 7,
-    label: str = "rating",
+    threshold: float, max_rounds: int | None = 5, draws: int = 2, folds: int = 4, seed: int = 7,
+    label: str = "rating", parallelism: int = 2,
 ) -> tuple[Model, list[float]]:
     """Repeats the search with new seeds until the hold-out error is at or below the threshold.
 
-    Gives up after ``max_rounds``; returns the best model and the error of every round.
+    Gives up after ``max_rounds``, never if that is None; returns the best model and the error
+    of every round, the least of which tells whether the threshold was reached.
     """
     best, errors = None, []
-    for turn in range(max_rounds):
-        found = random_search(estimator, train, space, draws, folds, seed + turn, label=label).bestModel
+    for turn in itertools.count():
+        if turn == max_rounds:
+            break
+        found = random_search(
+            estimator, train, space, draws, folds, seed + turn, label=label, parallelism=parallelism
+        ).bestModel
         error = holdout_rmse(found, holdout, estimator.getOrDefault("predictionCol"), label)
         if not errors or error < min(errors):
             best = found

@@ -28,7 +28,7 @@ def first_stage(label: str = "rating", **params) -> AdaBoostR2:
 
 
 def second_stage(label: str = "rating", **params) -> GBTRegressor:
-    settings = {"lossType": "absolute", "stepSize": 0.1, "maxIter": 20, "maxDepth": 3, "seed": 7}
+    settings = {"lossType": "absolute", "stepSize": 0.1, "maxIter": 500, "maxDepth": 3, "seed": 7}
     return GBTRegressor(
         featuresCol="stacked", labelCol=label, predictionCol="predicted", **(settings | params)
     )
@@ -64,16 +64,18 @@ def fit_out_of_fold(
 
 @dataclass(frozen=True)
 class StackResult:
-    """What a training run leaves: the model, its hold-out rows and its errors."""
+    """What a training run leaves: the model, its hold-out rows, its errors, and whether the
+    second stage got as good as the first on the hold-out rows."""
 
     model: PipelineModel
     holdout: DataFrame
     errors: dict[tuple[str, str], float]
+    reached: bool
 
 
 def train_stack(
     df: DataFrame, *, first_space=None, second_space=None, draws: int = 2, folds: int = 4,
-    max_rounds: int = 3, seed: int = 7, first_params=None, second_params=None, label: str = "rating",
+    max_rounds: int | None = 3, seed: int = 7, parallelism: int = 2, first_params=None, second_params=None, label: str = "rating",
 ) -> StackResult:
     """The whole training run on a table without missing values.
 
@@ -92,20 +94,28 @@ def train_stack(
     }
     vectors, stacked = assembler(), assembler([*FEATURES, FIRST], "stacked")
     train, holdout = train_test_split(df)
-    train, held = vectors.transform(train).persist(), vectors.transform(holdout).persist()
-    errors = {("first", "train"): search.cv_rmse(first, train, folds, label)}
-    best_first = search.random_search(first, train, first_space, draws, folds, seed, label=label).bestModel
-    errors["first", "test"] = search.holdout_rmse(best_first, held, FIRST, label)
-    train2 = stacked.transform(best_first.transform(train)).persist()
-    held2 = stacked.transform(best_first.transform(held)).persist()
-    errors["second", "train"] = search.cv_rmse(second, train2, folds + 1, label)
-    best_second, found = search.retrain_until(
-        second, train2, held2, second_space, errors["first", "test"], max_rounds, draws, folds, seed, label
-    )
+    train, held = vectors.transform(train), vectors.transform(holdout)
+    errors, cached = {}, [train.persist(), held.persist()]
+    try:
+        errors["first", "train"] = search.cv_rmse(first, train, folds, label, parallelism)
+        best_first = search.random_search(
+            first, train, first_space, draws, folds, seed, label=label, parallelism=parallelism
+        ).bestModel
+        errors["first", "test"] = search.holdout_rmse(best_first, held, FIRST, label)
+        train2 = stacked.transform(best_first.transform(train))
+        held2 = stacked.transform(best_first.transform(held))
+        cached += [train2.persist(), held2.persist()]
+        errors["second", "train"] = search.cv_rmse(second, train2, folds + 1, label, parallelism)
+        best_second, found = search.retrain_until(
+            second, train2, held2, second_space, errors["first", "test"], max_rounds, draws, folds, seed, label,
+            parallelism,
+        )
+    finally:
+        for table in cached:
+            table.unpersist()
     errors["second", "test"] = min(found)
-    for cached in (train, held, train2, held2):
-        cached.unpersist()
-    return StackResult(PipelineModel(stages=[vectors, best_first, stacked, best_second]), holdout, errors)
+    model = PipelineModel(stages=[vectors, best_first, stacked, best_second])
+    return StackResult(model, holdout, errors, errors["second", "test"] <= errors["first", "test"])
 
 
 def error_rows(spark: SparkSession, errors: dict[tuple[str, str], float]) -> DataFrame:

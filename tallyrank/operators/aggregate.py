@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrank.functions.scalars import all_present, present, share
+from tallyrank.operators.ordering import RANGE, range_bounds, range_count, with_ranges
 
 
 def grouped(df: DataFrame, keys: str | Sequence[str], *aggregates: Column) -> DataFrame:
@@ -64,10 +65,28 @@ def key_coverage(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def key_gaps(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """(after, before): the pairs of neighbouring keys with integers missing between them.
+
+    The distinct keys are cut into ranges; each looks for its own gaps, and a
+    table with one row per range tells where the next one begins.
+    """
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("after")).distinct()
+    keys = with_ranges(keys, "after", range_bounds(keys, ["after"], range_count(df, ranges))[0])
+    # one row per range: the rows are as many as the ranges
+    starts = keys.groupBy(RANGE).agg(F.min("after").alias("start")).select(
+        RANGE, F.lead("start").over(Window.orderBy(RANGE)).alias("start")
+    )
+    inside = F.lead("after").over(Window.partitionBy(RANGE).orderBy("after"))
+    following = keys.withColumn("before", inside).join(F.broadcast(starts), RANGE)
+    return following.select("after", F.coalesce("before", "start").alias("before")).where("before > after + 1")
+
+
 def missing_keys(df: DataFrame, key: str) -> DataFrame:
     """The keys between the smallest and the largest that never occur."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    spark = df.sparkSession
-    if low is None:
-        return spark.range(0).toDF(key)
-    return spark.range(low, high + 1).toDF(key).join(df.select(key).distinct(), key, "left_anti")
+    return key_gaps(df, key).select(F.explode(F.expr("sequence(after + 1, before - 1)")).alias(key))
+
+
+def missing_count(df: DataFrame, key: str) -> Column:
+    """How many keys are missing, as a scalar subquery; none of them is listed."""
+    return key_gaps(df, key).agg(F.coalesce(F.expr("sum(before - after - 1)"), F.lit(0)).alias("n")).scalar()

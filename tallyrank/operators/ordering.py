@@ -10,15 +10,15 @@ that ranges falling together by hash leave no partition with much more than othe
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyrank.functions.scalars import known_in
+
 RANGE = "_range"
-# Up to this many rows a sort-and-limit beats numbering the whole table.
-FEW_ROWS = 10_000
 
 
 def range_count(df: DataFrame, ranges: int | None) -> int:
@@ -41,13 +41,15 @@ def _splits(bounds: Sequence[float]) -> list[float]:
 
 
 def with_ranges(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
-    """Adds the range number; missing order values go to a range of their own at the end."""
+    """Adds the range number; missing order values come last, dealt by hash into as many ranges
+    as there are others."""
     tagged = df.withColumn("_order", F.col(order).cast("double"))
     tagged = Bucketizer(
         splits=_splits(bounds), inputCol="_order", outputCol=RANGE, handleInvalid="keep"
     ).transform(tagged)
-    last = F.lit(len(bounds) + 2)
-    return tagged.withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), last)).drop("_order")
+    last = len(bounds) + 2 + F.pmod(F.xxhash64(*[c for c in df.columns if c != order], F.lit(0)), F.lit(len(bounds) + 1)).cast("int")
+    missing = F.col("_order").isNull() | F.isnan("_order")
+    return tagged.withColumn(RANGE, F.when(missing, last).otherwise(F.col(RANGE).cast("int"))).drop("_order")
 
 
 def _carry(df: DataFrame, small: DataFrame, by: Sequence[str], bounded: bool) -> DataFrame:
@@ -108,23 +110,30 @@ def row_positions(df: DataFrame, order: str, out: str = "position", **options) -
     return numbered.withColumn(out, F.col(out) - 1)
 
 
-def strided_sample(
-    df: DataFrame, order: str, start: int, stop: int | None, step: int, out: str = "position"
+def strided_slices(
+    df: DataFrame, order: str, slices: Mapping[str, tuple[int, int | None, int]], out: str = "position",
+    name: str = "slice",
 ) -> DataFrame:
-    """Rows ``start, start + step, …`` below ``stop`` in the given order (Python slice).
+    """Rows ``start, start + step, …`` below ``stop`` of every named slice, from one numbering.
 
-    With a small ``stop`` only that many first rows are ever ranked.
+    Rows without an order value stand last, whatever the slice. A row in several
+    slices comes once for each.
     """
-    if stop is not None and stop <= FEW_ROWS:
-        first = df.orderBy(order).limit(stop)
-        numbered = first.withColumn(
-            out, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint")
-        )
-    else:
-        numbered = row_positions(df, order, out)
-        if stop is not None:
-            numbered = numbered.where(F.col(out) < stop)
-    return numbered.where((F.col(out) >= start) & ((F.col(out) - start) % step == 0))
+    at = F.col(out)
+
+    def inside(start: int, stop: int | None, step: int):
+        hit = (at >= start) & ((at - start) % step == 0)
+        return hit if stop is None else hit & (at < stop)
+
+    hits = F.array_compact(F.array(*[F.when(inside(*s), F.lit(n)) for n, s in slices.items()]))
+    return row_positions(df, order, out).withColumn(name, F.explode(hits))
+
+
+def strided_sample(
+    df: DataFrame, order: str, start: int, stop: int | None, step: int, out: str = "position"
+) -> DataFrame:
+    """Rows ``start, start + step, …`` below ``stop`` in the given order (Python slice)."""
+    return strided_slices(df, order, {"": (start, stop, step)}, out, "_slice").drop("_slice")
 
 
 def backfill(
@@ -135,12 +144,13 @@ def backfill(
     by: Sequence[str] = (),
     ranges: int | None = None,
 ) -> DataFrame:
-    """Replaces a missing value by the next non-missing one; trailing ones stay missing.
+    """Replaces a missing value, NaN included, by the next non-missing one; trailing ones become NULL.
 
     Windows run in descending order: a frame that starts at the current row would
     be evaluated anew for every row, one that ends there grows by a row at a time.
     """
     by, names = list(by), df.columns
+    df = df.withColumns({c: known_in(df, c) for c in columns})
     bounds = range_bounds(df, [order], range_count(df, ranges))[0]
     tagged = with_ranges(df, order, bounds)
     inside = Window.partitionBy(*by, RANGE).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -196,7 +206,9 @@ def exact_quantiles(
             ends.append(F.min(F.when(F.col("_upto") > edge, F.col("value"))).alias(f"{side}{i}"))
         weight = rank - F.floor(rank)
         picks.append(
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * weight).alias(quantile_name(p))
+            # equal ends need no interpolation, and infinite ones allow none
+            F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}"))
+            .otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * weight).alias(quantile_name(p))
         )
     return placed.groupBy("metric").agg(F.max("_total").alias("_total"), *ends).select("metric", *picks)
 

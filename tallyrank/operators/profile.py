@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.functions.scalars import present, round_even
+from tallyrank.functions.scalars import known, known_in, present, round_even
 from tallyrank.operators.aggregate import count_present
 from tallyrank.operators.ordering import exact_quantiles
 
@@ -91,7 +91,7 @@ def fixed_bins(
     Values outside ``[start, stop)`` are left out; with ``overflow`` those at or
     above ``stop`` are counted in one more bin that begins there.
     """
-    x = F.col(column)
+    x = known(F.col(column).cast("double"))
     low = (F.floor((x - start) / step) * step + start).cast("bigint")
     inside = x >= start
     if overflow:
@@ -107,8 +107,8 @@ def fixed_bins(
 
 
 def global_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Smallest and largest value of each column, as one row."""
-    return df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+    """Smallest and largest value of each column, as one row; NaN is no value."""
+    return df.select(*[known_in(df, c) for c in columns]).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
 
 
 def long_form(df: DataFrame, key: str, target: str, features: Sequence[str]) -> DataFrame:
@@ -123,4 +123,4 @@ def long_form(df: DataFrame, key: str, target: str, features: Sequence[str]) ->
 
 def filtered_count(df: DataFrame, condition: Column, counted: str) -> DataFrame:
     """Non-missing ``counted`` values on the rows that meet the condition."""
-    return df.where(condition).agg(F.count(counted).alias("n"))
+    return df.where(condition).agg(F.count(known_in(df, counted)).alias("n"))

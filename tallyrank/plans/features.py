@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.functions.scalars import four_year_flag
+from tallyrank.functions.scalars import four_year_flag, known_in
 from tallyrank.functions.text import matches
 from tallyrank.operators.aggregate import conditional_share, grouped
 from tallyrank.operators.impute import dropna_any, impute_mean
@@ -41,8 +41,9 @@ def clean_items(
         F.to_date(spec.aired).alias("air_date"),
         F.col(spec.season).alias("season"),
         F.col(spec.number).alias("number_in_season"),
-        F.col(spec.views).alias("views"),
-        F.col(spec.rating).alias("rating"),
+        *([F.col(spec.series).alias("number_in_series")] if spec.series else []),
+        known_in(items, spec.views).alias("views"),
+        known_in(items, spec.rating).alias("rating"),
         *urls,
         F.length(spec.title).cast("bigint").alias("title_len"),
     )
@@ -62,10 +63,11 @@ def line_features(
 ) -> DataFrame:
     """All per-item aggregates of the lines from one grouping."""
     in_group = matches(spec.name, group_term, case_sensitive=case_sensitive)
+    words = known_in(lines, spec.words)
     return grouped(
         lines, spec.key,
-        F.avg(spec.words).alias("mean_words"),
-        F.max(spec.words).cast("double").alias("max_words"),
+        F.avg(words).alias("mean_words"),
+        F.max(words).cast("double").alias("max_words"),
         conditional_share(in_group, spec.speaking, empty).alias("group_share"),
         F.countDistinct(spec.place_key).cast("double").alias("n_places"),
     ).withColumnRenamed(spec.key, "id")

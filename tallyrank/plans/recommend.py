@@ -15,6 +15,8 @@ from tallyrank.session import write_through
 from tallyrank.spec import CUTS, PRIORITIES, ItemSpec, LineSpec, Stage, Terms
 
 KEYS = ("name", "place", "priority", "song", "politics")
+#: Leading characters by which texts and choices are brought together.
+PART = 4
 
 
 def line_scores(lines: DataFrame, terms: Terms, spec: LineSpec = LineSpec()) -> DataFrame:
@@ -293,16 +295,47 @@ def option_lists(lines: DataFrame, terms: Terms, spec: LineSpec = LineSpec()) ->
         )
         for v in values
     ]))
-    fixed = F.array(*[
+    return lowered.select(F.inline(hits)).distinct().unionByName(
+        lines.sparkSession.range(1).select(F.inline(_fixed_options()))
+    )
+
+
+def options(
+    lines: DataFrame, names: DataFrame, places: DataFrame, spec: LineSpec = LineSpec(), value: str = "value"
+) -> DataFrame:
+    """As :func:`option_lists`, with the choices as tables of any length.
+
+    The distinct texts of the lines, far fewer than the lines, look for the choices they
+    hold: a choice can only be in a text that holds its first ``PART`` characters, so texts
+    and choices meet by these and not all with all.
+    """
+    found = None
+    for dimension, column, wanted in (("name", spec.name, names), ("place", spec.place, places)):
+        choices = wanted.select(F.col(value).alias("value"), F.lower(F.trim(value)).alias("_low")).distinct()
+        choices = choices.where("_low != ''").withColumn("_part", F.substring("_low", 1, PART))
+        sizes = [r[0] for r in choices.select(F.length("_part").alias("n")).distinct().collect()]
+        text = lines.select(F.lower(column).alias("_text")).where("_text is not null").distinct()
+        starts = F.expr("sequence(1, length(_text))")
+
+        def of_size(n: int) -> Column:
+            return F.transform(starts, lambda i: F.col("_text").substr(i, F.lit(n)))
+
+        every = F.flatten(F.array(*map(of_size, sizes))) if sizes else F.array().cast("array<string>")
+        parts = F.array_distinct(every)
+        held = text.where("_text != ''").select("_text", F.explode(parts).alias("_part")).join(choices, "_part")
+        rows = held.where(F.contains("_text", "_low")).select(F.lit(dimension).alias("dimension"), "value").distinct()
+        found = rows if found is None else found.unionByName(rows)
+    return found.unionByName(lines.sparkSession.range(1).select(F.inline(_fixed_options())))
+
+
+def _fixed_options() -> Column:
+    return F.array(*[
         _option(dimension, v)
         for dimension, values in (
             ("priority", PRIORITIES), ("song", ("False", "True")), ("politics", ("False", "True"))
         )
         for v in values
     ])
-    return lowered.select(F.inline(hits)).distinct().unionByName(
-        lines.sparkSession.range(1).select(F.inline(fixed))
-    )
 
 
 def _option(dimension: str, value: str) -> Column:

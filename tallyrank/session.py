@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Scratch paths given out by this process.
+_GIVEN: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
@@ -28,7 +32,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the scratch folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this process has put under the scratch folder by :func:`scratch_path`."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _GIVEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

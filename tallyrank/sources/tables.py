@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def read_csv(
     *,
     lenient: bool = False,
     by_name: bool = False,
-    multi_line: bool = True,
+    multi_line: bool = False,
     na_values: Sequence[str] = NA_TOKENS,
 ) -> DataFrame:
     """Headered CSV with doubled quotes; NA-like texts become NULL.
@@ -36,13 +37,15 @@ def read_csv(
     The schema names the columns in file order, or, with ``by_name``, those to
     take from a file with more columns or another order. ``lenient`` drops rows
     with too many fields and keeps short ones, padded with NULL. ``multi_line``
-    lets quoted fields span lines; Spark then reads each file in one piece, so
-    turn it off for large files without line breaks in fields.
+    lets quoted fields span lines; Spark then reads each file in one piece, so it
+    is for small files only. Files of one path must have the same header
+    with ``by_name``: their columns are taken by position.
     """
     schema = _schema(schema)
     fields = schema.fields
     if by_name:
         header = spark.read.options(header=True, quote='"', escape='"').csv(path).columns
+        _same_headers(spark, path)
         missing = [f.name for f in fields if f.name not in header]
         if missing:
             raise ValueError(f"no such columns in {path}: {missing}")
@@ -60,6 +63,20 @@ def read_csv(
     return df.select(*[_without_na(f, na_values).alias(f.name) for f in schema.fields])
 
 
+def _same_headers(spark: SparkSession, path: str) -> None:
+    """Refuses a path whose files have different first lines; one file needs no look."""
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return
+    first = (
+        lines.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+        .where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "i").alias("header"))
+    )
+    headers = [r[0] for r in first.select("header").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"files in {path} have different headers: {headers}")
+
+
 def _without_na(field: StructField, na_values: Sequence[str]):
     column, kind = F.col(field.name), field.dataType.typeName()
     if kind == "string":
@@ -76,15 +93,24 @@ def read_lookup(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_store(results: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Persists a key → record table."""
-    writer = results.write.mode("overwrite")
+    """Persists a key → record table as a new version below ``path``.
+
+    A version is listed once it is whole, so that readers meanwhile find the one before.
+    """
+    version = f"{time.time_ns():020d}"
+    writer = results.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    writer.parquet(f"{path}/data/{version}")
+    listed = results.sparkSession.createDataFrame([(version,)], "version string")
+    listed.write.mode("append").parquet(f"{path}/versions")
 
 
-def read_store(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    return spark.read.schema(_schema(schema)).parquet(path)
+def read_store(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """The latest whole version of a store."""
+    version = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    reader = spark.read if schema is None else spark.read.schema(_schema(schema))
+    return reader.parquet(f"{path}/data/{version}")
 
 
 def write_series(series: DataFrame, path: str) -> None:

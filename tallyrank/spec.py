@@ -18,6 +18,7 @@ class ItemSpec:
     rating: str = "rating"
     image: str = "image"
     link: str = "link"
+    series: str | None = None
 
     def display(self) -> list[str]:
         return [self.title, self.rating, self.image, self.link]

@@ -195,16 +195,16 @@ def test_clean_items_fill_order(spark):
 def test_csv(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('id,txt,n\n1,"a ""q"" b",2\n2,NA,nan\n3,"two\nlines",6\n4,,\n')
-    got = tables.read_csv(spark, str(path), "id long, txt string, n double").orderBy("id").collect()
+    got = tables.read_csv(spark, str(path), "id long, txt string, n double", multi_line=True).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, 'a "q" b', 2.0), (2, None, None), (3, "two\nlines", 6.0), (4, None, None)]
 
 
 def test_lenient_csv(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('id,txt,n\n1,"a ""q"" b",2\n2,short\n3,x,4,5\n5,"multi\nline",6\n')
-    got = tables.read_csv(spark, str(path), "id long, txt string, n long", lenient=True).orderBy("id").collect()
+    got = tables.read_csv(spark, str(path), "id long, txt string, n long", lenient=True, multi_line=True).orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, 'a "q" b', 2), (2, "short", None), (5, "multi\nline", 6)]
-    assert tables.read_csv(spark, str(path), "id long, txt string, n long", lenient=True).select("id").count() == 3
+    assert tables.read_csv(spark, str(path), "id long, txt string, n long", lenient=True, multi_line=True).select("id").count() == 3
 
 
 def test_lookup_list(spark, tmp_path):
@@ -236,3 +236,31 @@ def test_missing_text_in_line_features(spark):
     row = features.line_features(df, LineSpec(), "red").first()
     assert (row.mean_words, row.max_words, row.group_share, row.n_places) == (4.0, 4.0, None, 1.0)
     assert features.line_features(df, LineSpec(), "red", case_sensitive=False).first().group_share == 0.5
+
+
+def test_nan_is_missing_everywhere(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, 5.0), (2, nan), (3, 200.0), (4, None), (5, 7.0)], "id long, v double")
+    assert profile.filtered_count(df, scalars.at_least("v", 100), "v").first()[0] == 1
+    assert profile.fixed_bins(df, "v", 0, 10, 5, overflow=True).orderBy("low").collect() == [(0, 0), (5, 2), (10, 1)]
+    assert tuple(profile.global_min_max(df, ["v"]).first()) == (5.0, 200.0)
+    assert [r.v for r in ordering.backfill(df, ["v"], "id").orderBy("id").collect()] == [5.0, 200.0, 200.0, 7.0, 7.0]
+    ends = spark.createDataFrame([(1.0,), (inf,), (inf,)], "v double")
+    assert ordering.exact_quantiles(ends, ["v"], (0.5,)).first().p50 == inf
+
+
+def test_rows_without_order_value_stand_last(spark):
+    df = spark.createDataFrame([(i if i % 3 else None, i) for i in range(1, 31)], "k long, n long")
+    for stop in (3, 25, 20_000, None):
+        got = ordering.strided_sample(df, "k", 0, stop, 2).orderBy("position").collect()
+        keys = sorted(i for i in range(1, 31) if i % 3) + [None] * 10
+        assert [r.k for r in got] == keys[slice(0, stop, 2)]
+
+
+def test_choices_as_tables(spark):
+    lines = spark.createDataFrame([("Old Red Hat", "Nation_1 x"), ("blue", None), (None, "")], "who string, place string")
+    names = spark.createDataFrame([("red",), (" Blue ",), ("green",), ("at",), ("",)] + [(f"no{i}",) for i in range(1000)], "value string")
+    places = spark.createDataFrame([("NATION_1",), ("nation_2",)], "value string")
+    got = {tuple(r) for r in recommend.options(lines, names, places).collect()}
+    assert {v for d, v in got if d == "name"} == {"red", " Blue ", "at"}
+    assert {v for d, v in got if d == "place"} == {"NATION_1"}
