@@ -248,7 +248,7 @@ def test_models_add_random_looking_runs(spark):
         secret = hashlib.sha256(str(i).encode()).hexdigest()[:40]
         words = "getCustomerAddressByName setDefaultConfigurationValue handleIncomingRequestQueue internationalization".split()
         docs.append((i, f"{EN} {words[i % 4]} token = {secret} {words[(i + 1) % 4]}"))
-    held = [(1000, f"see 9f8ea1b2-77aa-41e0-9c1d-0123ab45cd67 and getCustomerAddressByName")]
+    held = [(1000, f"see 0123ab45cd67ef9z8f8ea1b277aa41e0 and getCustomerAddressByName")]
     table = spark.createDataFrame(docs + held, "doc_id int, text string")
     model = secrets.fit(table)
     assert model.threshold is not None
