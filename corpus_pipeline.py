@@ -32,7 +32,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: shingles of five words, 0.8 alike."""
-    return simhash.one_of_each(docs, words=5, radius=6, similarity=0.8)
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,8 @@ BLOCK = 1 << 20
 LIMIT = 8192
 #: Up to so many are searched one by one, more in blocks.
 FEW = 48
+#: Hash functions by which texts of a group find others to be compared with.
+LEADS = 4
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -296,7 +298,10 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def components(marked: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of (doc_id, fp)."""
+    """(fp, component_id, root, several) for every distinct fingerprint of (doc_id, fp).
+
+    ``root`` is the smallest fingerprint of the component, ``several`` whether it has others.
+    """
     nodes = write_through(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     links = None
     for dealt in _dealt(nodes.select("fp"), radius):
@@ -306,9 +311,11 @@ def components(marked: DataFrame, radius: int = 2) -> DataFrame:
         links = found if links is None else links.union(found)
     joined = connected(links).withColumnRenamed("node", "fp").join(nodes, "fp")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = joined.join(smallest, "root").select("fp", "component_id", F.lit(True).alias("joined"))
+    joined = joined.join(smallest, "root").select("fp", "component_id", "root")
+    several = F.col("root").isNotNull()
     return nodes.join(joined, "fp", "left").select(
-        "fp", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")
+        "fp", F.when(several, F.col("component_id")).otherwise(F.col("least")).alias("component_id"),
+        F.coalesce("root", "fp").alias("root"), several.alias("several"),
     )
 
 
@@ -316,7 +323,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", *, words
     """(key, fp, component_id), one row for each row of ``df``."""
     marked = df.select(F.col(key).alias("doc_id"), fingerprint(F.col(text), words).alias("fp"))
     marked = write_through(marked, "simhash")
-    return marked.join(components(marked, radius), "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
+    found = components(marked, radius).select("fp", "component_id")
+    return marked.join(found, "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
 def shingle_set(text: Column, words: int) -> Column:
@@ -330,61 +338,84 @@ def shingle_set(text: Column, words: int) -> Column:
     return shingled(text)
 
 
-def _unlike(df: DataFrame, near: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """The (h, first) of ``near`` whose shingle sets are less than ``similarity`` alike."""
-    wanted = near.select("h").union(near.select("first")).distinct()
-    sets = (
-        df.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).join(wanted, "h", "left_semi")
-        .groupBy("h").agg(F.min("t").alias("t")).select("h", shingle_set(F.col("t"), words).alias("own"))
+def _sets(df: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
+    """(h, own): the shingle sets of the texts whose hash is in ``wanted``."""
+    rows = df.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).join(wanted, "h", "left_semi")
+    return rows.groupBy("h").agg(F.min("t").alias("t")).select("h", shingle_set(F.col("t"), words).alias("own"))
+
+
+def _alike(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of one group (c, h, k) whose shingle sets are alike.
+
+    Every text is compared with the first text of its group, and with the first of those in
+    its group that have the same least shingle hash, for each of ``LEADS`` hash functions: two
+    sets that are 0.8 alike miss each other in all of them once in (1 / 0.2) ** ``LEADS`` cases.
+    """
+    placed = near.join(sets, "h").select(
+        "c", "h", "k", F.posexplode(F.array(F.lit(0).cast("long"), *_least_hashes(F.col("own")))).alias("turn", "mark")
     )
-    sets = write_through(sets, "shingle-sets")
-    pairs = near.join(sets, "h").join(sets.select(F.col("h").alias("first"), F.col("own").alias("its")), "first")
+    order = F.struct(F.col("k").isNull().alias("late"), "k", "h")
+    leads = placed.groupBy("c", "turn", "mark").agg(F.min(order).alias("lead")).select(
+        "c", "turn", "mark", F.col("lead")["h"].alias("first")
+    )
+    pairs = write_through(
+        placed.join(leads, ["c", "turn", "mark"]).where("h != first").select("h", "first").distinct(), "alike-pairs"
+    )
+    both = pairs.join(sets, "h").join(sets.select(F.col("h").alias("first"), F.col("own").alias("its")), "first")
     shared = F.size(F.array_intersect("own", "its"))
-    return pairs.where(shared < similarity * (F.size("own") + F.size("its") - shared)).select("h", "first")
+    alike = both.where(shared >= similarity * (F.size("own") + F.size("its") - shared))
+    return alike.select(F.col("h").alias("a"), F.col("first").alias("b"))
+
+
+def _least_hashes(own: Column) -> list[Column]:
+    def least(turn: int) -> Column:
+        return F.coalesce(F.array_min(F.transform(own, lambda x: F.xxhash64(F.lit(turn), x))), F.lit(0).cast("long"))
+
+    return [least(turn) for turn in range(LEADS)]
 
 
 def one_of_each(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, radius: int = 6, similarity: float = 0.8,
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, similarity: float = 0.8,
+    marks: int = 2, radius: int = 6,
 ) -> DataFrame:
     """One row of each group of near copies: that of the smallest key. Columns stay as they are.
 
-    Fingerprints propose the groups. A text that differs from its group's first one leaves
-    only if the sets of their shingles are ``similarity`` alike; if it does not, one row of
-    that text stays. Rows without a key give way to rows that have one; of rows that repeat
-    key and text any one stays.
+    Fingerprints over shingles of ``marks`` words, which a few changed words move least,
+    propose the groups. Within a group texts are linked whose sets of shingles of ``words``
+    words are ``similarity`` alike, and of what is linked one text stays. Rows without a key
+    give way to rows that have one; of rows that repeat key and text any one stays.
     """
     h, again, whose, of = fresh("h"), fresh("again"), fresh("whose"), fresh("of")
     marked = df.select(
-        F.col(key).alias("k"), fingerprint(F.col(text), words).alias("fp"), F.xxhash64(text).alias("h")
+        F.col(key).alias("k"), fingerprint(F.col(text), marks).alias("fp"), F.xxhash64(F.col(text)).alias("h")
     ).groupBy("k", "fp", "h").agg(F.count("*").alias("n"))
     marked = write_through(marked, "simhash")
-    grouped = marked.join(components(marked.select(F.col("k").alias("doc_id"), "fp"), radius), "fp")
-    grouped = write_through(grouped.withColumnRenamed("component_id", "c"), "groups")
-    # the first text of each group, and the other texts with their smallest key
-    firsts = grouped.groupBy("c", "fp", "h").agg(F.min("k").alias("k"))
-    heads = firsts.where(F.col("k").eqNullSafe(F.col("c"))).groupBy("c").agg(
-        F.min(F.struct("fp", "h")).alias("first")
-    ).select("c", F.col("first")["fp"].alias("first_fp"), F.col("first")["h"].alias("first"))
-    near = firsts.join(heads, "c").where("h != first").select("h", "first", "c", "k")
-    near = write_through(near, "near-texts")
-    unlike = _unlike(df, near.select("h", "first").distinct(), text, words, similarity)
-    alone = near.join(unlike, ["h", "first"]).select(F.col("c").alias("a_c"), F.col("h").alias("a_h"), F.col("k").alias("a_k"))
-    lone = F.col("c").eqNullSafe(F.col("a_c")) & (F.col("h") == F.col("a_h"))
-    leads = heads.select(F.col("c").alias("h_c"), F.col("first").alias("h_h"))
-    lead = F.col("c").eqNullSafe(F.col("h_c")) & (F.col("h") == F.col("h_h"))
-    chosen = grouped.join(alone, lone, "left").join(leads, lead, "left").withColumn(
-        "stays",
-        F.when(F.col("a_h").isNotNull(), F.col("k").eqNullSafe(F.col("a_k")))
-        .when(F.col("h_h").isNotNull() | F.col("c").isNull(), F.col("k").eqNullSafe(F.col("c")))
-        .otherwise(False),
+    # a group is known by its smallest fingerprint, as keys may be missing
+    groups = components(marked.select(F.col("k").alias("doc_id"), "fp"), radius)
+    texts_ = marked.groupBy("fp", "h").agg(F.min("k").alias("k"))
+    several = groups.where("several").select("fp", F.col("root").alias("c"))
+    near = write_through(texts_.join(several, "fp").select("c", "h", "k"), "near-texts")
+    # texts that share a fingerprint without being in a larger group
+    twins = texts_.join(groups.where("not several").select("fp"), "fp").withColumn("c", F.col("fp"))
+    twins = twins.join(twins.groupBy("c").count().where("count > 1").select("c"), "c", "left_semi").select("c", "h", "k")
+    near = write_through(near.unionByName(twins), "near-and-twins")
+    sets = write_through(_sets(df, near.select("h").distinct(), text, words), "shingle-sets")
+    linked = connected(_alike(near, sets, similarity)).withColumnRenamed("node", "h")
+    # of alike texts the one with the smallest key stands for all, and of a text its smallest key
+    named = texts_.join(linked, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    order = F.struct(F.col("k").isNull().alias("late"), "k", "h")
+    stands = named.groupBy("root").agg(F.min(order).alias("s")).select(
+        F.col("s")["h"].alias("l_h"), F.col("s")["k"].alias("l_k")
     )
+    chosen = marked.join(stands, F.col("h") == F.col("l_h"), "left")
+    keeps = F.col("l_h").isNotNull() & F.col("k").eqNullSafe(F.col("l_k"))
     found = write_through(
-        chosen.where(~F.col("stays") | (F.col("n") > 1)).select(
-            F.col("k").alias(whose), F.col("h").alias(of), F.col("stays").alias(again)
+        chosen.withColumn("keeps", keeps).where("not keeps or n > 1").select(
+            F.col("k").alias(whose), F.col("h").alias(of), F.col("keeps").alias(again)
         ),
         "copies",
     )
-    rows = df.withColumn(h, F.xxhash64(text))
+    rows = df.withColumn(h, F.xxhash64(F.col(text)))
     same = F.col(key).eqNullSafe(F.col(whose)) & (F.col(h) == F.col(of))
     single = rows.join(found, same, "left_anti")
     repeated = rows.join(found.where(again), same, "left_semi").dropDuplicates([key, h])
