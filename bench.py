@@ -19,8 +19,8 @@ HEADLINE = (
     "recommend_all", "recommend_one", "cascade_topk", "lookup_join", "item_features", "impute_mean",
     "entity_ratio", "location_ratio", "song_score", "topic_score", "keyword_score_negated", "match_odds",
     "conditional_share", "group_nunique", "describe", "metric_summary", "histogram", "fixed_bins",
-    "backfill", "strided_sample", "topk", "time_series", "scan_csv", "knn_regress", "gbt_regress",
-    "adaboost_r2", "stack_regress",
+    "backfill", "strided_sample", "topk", "time_series", "scan_csv", "knn_regress", "adaboost_r2",
+    "models_group_mean", "cv_group_mean", "stack_group_mean",
 )
 
 

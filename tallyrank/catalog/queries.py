@@ -329,11 +329,7 @@ def null_profile(spark, sf):
 @query
 def histogram(spark, sf):
     items = features.clean_items(fx.items(spark, sf))
-    parts = [
-        profile.histogram(items, c, bins).withColumn("metric", F.lit(c))
-        for c, bins in (("rating", 30), ("views", 30), ("title_len", 40))
-    ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = profile.histograms(items, {"rating": 30, "views": 30, "title_len": 40})
     return every.select(
         "metric", "bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n"
     )
@@ -564,7 +560,7 @@ def recommend_enriched(spark, sf):
     found = recommend.winners(items, _scores(spark, sf), fx.TERMS)
     found = write_through(found.select("id", *recommend.KEYS), "winners")
     train = split.with_split(table).where(F.col("split") == "train")
-    wanted = table.join(F.broadcast(found.select("id").distinct()), "id")
+    wanted = table.join(found.select("id").distinct(), "id")
     predictions = knn.knn_predict(train, wanted, features.FEATURES, "rating")
     records = recommend.enrich(found, items, predictions)
     grid = recommend.preference_grid(spark.range(1), fx.TERMS.names, fx.TERMS.places).drop("id")

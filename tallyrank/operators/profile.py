@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,30 +59,39 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
-def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins over the data range, the last one closed; empty bins stay with 0.
+def histograms(df: DataFrame, bins: Mapping[str, int]) -> DataFrame:
+    """(metric, bin, low, high, n): equal-width bins over each column's range, the last one closed.
 
-    A constant column gets a range of half a unit to each side.
+    Empty bins stay with 0; a constant column gets a range of half a unit to each side. One
+    pass finds all ranges, one counts all bins.
     """
-    values = df.select(F.col(column).cast("double").alias("x")).where(present("x", "double"))
+    size = F.create_map(*[part for c, n in bins.items() for part in (F.lit(c), F.lit(n))])[F.col("metric")]
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in bins
+    ]))
+    values = df.select(rows).where(present("x", "double"))
     flat = F.when(F.min("x") == F.max("x"), 0.5).otherwise(0.0)
-    extent = values.agg(
-        F.struct((F.min("x") - flat).alias("lo"), (F.max("x") + flat).alias("hi")).alias("extent")
-    ).scalar()
-    low, high = extent["lo"], extent["hi"]
-    position = F.floor((F.col("x") - low) / (high - low) * bins)
-    counted = values.groupBy(F.least(position, F.lit(bins - 1)).cast("bigint").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
+    # one row per column
+    extents = values.groupBy("metric").agg((F.min("x") - flat).alias("lo"), (F.max("x") + flat).alias("hi"))
+    position = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * size)
+    counted = values.join(F.broadcast(extents), "metric").groupBy(
+        "metric", F.least(position, size - 1).cast("bigint").alias("bin")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    grid = extents.withColumn("width", (F.col("hi") - F.col("lo")) / size).select(
+        "metric", "lo", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), (size - 1).cast("bigint"))).alias("bin")
     )
-    width = (high - low) / bins
-    grid = df.sparkSession.range(bins).toDF("bin").select(
-        "bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high")
-    ).where(F.col("low").isNotNull())
-    return grid.join(counted, "bin", "left").select(
-        "bin", "low", "high", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    return grid.join(counted, ["metric", "bin"], "left").select(
+        "metric", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"),
+        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("high"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
 
 
+def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """The histogram of one column."""
+    return histograms(df, {column: bins}).drop("metric")
+
+
 def fixed_bins(
     df: DataFrame, column: str, start: int, stop: int, step: int, overflow: bool = False
 ) -> DataFrame:

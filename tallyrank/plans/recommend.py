@@ -223,16 +223,18 @@ def enrich(
 ) -> DataFrame:
     """Adds title, rating and urls (and the predicted rating) to the winning ids.
 
-    The winners are at most one small set per preference combination, so they are
-    the broadcast side and the item table is only streamed past them.
+    The winners are written first: by their size as files Spark tells whether to
+    send them to the item table or to shuffle both.
     """
     display = items.select(F.col(spec.key).alias("id"), *[
         F.col(c).alias(a) for c, a in zip(spec.display(), ("title", "rating", "image", "link"))
     ])
     keyed = found.select("id", *[c for c in KEYS if c in found.columns])
-    result = display.join(F.broadcast(keyed), "id")
+    keyed = write_through(keyed, "winners")
+    result = display.join(keyed, "id")
     if predictions is not None:
-        result = predictions.select("id", "predicted").join(F.broadcast(result), "id", "right")
+        wanted = predictions.select("id", "predicted").join(keyed.select("id").distinct(), "id", "left_semi")
+        result = result.join(wanted, "id", "left")
     return result
 
 
