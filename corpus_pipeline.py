@@ -14,7 +14,7 @@ from tallyrank.session import scratch_path
 #: SQL cannot express the stages; a test runs them against brute force.
 ORACLE_SQL = None
 #: Smallest likeness to a language's profile that a document must reach.
-LEAST_LANGUAGE = 0.35
+LEAST_LANGUAGE = 0.2
 #: Toxicity score from which a document goes.
 MOST_TOXIC = 0.5
 
