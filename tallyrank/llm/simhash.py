@@ -399,7 +399,9 @@ def one_of_each(
     twins = texts_.join(groups.where("not several").select("fp"), "fp").withColumn("c", F.col("fp"))
     twins = twins.join(twins.groupBy("c").count().where("count > 1").select("c"), "c", "left_semi").select("c", "h", "k")
     near = write_through(near.unionByName(twins), "near-and-twins")
-    sets = write_through(_sets(df, near.select("h").distinct(), text, words), "shingle-sets")
+    # written on their own, so that Spark knows how few they are before it looks for their texts
+    wanted = write_through(near.select("h").distinct(), "near-hashes")
+    sets = write_through(_sets(df, wanted, text, words), "shingle-sets")
     linked = connected(_alike(near, sets, similarity)).withColumnRenamed("node", "h")
     # of alike texts the one with the smallest key stands for all, and of a text its smallest key
     named = texts_.join(linked, "h", "left").withColumn("root", F.coalesce("root", "h"))
@@ -417,6 +419,8 @@ def one_of_each(
     )
     rows = df.withColumn(h, F.xxhash64(F.col(text)))
     same = F.col(key).eqNullSafe(F.col(whose)) & (F.col(h) == F.col(of))
-    single = rows.join(found, same, "left_anti")
-    repeated = rows.join(found.where(again), same, "left_semi").dropDuplicates([key, h])
-    return single.union(repeated).select(*df.columns)
+    kept = rows.join(found, same, "left_anti")
+    # texts are only moved once more where rows repeat key and text
+    if not found.where(again).isEmpty():
+        kept = kept.union(rows.join(found.where(again), same, "left_semi").dropDuplicates([key, h]))
+    return kept.select(*df.columns)
