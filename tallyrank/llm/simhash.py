@@ -29,6 +29,7 @@ its ids are null. Repeated rows are returned each. Building the plan runs the jo
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -49,8 +50,12 @@ BLOCK = 1 << 20
 LIMIT = 8192
 #: Up to so many are searched one by one, more in blocks.
 FEW = 48
-#: Hash functions by which texts of a group find others to be compared with.
-LEADS = 4
+#: Cells in which the shingles of a text are counted, and the count that stands for itself and more.
+CELLS, FULL = 256, 255
+#: One text in so many shows which shingles are common: those of ``COMMON`` of them, ``MOST_COMMON`` at most.
+SAMPLE, COMMON, MOST_COMMON = 16, 8, 1 << 16
+#: Room for rounding in what a likeness demands of sizes.
+ROUNDING = 1e-6
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -344,34 +349,116 @@ def _sets(df: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
     return rows.groupBy("h").agg(F.min("t").alias("t")).select("h", shingle_set(F.col("t"), words).alias("own"))
 
 
-def _alike(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between texts of one group (c, h, k) whose shingle sets are alike.
+def _common(df: DataFrame, text: str, words: int) -> np.ndarray:
+    """Shingles of many texts, from one text in ``SAMPLE``; which ones are found changes the work only."""
+    drawn_ = df.where(F.pmod(F.xxhash64(F.col(text)), F.lit(SAMPLE)) == 0)
+    counts = drawn_.select(F.explode(shingle_set(F.col(text), words)).alias("s")).groupBy("s").count()
+    most = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON)
+    return np.sort(np.array([r["s"] for r in most.select("s").collect()], dtype=np.int64))
 
-    Every text is compared with the first text of its group, and with the first of those in
-    its group that have the same least shingle hash, for each of ``LEADS`` hash functions: two
-    sets that are 0.8 alike miss each other in all of them once in (1 / 0.2) ** ``LEADS`` cases.
+
+def profile_of(text: str | None, words: int, similarity: float, common: np.ndarray) -> tuple[int, np.ndarray, bytes]:
+    """Size of a text's shingle set, the leading shingles of it and its counts in ``CELLS`` cells.
+
+    Sets are ordered by hash, ``common`` shingles last. Two sets that are ``similarity`` alike
+    share one of the shingles that lead both, as too few would be left to share otherwise.
     """
-    placed = near.join(sets, "h").select(
-        "c", "h", "k", F.posexplode(F.array(F.lit(0).cast("long"), *_least_hashes(F.col("own")))).alias("turn", "mark")
-    )
-    order = F.struct(F.col("k").isNull().alias("late"), "k", "h")
-    leads = placed.groupBy("c", "turn", "mark").agg(F.min(order).alias("lead")).select(
-        "c", "turn", "mark", F.col("lead")["h"].alias("first")
-    )
-    pairs = write_through(
-        placed.join(leads, ["c", "turn", "mark"]).where("h != first").select("h", "first").distinct(), "alike-pairs"
-    )
-    both = pairs.join(sets, "h").join(sets.select(F.col("h").alias("first"), F.col("own").alias("its")), "first")
+    own = np.unique(hashes_of(text, words)).view(np.int64)
+    n = len(own)
+    cells = np.minimum(np.bincount(own & (CELLS - 1), minlength=CELLS), FULL).astype(np.uint8).tobytes()
+    if not n:
+        return 0, np.zeros(1, dtype=np.int64), cells
+    own = own[np.argsort(np.isin(own, common), kind="stable")]
+    return n, own[:n - math.ceil(similarity * n - ROUNDING) + 1], cells
+
+
+def _profiles(df: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """(h, n, first, cells) of each distinct text, as :func:`profile_of` gives them."""
+    common = _common(df, text, words)
+
+    @F.arrow_udf("struct<n:int,first:array<long>,cells:binary>")
+    def profiled(column: pa.Array) -> pa.Array:
+        found = [profile_of(t, words, similarity, common) for _, part in texts(column) for t in part]
+        n, first, cells = zip(*found) if found else ((), (), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
+            ["n", "first", "cells"],
+        )
+
+    rows = df.select(F.xxhash64(F.col(text)).alias("h"), profiled(F.col(text)).alias("p")).select("h", "p.*")
+    return write_through(rows.dropDuplicates(["h"]), "profiles")
+
+
+def _least_shared(similarity: float, n: Column, m: Column) -> Column:
+    """What sets of ``n`` and ``m`` shingles must share at least to be alike."""
+    return F.lit(similarity / (1 + similarity)) * (n + m) - ROUNDING
+
+
+def _most_shared(x: Column, y: Column) -> Column:
+    """What two sets can share at most by their counts in cells."""
+
+    @F.arrow_udf("int")
+    def most(a: pa.Array, b: pa.Array) -> pa.Array:
+        p, q = (np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for v in (a, b))
+        shared = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+        full = (p == FULL).any(axis=1) | (q == FULL).any(axis=1)
+        return pa.array(np.where(full, np.iinfo(np.int32).max, shared).astype(np.int32))
+
+    return most(x, y)
+
+
+def _verified(
+    df: DataFrame, pairs: DataFrame, profiles: DataFrame, text: str, words: int, similarity: float
+) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose shingle sets are alike."""
+    sizes = profiles.select("h", "n", "cells")
+    both = pairs.join(sizes.toDF("a", "n", "x"), "a").join(sizes.toDF("b", "m", "y"), "b")
+    both = both.where((F.col("n") >= similarity * F.col("m") - ROUNDING) & (F.col("m") >= similarity * F.col("n") - ROUNDING))
+    able = both.select("a", "b", _least_shared(similarity, F.col("n"), F.col("m")).alias("least"), _most_shared("x", "y").alias("most"))
+    able = write_through(able.where("most >= least").select("a", "b"), "alike-pairs")
+    # written on their own, so that Spark knows how few they are before it looks for their texts
+    wanted = write_through(able.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "near-hashes")
+    sets = write_through(_sets(df, wanted, text, words), "shingle-sets")
+    whole = able.join(sets.toDF("a", "own"), "a").join(sets.toDF("b", "its"), "b")
     shared = F.size(F.array_intersect("own", "its"))
-    alike = both.where(shared >= similarity * (F.size("own") + F.size("its") - shared))
-    return alike.select(F.col("h").alias("a"), F.col("first").alias("b"))
+    alike = whole.where(shared >= similarity * (F.size("own") + F.size("its") - shared))
+    return write_through(alike.select("a", "b"), "alike")
 
 
-def _least_hashes(own: Column) -> list[Column]:
-    def least(turn: int) -> Column:
-        return F.coalesce(F.array_min(F.transform(own, lambda x: F.xxhash64(F.lit(turn), x))), F.lit(0).cast("long"))
+def alike_components(
+    df: DataFrame, near: DataFrame, text: str, words: int, similarity: float
+) -> DataFrame:
+    """(node, root) of all texts, by hash, that a chain of alike pairs joins; no pair is missed.
 
-    return [least(turn) for turn in range(LEADS)]
+    First every text is compared with the lead of its fingerprint group (c, h, k) and with the
+    least of the texts that share one of its leading shingles, which is linear in the texts and
+    joins what large groups of copies have in common. Then any two texts that share a leading
+    shingle and are not yet joined are compared, whatever their fingerprints.
+    """
+    profiles = _profiles(df, text, words, similarity)
+    placed = profiles.select("h", "n", F.posexplode("first").alias("i", "s"))
+    shared = placed.groupBy("s").agg(F.min("h").alias("lead"), F.max("h").alias("last")).where("lead != last")
+    shared = write_through(shared.select("s", "lead"), "shared-shingles")
+    placed = write_through(placed.join(shared, "s"), "leading-shingles")
+    order = F.struct(F.col("k").isNull().alias("late"), "k", "h")
+    leads = near.groupBy("c").agg(F.min(order)["h"].alias("b"))
+    pairs = near.join(leads, "c").select(F.col("h").alias("a"), "b")
+    pairs = pairs.union(placed.select("h", "lead")).where("a != b").distinct()
+    links = _verified(df, pairs, profiles, text, words, similarity)
+    joined = write_through(connected(links), "joined")
+    rooted = placed.join(joined, F.col("h") == F.col("node"), "left").select(
+        "s", "h", "n", "i", F.coalesce("root", "h").alias("root")
+    )
+    # a shingle all of whose texts are joined has nothing left to compare
+    open_ = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("s")
+    rooted = write_through(rooted.join(open_, "s", "left_semi"), "open-shingles")
+    x, y = (rooted.toDF("s", v, f"{v}_n", f"{v}_i", f"{v}_root") for v in "ab")
+    left = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
+    others = x.join(y, "s").where("a < b and a_root != b_root").where(
+        left >= _least_shared(similarity, F.col("a_n"), F.col("b_n"))
+    )
+    more = _verified(df, others.select("a", "b").distinct(), profiles, text, words, similarity)
+    return joined if more.isEmpty() else connected(links.union(more))
 
 
 def one_of_each(
@@ -380,10 +467,11 @@ def one_of_each(
 ) -> DataFrame:
     """One row of each group of near copies: that of the smallest key. Columns stay as they are.
 
-    Fingerprints over shingles of ``marks`` words, which a few changed words move least,
-    propose the groups. Within a group texts are linked whose sets of shingles of ``words``
-    words are ``similarity`` alike, and of what is linked one text stays. Rows without a key
-    give way to rows that have one; of rows that repeat key and text any one stays.
+    Texts are linked whose sets of shingles of ``words`` words are ``similarity`` alike, and of
+    what is linked one text stays. Fingerprints over shingles of ``marks`` words, which a few
+    changed words move least, join most copies at little cost; :func:`alike_components` finds
+    all other pairs exactly. Rows without a key give way to rows that have one; of rows that
+    repeat key and text any one stays.
     """
     h, again, whose, of = fresh("h"), fresh("again"), fresh("whose"), fresh("of")
     marked = df.select(
@@ -399,10 +487,7 @@ def one_of_each(
     twins = texts_.join(groups.where("not several").select("fp"), "fp").withColumn("c", F.col("fp"))
     twins = twins.join(twins.groupBy("c").count().where("count > 1").select("c"), "c", "left_semi").select("c", "h", "k")
     near = write_through(near.unionByName(twins), "near-and-twins")
-    # written on their own, so that Spark knows how few they are before it looks for their texts
-    wanted = write_through(near.select("h").distinct(), "near-hashes")
-    sets = write_through(_sets(df, wanted, text, words), "shingle-sets")
-    linked = connected(_alike(near, sets, similarity)).withColumnRenamed("node", "h")
+    linked = alike_components(df, near, text, words, similarity).withColumnRenamed("node", "h")
     # of alike texts the one with the smallest key stands for all, and of a text its smallest key
     named = texts_.join(linked, "h", "left").withColumn("root", F.coalesce("root", "h"))
     order = F.struct(F.col("k").isNull().alias("late"), "k", "h")

@@ -259,3 +259,59 @@ def test_search_without_rows(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = vptree.search(vptree.build(two), F.col("vec_id") % 50 == 0).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 0.0)]
+
+
+# --- near copies -------------------------------------------------------------
+
+
+def brute_one_of_each(rows, words=5, similarity=0.8):
+    """Keys that stay: the smallest of each group that all pairs of alike texts join."""
+    def shingles(text):
+        own = text.lower().split()
+        return {tuple(own[i:i + words]) for i in range(len(own) - words + 1)} or {tuple(own)}
+
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[root(i)] = min(key, least.get(root(i), key))
+    return set(least.values())
+
+
+def variants(seed, n, size=300, edits=6):
+    """Variants of a text, and the text itself with the largest key."""
+    rng = random.Random(seed)
+    source = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    rows = []
+    for i in range(n):
+        words = list(source)
+        for at in rng.sample(range(size), edits):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((seed * 1000 + i, " ".join(words)))
+    return [*rows, (seed * 1000 + n, " ".join(source))]
+
+
+def test_variants_whose_source_comes_last_are_one_group(spark):
+    rows = variants(1, 40) + variants(2, 40, edits=9) + variants(3, 20, edits=20) + variants(4, 10, size=12, edits=1)
+    kept = brute_one_of_each(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == kept
+    assert 1000 in kept and not kept & set(range(1001, 1041))
+
+
+def test_one_of_each_equals_all_pairs(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "COMMON", 3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0").limit(400)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(table).collect()} == brute_one_of_each(rows)
