@@ -308,6 +308,13 @@ def test_variants_whose_source_comes_last_are_one_group(spark):
     assert 1000 in kept and not kept & set(range(1001, 1041))
 
 
+def test_alike_texts_with_far_fingerprints_are_found(spark):
+    rows = variants(5, 1, size=60, edits=1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # no fingerprint proposes a pair: only equal ones are in a group
+    assert [r["doc_id"] for r in simhash.one_of_each(docs, radius=0).collect()] == [5000]
+
+
 def test_one_of_each_equals_all_pairs(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(simhash, "SAMPLE", 1)
     monkeypatch.setattr(simhash, "COMMON", 3)
