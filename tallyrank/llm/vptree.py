@@ -42,8 +42,9 @@ MOST_PIVOTS = 1024
 LEAF = 64
 #: Queries that walk a tree together.
 TOGETHER = 512
-#: Room for rounding in what is compared with a bound.
-SLACK = 1e-9
+#: Room for rounding in what is compared with a bound: chords near zero are roots of rounding
+#: errors, some 1e-8 for equal vectors.
+SLACK = 1e-6
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:

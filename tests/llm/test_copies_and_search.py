@@ -237,6 +237,16 @@ def test_exact_search_equals_brute_force(spark):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
 
 
+def test_hundreds_of_equal_vectors_are_all_candidates():
+    for seed in range(20):
+        units = vptree._unit(np.repeat(np.random.default_rng(seed).normal(size=(1, 64)), 300, axis=0))
+        for asked in (1, 2, 7):
+            tree = vptree.Tree(units)
+            search = vptree.Nearest(tree, units[:asked], np.arange(asked), np.full(asked, np.inf), 5, 1.0)
+            search.walk(tree.root, np.arange(asked))
+            assert len(search.pairs()[0]) == asked * (len(units) - 1)
+
+
 def test_relaxed_search_keeps_recall(spark):
     got, want = compare(spark, vectors(2, 600, 16), shard=100, factor=0.8)
     found = {g[:1] + g[2:3] for g in got}
