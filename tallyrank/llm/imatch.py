@@ -8,8 +8,8 @@ from 1/4 down to 1/256, ``REPEATS`` subsets to a rate: the small ones still agre
 a document has changed, the large ones when little has.
 
 Fingerprint: 8 hexadecimal digits for each subset, or 8 dashes if it holds no term of the
-document. A document without any lexicon term is hashed over all of its terms, in every
-subset. Likeness of two fingerprints: the share of subsets with equal hashes among those that
+document. A document none of whose terms is in a subset is hashed over all of its terms, in
+every subset, so that dashes throughout mean a text without terms. Likeness of two fingerprints: the share of subsets with equal hashes among those that
 hold a term of either; fingerprints without any term are alike (1) only to each other.
 
 Scale. All DataFrame functions. Terms are counted by hash with partial sums. At most
@@ -77,7 +77,7 @@ class Lexicon:
                 return F.when(F.size(held) > 0, digits).otherwise(F.lit(NONE))
 
             return bound(found, lambda kept: F.when(
-                F.size(kept) > 0, F.array(*[subset(k, kept) for k in range(SUBSETS)])
+                F.exists(kept, lambda t: t["subsets"] != 0), F.array(*[subset(k, kept) for k in range(SUBSETS)])
             ).when(
                 F.size(own) > 0, F.array(*[
                     F.lower(F.lpad(F.hex(F.xxhash64(F.lit(k), own).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))

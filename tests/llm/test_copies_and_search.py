@@ -176,6 +176,14 @@ def test_imatch_lexicon_is_the_band(spark):
     assert held == want
 
 
+def test_imatch_terms_outside_all_subsets_still_tell_texts_apart(spark):
+    docs = spark.createDataFrame([(i, f"w{i // 2} u{i}") for i in range(200)], "doc_id int, text string")
+    lexicon = imatch.fit(docs)
+    assert any(b == 0 for part in lexicon.table.first()["parts"] for b in part.values())
+    own = [r["own"][0] for r in lexicon.fingerprints(docs, F.array("text"), "own").collect()]
+    assert not any(set(f) == {imatch.NONE} for f in own)
+
+
 def test_imatch_awkward_rows(awkward, none):
     lexicon = imatch.fit(awkward)
     got = imatch.against_next(awkward, lexicon, lambda t, n: F.concat(t, n), ranges=3).collect()
