@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrank.llm import chatformat, imatch, langid, packing, piece, secrets, simhash, toxicity, urlfilter, vptree
+from tallyrank.llm import (
+    chatformat, imatch, langid, merkle, packing, piece, secrets, simhash, toxicity, urlfilter, vptree,
+)
 from tallyrank.llm.common import remainder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of these operators is an expression of SQL; tests compare them with brute force.
+#: Most of these operators are no expression of SQL; tests compare them with brute force.
 SQL: dict[str, str] = {}
 
 URL_RULES = (
@@ -22,7 +24,6 @@ URL_RULES = (
 )
 
 
-
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file lies, here and in tasks."""
     import public_tokenizers
@@ -132,3 +133,64 @@ def op9_secrets(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     documents = read(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(packing.pieces(documents, vocabulary("byte_bpe_50k.json")))
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    rows = merkle.rows_of(
+        read(spark, sf_dir, "documents", *fields), "doc_id", fields, "lang",
+        changed=(remainder("doc_id", 7) == 0) & F.col("n_chars").isNotNull(), altered={"n_chars": F.col("n_chars") + 1},
+    )
+    return merkle.prove(merkle.build(rows)).withColumnRenamed("key", "doc_id")
+
+
+# CRC-32 of the decimal id, bit by bit: DuckDB has no such function
+_CRC = """xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+  lambda crc, byte: list_reduce(range(8),
+    lambda x, bit: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(crc, byte)), 4294967295), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar)::varchar || ':' || {value}::varchar, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return f"sha256(concat({', '.join(map(_field, fields))}))"
+
+
+def _tree(name: str, start: str) -> str:
+    """All nodes (g, level, i, w, node) of trees whose leaves are rows of ``start``."""
+    return f"""{name} as (
+  select g, 0 as level, i, w, node from {start}
+  union all
+  select g, level + 1, i // 2, (w + 1) // 2, sha256(string_agg(node, '' order by i)) from {name}
+  where w > 1 group by g, level, i // 2, w)"""
+
+
+SQL["op12_merkle"] = f"""with recursive
+leaves as (select doc_id, coalesce('=' || lang, '') as g, {_leaf('n_chars')} as leaf,
+    case when {_CRC} % 7 = 0 then {_leaf('(n_chars + 1)')} else {_leaf('n_chars')} end as used from documents),
+placed as (select *, leaf as node, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i,
+    count(*) over (partition by g) as w from leaves),
+{_tree('nodes', 'placed')},
+subroots as (select g as lang, node from nodes where w = 1),
+ordered as (select '' as g, lang, node, row_number() over (order by lang) - 1 as i, count(*) over () as w from subroots),
+{_tree('over', 'ordered')},
+steps as (
+  select p.doc_id, p.leaf, n.level, n.i, s.node as sibling from placed p
+  join nodes n on n.g = p.g and n.i = p.i >> n.level and n.w > 1
+  left join nodes s on s.g = n.g and s.level = n.level and s.i = xor(n.i, 1::bigint)
+  union all
+  select p.doc_id, p.leaf, 1000 + n.level, n.i, s.node from placed p join ordered o on o.lang = p.g
+  join over n on n.i = o.i >> n.level and n.w > 1
+  left join over s on s.level = n.level and s.i = xor(n.i, 1::bigint)),
+proofs as (select doc_id, leaf, sha256(coalesce(string_agg(sibling, '' order by level), '')) as proof_sha256,
+    list(struct_pack(l := level, i := i, s := sibling) order by level) as way from steps group by doc_id, leaf)
+select p.doc_id, p.leaf, s.node as subroot, r.node as root, coalesce(proof_sha256, sha256('')) as proof_sha256,
+  list_reduce(coalesce(way, []), lambda h, x: struct_pack(l := 0::bigint, i := 0::bigint, s := sha256(
+    case when x.s is null then h.s when x.i & 1 = 1 then x.s || h.s else h.s || x.s end)),
+    struct_pack(l := 0::bigint, i := 0::bigint, s := p.used)).s as folded_root, folded_root = root as verified
+from placed p join subroots s on s.lang = p.g cross join (select node from over where w = 1) r
+left join proofs using (doc_id, leaf)"""
