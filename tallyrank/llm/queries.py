@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.llm import (
-    chatformat, imatch, langid, merkle, packing, piece, secrets, simhash, toxicity, urlfilter, vptree,
+    chatformat, htmltext, imatch, langid, merkle, packing, piece, secrets, simhash, toxicity, urlfilter, vptree, whitening,
 )
 from tallyrank.llm.common import remainder
 
@@ -135,6 +135,11 @@ def op10_packing(spark, sf_dir):
     return packing.pack(packing.pieces(documents, vocabulary("byte_bpe_50k.json")))
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+
+
 @query
 def op12_merkle(spark, sf_dir):
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -145,6 +150,13 @@ def op12_merkle(spark, sf_dir):
     return merkle.prove(merkle.build(rows)).withColumnRenamed("key", "doc_id")
 
 
+@query
+def op13_html_text(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    found = pages.select("page_id", "url", htmltext.extracted(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 # CRC-32 of the decimal id, bit by bit: DuckDB has no such function
 _CRC = """xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
   lambda crc, byte: list_reduce(range(8),
