@@ -6,29 +6,34 @@ lower-case hexadecimal digits. Matches of a kind are leftmost and do not overlap
 
 Models. Strings that a pattern matched are samples of random strings, other runs of at least
 ``WORD`` characters in the same and other texts samples of ordinary identifiers. For either
-class a first-order Markov model of characters is counted; a transition's probability is
+class a first-order Markov model of characters is counted, the kinds of random strings weighing
+the same however often each occurs; a transition's probability is
 smoothed by the frequency of the character it leads to. A run of ``RUN`` characters and more
 is a secret if its mean log-likelihood ratio exceeds a threshold that is calibrated on
-samples training did not see, and if no pattern has found it already.
+samples training did not see, and if it is not inside what a pattern has found. It is added whole,
+also where a pattern has found a part of it.
 
 Scale. Everything is DataFrame functions. The scan has no shuffle: a text's spans are found
-in its row, and only texts in which a cheap search succeeds are cut up. Samples come from
-about ``sample`` texts of each class, drawn by hash; the model is a table of 128 by 128
+in its row, and only texts in which a cheap search succeeds are cut up. Running sums over
+the matches of a text go in blocks of blocks, so that its cost hardly grows faster than the text. Samples come
+from about ``sample`` texts of each class, drawn by hash; the model is a table of 128 by 128
 numbers, passed as a scalar subquery. ``fit`` runs jobs while the plan is built.
 
-Defined cases. Null text is empty. Offsets are code points, ends exclusive. Without samples
-of both classes only the patterns are used. Repeated rows are scanned each. Only id and text
-are read.
+Defined cases. Null text is empty, very long ones are scanned whole. Offsets are code points, ends
+exclusive. Spans that start together are ordered by kind. Without samples of both classes, an empty
+table among these, only the patterns are used. Repeated rows are scanned each. Only id and
+text are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import drawn, fresh, share_of
+from tallyrank.llm.common import bound, drawn, fresh, share_of
 from tallyrank.session import write_through
 
 #: Patterns, in the order that spans with equal starts take (fixed values). The runs of hex
@@ -42,29 +47,71 @@ KINDS = ("assign", "access", "hex", "markov")
 WORD, RUN = 8, 20
 _CHARACTERS = "A-Za-z0-9+/_=-"
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+_HELD = "array<struct<start:int,kind:int,end:int,held:string>>"
 
 
-def _located(text: Column, pattern: str, kind: int, search: str, value_least: int = 0) -> Column:
-    """Spans of a pattern as (start, kind, end): what lies between matches tells where they are."""
+def running(values: Column, step: Callable[[Column, Column], Column], zero: Column, blocks: int = 2) -> Column:
+    """What ``step`` makes of all values up to each, in order.
+
+    An array can grow only by being copied, so blocks of values are gone through one by one, after
+    what comes before each block is known from the same over the blocks' totals.
+    """
+    def grown(part: Column, start: Column) -> Column:
+        def add(so_far: Column, value: Column) -> Column:
+            return bound(step(so_far["last"], value), lambda now: F.struct(
+                now.alias("last"), F.concat(so_far["out"], F.array(now)).alias("out")
+            ))
+
+        begin = F.struct(start.alias("last"), F.slice(F.array(start), 1, 0).alias("out"))
+        return F.aggregate(part, begin, add, lambda end: end["out"])
+
+    if not blocks:
+        return grown(values, zero)
+
+    def blocked(whole: Column) -> Column:
+        size = F.ceil(F.pow(F.size(whole), F.lit(1 / (blocks + 1)))).cast("int")
+        cut = F.transform(F.sequence(F.lit(1), F.size(whole), size), lambda i: F.slice(whole, i, size))
+
+        def chained(parts: Column) -> Column:
+            totals = F.transform(parts, lambda part: F.aggregate(part, zero, step))
+            before = F.concat(F.array(zero), running(totals, step, zero, blocks - 1))
+            return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), grown))
+
+        return F.when(F.size(whole) > 0, bound(cut, chained)).otherwise(F.slice(F.array(zero), 1, 0))
+
+    return bound(values, blocked)
+
+
+def _sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
+
+def _largest(values: Column, least: int) -> Column:
+    return running(values, lambda a, b: F.greatest(a, b), F.lit(least))
+
+
+def _located(text: Column, pattern: str, kind: int, search: str, value_least: int = 0, matched: bool = False) -> Column:
+    """Spans of a pattern as (start, kind, end) and, if wanted, what they hold: what lies between
+    matches tells where they are."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.zip_with(
         matches, F.split(text, pattern, -1),
         lambda m, gap: F.struct(
-            F.length(gap).alias("gap"), F.length(m).alias("size"),
-            (F.length(F.regexp_extract(m, pattern, 1)) >= value_least if value_least else F.lit(True)).alias("kept"),
+            F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("held"),
+            (F.length(F.regexp_extract(m, pattern, 1)) >= value_least if value_least else m.isNotNull()).alias("kept"),
         ),
     )
 
-    def add(so_far: Column, part: Column) -> Column:
-        start = so_far["at"] + part["gap"]
-        end = start + part["size"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        kept = F.when(part["kept"] & part["size"].isNotNull(), F.concat(so_far["spans"], F.array(span)))
-        return F.struct(F.coalesce(end, start).alias("at"), F.coalesce(kept, so_far["spans"]).alias("spans"))
+    def span(part: Column, end: Column) -> Column:
+        held = [part["held"].alias("held")] if matched else []
+        found = F.struct((end - part["size"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *held)
+        return F.when(part["kept"] & part["held"].isNotNull(), found)
 
-    none = F.array().cast(_SPANS)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(search), F.aggregate(parts, start, add, lambda end: end["spans"])).otherwise(none)
+    spans = bound(parts, lambda p: F.array_compact(
+        F.zip_with(p, _sums(F.transform(p, lambda x: x["gap"] + x["size"])), span)
+    ))
+    none = F.array().cast(_HELD if matched else _SPANS)
+    return F.when(text.rlike(search), spans).otherwise(none)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -95,10 +142,13 @@ def _transitions(run: Column) -> Column:
 
 @dataclass(frozen=True)
 class Randomness:
-    """Log ratios of all transitions in a one-row table, and the threshold of their mean."""
+    """Log ratios of all transitions in a one-row table, the threshold of their mean, and the shares
+    of random and of ordinary runs held out from training that exceed it."""
 
     table: DataFrame | None
     threshold: float | None
+    recall: float | None = None
+    wrong: float | None = None
 
     def scored(self, df: DataFrame, runs: str, out: str) -> DataFrame:
         """Adds the mean log ratio of each string of an array.
@@ -119,9 +169,15 @@ class Randomness:
 
 
 def _model(samples: DataFrame, strength: float) -> DataFrame:
-    """The one-row table of log ratios from (random, run)."""
-    counts = samples.select("random", F.explode(_transitions(F.col("run"))).alias("t")).groupBy("t").agg(
-        F.sum(F.col("random").cast("int")).alias("n1"), F.sum((~F.col("random")).cast("int")).alias("n0")
+    """The one-row table of log ratios from (kind, run), kind 0 being ordinary."""
+    counts = samples.select("kind", F.explode(_transitions(F.col("run"))).alias("t")).groupBy("kind", "t").count()
+    of_kind, of_class = Window.partitionBy("kind"), Window.partitionBy(F.col("kind") > 0)
+    # random strings of every kind weigh as much as their mean
+    kinds = F.size(F.collect_set("kind").over(of_class))
+    even = F.col("count") * F.sum("count").over(of_class) / (kinds * F.sum("count").over(of_kind))
+    counts = counts.withColumn("n", even).groupBy("t").agg(
+        F.sum(F.when(F.col("kind") > 0, F.col("n")).otherwise(0.0)).alias("n1"),
+        F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0.0)).alias("n0"),
     )
     grid = samples.sparkSession.range(128 * 128).select(
         F.col("id").cast("int").alias("t"), F.expr("int(id div 128)").alias("a"), F.expr("int(id % 128)").alias("b")
@@ -152,23 +208,27 @@ def fit(
         return Randomness(None, None)
     share = F.when(F.col("hit"), share_of(total[True], sample)).otherwise(share_of(total.get(False, 0), sample))
     chosen = write_through(flagged.where(drawn(share, "text")), "secret-sample")
-    found = F.concat(
+    kinds = (
         F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= VALUE),
         F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)),
     )
-    random = chosen.where("hit").select(F.explode(found).alias("run")).where(~F.col("run").rlike(rf"[^{_CHARACTERS}]"))
+
+    def of_kind(kind: int, runs: Column) -> Column:
+        return F.transform(runs, lambda run: F.struct(F.lit(kind).alias("kind"), run.alias("run")))
+
+    found = F.concat(*[of_kind(kind, runs) for kind, runs in enumerate(kinds, 1)])
+    random = chosen.where("hit").select(F.inline(found)).where(~F.col("run").rlike(rf"[^{_CHARACTERS}]"))
     rest = F.regexp_replace("text", f"{ACCESS}|{HEX}|{ASSIGN}", "\n")
     ordinary = chosen.select(F.explode(F.regexp_extract_all(rest, F.lit(f"[{_CHARACTERS}]{{{WORD},}}"), F.lit(0))).alias("run"))
-    samples = random.select(F.lit(True).alias("random"), "run").unionByName(
-        ordinary.select(F.lit(False).alias("random"), "run")
-    ).distinct()
+    samples = random.unionByName(ordinary.select(F.lit(0).alias("kind"), "run")).distinct()
     samples = write_through(samples, "secret-runs")
     held = F.pmod(F.xxhash64(F.lit("held"), "run"), F.lit(4)) == 0
     table = write_through(_model(samples.where(~held), strength), "secret-model")
     model = Randomness(table, None)
-    scored = model.scored(samples.where(held).select("random", F.array("run").alias("runs")), "runs", "score")
+    scored = model.scored(samples.where(held).select("kind", F.array("run").alias("runs")), "runs", "score")
+    scored = scored.select((F.col("kind") > 0).alias("random"), F.col("score")[0].alias("s"))
     at = {
-        r["random"]: r for r in scored.select("random", F.col("score")[0].alias("s")).groupBy("random").agg(
+        r["random"]: r for r in scored.groupBy("random").agg(
             F.percentile_approx("s", 1 - wrong, 10_000).alias("high"),
             F.percentile_approx("s", 0.02, 10_000).alias("low"),
         ).collect()
@@ -176,7 +236,11 @@ def fit(
     if len(at) < 2:
         return Randomness(table, None)
     high, low = at[False]["high"], at[True]["low"]
-    return Randomness(table, max(0.0, (high + low) / 2 if low > high else high))
+    threshold = max(0.0, (high + low) / 2 if low > high else high)
+    above = {r["random"]: r["share"] for r in scored.groupBy("random").agg(
+        F.avg((F.col("s") > threshold).cast("double")).alias("share")
+    ).collect()}
+    return Randomness(table, threshold, above[True], above[False])
 
 
 def scan(df: DataFrame, model: Randomness, text: str = "text", *, out: str = "secrets") -> DataFrame:
@@ -192,35 +256,88 @@ def scan(df: DataFrame, model: Randomness, text: str = "text", *, out: str = "se
     if model.threshold is None:
         return rows.select(*kept, F.struct(F.col(base).alias("base"), F.col(base).alias("all")).alias(out))
     pattern = f"[{_CHARACTERS}]{{{RUN},}}"
-    free = F.filter(
-        _located(F.col(body), pattern, 3, pattern),
-        lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
-    )
-    rows = rows.withColumn(runs, free)
-    rows = rows.withColumn(scores, F.transform(runs, lambda r: F.col(body).substr(r["start"] + 1, r["end"] - r["start"])))
+    rows = rows.withColumn(runs, _located(F.col(body), pattern, 3, pattern, matched=True))
+    rows = rows.withColumn(runs, F.when(F.size(base) > 0, _not_inside(F.col(runs), F.col(base))).otherwise(F.col(runs)))
+    rows = rows.withColumn(scores, F.transform(runs, lambda r: r["held"]))
     rows = model.scored(rows, scores, scores)
-    added = F.filter(
-        F.zip_with(runs, scores, lambda r, s: F.when(s > model.threshold, r)), lambda r: r.isNotNull()
-    )
+    added = F.array_compact(F.zip_with(
+        runs, scores, lambda r, s: F.when(s > model.threshold, F.struct(r["start"], r["kind"], r["end"]))
+    ))
     every = F.when(F.size(runs) > 0, F.array_sort(F.concat(F.col(base), added))).otherwise(F.col(base))
     return rows.select(*kept, F.struct(F.col(base).alias("base"), every.alias("all")).alias(out))
 
 
+def _not_inside(runs: Column, base: Column) -> Column:
+    """The runs that no base span holds whole: among spans that start no later, the furthest end tells."""
+    def mark(s: Column, held: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), held.alias("held"))
+
+    marks = F.array_sort(F.concat(
+        F.transform(base, lambda s: mark(s, F.lit(None).cast("string"))), F.transform(runs, lambda s: mark(s, s["held"]))
+    ))
+
+    def free(all_marks: Column) -> Column:
+        ends = F.transform(all_marks, lambda m: F.when(m["kind"] < 3, m["end"]).otherwise(-1))
+        return F.array_compact(F.zip_with(
+            all_marks, _largest(ends, -1),
+            lambda m, end: F.when((m["kind"] == 3) & (end < m["end"]), m),
+        ))
+
+    return bound(marks, free)
+
+
+#: What a text is cut into, so that a piece of it is found without counting from its beginning.
+_PIECE = "(?s).{1,512}"
+
+
 def mask(text: Column, spans: Column, sign: str = "<secret>") -> Column:
-    """The text with ``sign`` in place of every span; overlapping spans are masked as one."""
+    """The text with ``sign`` in place of every span; overlapping spans are masked as one.
+
+    Pieces of the text and the borders of spans are put in order together. Between two of these
+    marks lies a part of one piece, which goes if a span before it reaches further.
+    """
+    sizes = F.struct(F.lit(0).alias("end"), F.lit(0).alias("piece"), F.lit(0).alias("start"))
 
-    def add(so_far: Column, span: Column) -> Column:
-        fresh_part = span["start"] >= so_far["at"]
-        between = text.substr(so_far["at"] + 1, F.greatest(span["start"] - so_far["at"], F.lit(0)))
+    def mark(at, rank: int, end, piece, fresh_span) -> Column:
+        # ends of spans come first, then starts, then pieces
         return F.struct(
-            F.greatest(so_far["at"], span["end"]).alias("at"),
-            F.when(fresh_part, F.concat(so_far["parts"], F.array(between, F.lit(sign)))).otherwise(so_far["parts"])
-            .alias("parts"),
+            at.alias("at"), F.lit(rank).alias("rank"), end.alias("end"), piece.alias("piece"), fresh_span.alias("fresh"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    masked = F.aggregate(
-        spans, start, add,
-        lambda end: F.concat(F.array_join(end["parts"], ""), text.substr(end["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    def reach(a: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(a["end"], b["end"]).alias("end"), (a["piece"] + b["piece"]).alias("piece"),
+            F.greatest(a["start"], b["start"]).alias("start"),
+        )
+
+    def masked(pieces: Column, ends: Column, all_spans: Column, length: Column) -> Column:
+        reached = _largest(F.transform(all_spans, lambda s: s["end"]), 0)
+        before = F.slice(F.concat(F.array(F.lit(0)), reached), 1, F.size(all_spans))
+        starts = F.zip_with(all_spans, before, lambda s, end: mark(s["start"], 1, s["end"], F.lit(0), s["start"] >= end))
+        stops = F.transform(all_spans, lambda s: mark(s["end"], 0, F.lit(0), F.lit(0), F.lit(False)))
+        cuts = F.zip_with(pieces, ends, lambda p, end: mark(end - F.length(p), 2, F.lit(0), F.lit(1), F.lit(False)))
+        marks = F.array_sort(F.concat(starts, stops, cuts))
+
+        def joined(all_marks: Column) -> Column:
+            values = F.transform(all_marks, lambda m: F.struct(
+                m["end"].alias("end"), m["piece"].alias("piece"), (m["at"] * m["piece"]).alias("start")
+            ))
+            nexts = F.concat(F.slice(F.transform(all_marks, lambda m: m["at"]), 2, F.size(all_marks)), F.array(length))
+            states = F.arrays_zip(running(values, reach, sizes).alias("state"), nexts.alias("next"))
+
+            def part(m: Column, s: Column) -> Column:
+                inside = F.element_at(pieces, s["state"]["piece"]).substr(
+                    m["at"] - s["state"]["start"] + 1, s["next"] - m["at"]
+                )
+                shown = (s["state"]["end"] <= m["at"]) & (s["next"] > m["at"])
+                return F.concat(F.when(m["fresh"], F.lit(sign)).otherwise(""), F.when(shown, inside).otherwise(""))
+
+            return F.array_join(F.zip_with(all_marks, states, part), "")
+
+        return bound(marks, joined)
+
+    def with_pieces(pieces: Column) -> Column:
+        return bound(_sums(F.transform(pieces, F.length)), lambda ends: masked(pieces, ends, spans, F.length(text)))
+
+    whole = bound(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), with_pieces)
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
