@@ -26,6 +26,13 @@ TEXT_TERMS = ("sing", "ing", "the")
 SOURCE_TERMS = ("src1", "src10")
 DEFAULT = {"id": -1, "title": "no match", "rating": 0.0, "image": "img/none", "link": "vid/none"}
 
+# settings of the boosting and search queries
+ROUNDS = 3
+BOOSTED = (("linear", 0.25), ("square", 0.5), ("exponential", 0.6))
+DRAWS, FOLDS, SEED, TURNS = 2, 4, 7, 2
+# rounds that the registered searches draw from; the ranges of training take hours on one machine
+SEARCH_ROUNDS = (3, 9)
+
 NAN = "cast('NaN' as double)"
 
 ITEMS = """

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tallyrank.catalog.fixtures import CTE, DEFAULT, GROUP_TERM, SOURCE_TERMS, TERMS, TEXT_TERMS
+import random
+
+from tallyrank.catalog.fixtures import (
+    BOOSTED, CTE, DEFAULT, DRAWS, FOLDS, GROUP_TERM, ROUNDS, SEARCH_ROUNDS, SEED, SOURCE_TERMS, TERMS, TEXT_TERMS,
+    TURNS,
+)
+from tallyrank.ml.search import BOOST_LOSSES, BOOST_RATES
 
 SQL: dict[str, str] = {}
 
@@ -514,7 +520,106 @@ SQL["cv_group_mean"] = _with(
   ) m using (fold, {_GROUP.replace(', ', ',')}) group by t.fold), models group by model""",
     "items", "lines", **_PURE_VIEWS, folded=f"select *, {_FOLD} as fold from imputed",
 )
+# --- boosting round by round: a tree grown to purity predicts its group's weighted mean ---
+
+def _boosted(settings: list[tuple[str, float, int]]) -> dict[str, str]:
+    """Views: ``medians`` (s, part, group, predicted) of boosting with each of the settings (loss, rate,
+    rounds) on each part of the training rows: those outside fold 0, 1, …, and (part -1) all of them."""
+    values = ", ".join(f"({i}, '{loss}', {rate}::double, {rounds})" for i, (loss, rate, rounds) in enumerate(settings))
+    sp = "partition by s, part"
+    return {
+        "settings": f"select * from (values {values}) v(s, loss, rate, rounds)",
+        "folded": f"select *, {_FOLD} as fold from tagged",
+        "parts": f"select unnest(range(-1, {FOLDS}))::int as part",
+        # one row per group of equal rows; round 0 is the start
+        "boost": f"""
+  select s, loss, rate, rounds, part, {_GROUP}, rating as y, count(*)::double as w, 0 as round,
+    null::double as predicted, null::double as tree_weight, true as going
+  from folded, parts, settings where split = 'train' and fold <> part group by all
+  union all
+  select s, loss, rate, rounds, part, {_GROUP}, y,
+    w * pow(mean_loss / (1 - mean_loss), (1 - lost) * rate) / sum(w) over ({sp}), round + 1, p,
+    case when mean_loss <= 0 or mean_loss >= 0.5 then case when mean_loss <= 0 or round = 0 then 1.0 end
+         else rate * ln((1 - mean_loss) / mean_loss) end,
+    mean_loss > 0 and mean_loss < 0.5 and round + 1 < rounds
+  from (select *, sum(w * lost) over ({sp}) / sum(w) over ({sp}) as mean_loss from (
+    select *, case when largest = 0 then 0 when loss = 'linear' then e / largest
+      when loss = 'square' then pow(e / largest, 2) else 1 - exp(-e / largest) end as lost from (
+    select *, max(e) over ({sp}) as largest from (
+    select *, abs(y - p) as e from (
+    select *, sum(w * y) over ({sp}, {_GROUP}) / sum(w) over ({sp}, {_GROUP}) as p from boost where going)))))""",
+        "trees": f"select distinct s, part, round, {_GROUP}, predicted, tree_weight from boost where tree_weight is not null",
+        "medians": f"""
+  select s, part, {_GROUP}, min(predicted) as predicted from (
+    select *, sum(tree_weight) over ({sp}, {_GROUP} order by predicted, round rows unbounded preceding) as reached,
+      sum(tree_weight) over ({sp}, {_GROUP}) as total from trees)
+  where reached >= 0.5 * total * (1 - 1e-12) group by s, part, {_GROUP}""",
+        "scores": f"""
+  select s, part as fold, 1 - sum(pow(rating - predicted, 2)) / (var_pop(rating) * count(*)) as r2
+  from folded f join medians m using ({_GROUP.replace(', ', ',')}) where split = 'train' and f.fold = m.part group by s, part""",
+        "means": "select s, avg(r2) as r2 from scores group by s",
+    }
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+def _drawn(turns: int) -> list[tuple[str, float, int]]:
+    """The settings that a search draws, turn by turn."""
+    found = []
+    for turn in range(turns):
+        source = random.Random(SEED + turn)
+        for _ in range(DRAWS):
+            found.append((source.choice(list(BOOST_LOSSES)), source.choice(list(BOOST_RATES)), source.randrange(*SEARCH_ROUNDS)))
+    return found
+
+
+SQL["boosting_rounds"] = _recursive(_with(
+    f"""select loss, id, round(predicted, 6) as predicted from tagged join medians using ({_GROUP}) join settings using (s)
+where part = -1""", "items", "lines", **_MODEL_VIEWS, **_boosted([(loss, rate, ROUNDS) for loss, rate in BOOSTED]),
+))
+SQL["random_search"] = _recursive(_with(
+    """select 0 as turn, s::int as draw, loss, rate, rounds::int as rounds, fold, round(scores.r2, 6) as r2,
+  s = (select s from means order by r2 desc, s limit 1) as chosen
+from scores join settings using (s)""", "items", "lines", **_MODEL_VIEWS, **_boosted(_drawn(1)),
+))
+SQL["retrain_until"] = _recursive(_with(
+    f"""select turn::int as turn, round(rmse, 6) as rmse, rmse = min(rmse) over () as best from (
+  select turn, sqrt(avg(pow(rating - predicted, 2))) as rmse
+  from (select s // {DRAWS} as turn, s from means qualify row_number() over (partition by s // {DRAWS} order by r2 desc, s) = 1)
+  join medians using (s) join tagged using ({_GROUP}) where part = -1 and split = 'test' group by turn)""",
+    "items", "lines", **_MODEL_VIEWS, **_boosted(_drawn(TURNS)),
+))
+
+# --- boosting of the absolute error: leaves are lower medians of the groups' residuals ---
+
+def _lower_median(value: str, weight: str, by: str) -> str:
+    """The first value, in order, at which half of the weight of its group is reached."""
+    return f"""min(case when {weight}_upto >= 0.5 * {weight}_all then {value} end) over (partition by {by})"""
+
+
+def _median_rounds(rate: float) -> dict[str, str]:
+    views = {
+        "start": "select quantile_cont(rating, 0.5) as m from tagged where split = 'train'",
+        "left0": f"""select {_GROUP}, rating - m as residual, count(*) as n, 0.0::double as score
+from tagged, start where split = 'train' group by all""",
+    }
+    for i in range(1, ROUNDS + 1):
+        views[f"ranked{i}"] = f"""select *, sum(n) over (partition by {_GROUP} order by residual rows unbounded preceding) as n_upto,
+  sum(n) over (partition by {_GROUP}) as n_all from left{i - 1}"""
+        views[f"step{i}"] = f"select *, {_lower_median('residual', 'n', _GROUP)} * {rate} as step from ranked{i}"
+        views[f"left{i}"] = f"select {_GROUP}, residual - step as residual, n, score + step as score from step{i}"
+    return views
+
+
+SQL["absolute_rounds"] = _with(
+    f"""select id, split, round(m + score, 6) as predicted
+from tagged join (select distinct {_GROUP}, score from left{ROUNDS}) using ({_GROUP}), start""",
+    "items", "lines", **_MODEL_VIEWS, **_median_rounds(0.3),
+)
 SQL["stack_group_mean"] = _with(
     """select id, title, season, views, round(pure.rating, 6) as rating, round(predicted, 6) as predicted
 from pure join (select id, title from items) using (id)""", "items", "lines", **_PURE_VIEWS,
 )
+SQL["recommend_choices"] = SQL["recommend_all"]

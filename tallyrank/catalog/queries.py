@@ -11,7 +11,7 @@ from tallyrank.catalog import fixtures as fx
 from tallyrank.functions import scalars, text
 from tallyrank.ml import compare, knn, search, split, stack
 from tallyrank.operators import aggregate, impute, ordering, profile, rank
-from tallyrank.plans import charts, features, recommend
+from tallyrank.plans import charts, choices, features, recommend
 from tallyrank.session import scratch_path, write_through
 from tallyrank.sources import tables
 from tallyrank.spec import ItemSpec, LineSpec
@@ -421,6 +421,13 @@ def recommend_all(spark, sf):
     return _store(spark, sf)
 
 
+@query
+def recommend_choices(spark, sf):
+    """The recommendation table with names and places as tables of any length."""
+    names, places = (spark.createDataFrame([(t,) for t in terms], "value string") for terms in (fx.TERMS.names, fx.TERMS.places))
+    return choices.recommend_choices(fx.items(spark, sf), fx.lines(spark, sf), names, places, fx.TERMS, fx.DEFAULT)
+
+
 @query
 def option_lists(spark, sf):
     """The choices, with names and places from lookup lists whose rows end in a stray delimiter."""
@@ -639,6 +646,76 @@ def models_group_mean(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _few_valued(spark, sf):
+    """Vectors of the features of few values, written once for the many fits over them."""
+    return write_through(_pure_vectors(spark, sf).select("id", "split", "rating", "features"), "few-valued")
+
+
+@query
+def boosting_rounds(spark, sf):
+    """Three rounds of boosting with each loss: what the weighted median of the trees predicts."""
+    vectors = _few_valued(spark, sf)
+    train = vectors.where(F.col("split") == "train")
+    parts = [
+        compare.boosting(rounds=fx.ROUNDS, loss=loss, stepSize=rate, **PURE).fit(train).transform(vectors).select(
+            F.lit(loss).alias("loss"), "id", F.round("predicted", 6).alias("predicted")
+        )
+        for loss, rate in fx.BOOSTED
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def absolute_rounds(spark, sf):
+    """Three rounds of boosting of the absolute error: leaves are medians of residuals."""
+    vectors = _few_valued(spark, sf)
+    model = compare.median_boosting(rounds=fx.ROUNDS, stepSize=0.3, **PURE).fit(vectors.where(F.col("split") == "train"))
+    return model.transform(vectors).select("id", "split", F.round("predicted", 6).alias("predicted"))
+
+
+def _searched(spark, sf):
+    """A learner with the ranges its search draws from, training rows and rows held out."""
+    vectors = _few_valued(spark, sf)
+    learner = compare.boosting(**PURE)
+    space = search.boosting_space(learner, fx.SEARCH_ROUNDS)
+    train, held = (vectors.where(F.col("split") == s) for s in ("train", "test"))
+    return learner, space, train, held
+
+
+def _search_rows(found, turn):
+    for i, (chosen, scores) in enumerate(zip(found.settings, found.scores)):
+        for fold, score in enumerate(scores):
+            yield (
+                turn, i, chosen["loss"], chosen["stepSize"], chosen["maxIter"], fold, round(score, 6), i == found.best
+            )
+
+
+SEARCH_ROW = "turn int, draw int, loss string, rate double, rounds int, fold int, r2 double, chosen boolean"
+
+
+@query
+def random_search(spark, sf):
+    """Every draw's score on every fold, and which draw is chosen; all losses and rates."""
+    learner, space, train, _ = _searched(spark, sf)
+    found = search.random_search(learner, train, space, draws=fx.DRAWS, folds=fx.FOLDS, seed=fx.SEED)
+    return spark.createDataFrame(list(_search_rows(found, 0)), SEARCH_ROW)
+
+
+@query
+def retrain_until(spark, sf):
+    """Searches repeated until the hold-out error is low enough, at most a stated number of times.
+
+    The run is broken off after its first search; a second one goes on from the store.
+    """
+    learner, space, train, held = _searched(spark, sf)
+    store = search.Store(spark, scratch_path(spark, "searches"))
+    options = {"draws": fx.DRAWS, "folds": fx.FOLDS, "seed": fx.SEED, "store": store}
+    search.retrain_until(learner, train, held, space, 0.0, max_rounds=1, **options)
+    found = search.retrain_until(learner, train, held, space, 0.0, max_rounds=fx.TURNS, **options)
+    rows = [(turn, round(error, 6), error == min(found.errors)) for turn, error in enumerate(found.errors)]
+    return spark.createDataFrame(rows, "turn int, rmse double, best boolean")
+
+
 @query
 def comparison_group_mean(spark, sf):
     """Training and test error of each kind of tree model."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyrank import spec as defaults
 from tallyrank.ml import compare, stack
-from tallyrank.plans import features, recommend
+from tallyrank.plans import choices, features
 from tallyrank.plans.features import model_table
 from tallyrank.session import clear_scratch, write_through
 from tallyrank.sources import tables
@@ -41,7 +41,6 @@ LINES = LineSpec(
     text="raw_text", speaking="speaking_line", words="word_count",
 )
 REQUEST_COLUMNS = "name string, place string, priority string, song string, politics string"
-MOST_CHOICES = 200
 EMPTY_RECORD = {"title": "", "predicted": 0.0, "rating": 0.0, "image": "", "link": ""}
 
 
@@ -56,14 +55,6 @@ def load(spark: SparkSession, items: str, lines: str, multi_line: bool = False)
     )
 
 
-def read_choices(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """The values a preference may take. Each becomes a column of the plan, so there can be few only."""
-    found = tables.read_lookup(spark, path, "value").limit(MOST_CHOICES + 1).collect()
-    if len(found) > MOST_CHOICES:
-        raise ValueError(f"more than {MOST_CHOICES} choices in {path}")
-    return tuple(row.value for row in found)
-
-
 def training_table(items: DataFrame, lines: DataFrame, group_term: str) -> DataFrame:
     """The imputed feature table, written once for the many passes of training."""
     cleaned = features.clean_items(items, ITEMS)
@@ -98,19 +89,13 @@ def precompute(
     spark, items: str, lines: str, names: str, places: str, group_term: str, model: str, store: str,
     default: dict | None = None, multi_line: bool = False,
 ) -> None:
-    """Writes the record of every preference combination.
-
-    The lines are scanned twice: for the features and for the ranking scores.
-    """
+    """Writes the record of every preference combination, for lists of names and places of any length."""
     item_table, line_table = load(spark, items, lines, multi_line)
-    terms = Terms(
-        read_choices(spark, names), read_choices(spark, places),
-        defaults.SONG_TEXT_TERMS, defaults.SONG_NAME_TERMS, defaults.CIVIC_TOPIC_TERMS,
-    )
+    terms = Terms((), (), defaults.SONG_TEXT_TERMS, defaults.SONG_NAME_TERMS, defaults.CIVIC_TOPIC_TERMS)
     predictions = scored(item_table, line_table, group_term, model).select("id", "predicted")
-    records = recommend.recommend_all(
-        spark, item_table, line_table, terms, default or EMPTY_RECORD, predictions=predictions,
-        item_spec=ITEMS, line_spec=LINES,
+    records = choices.recommend_choices(
+        item_table, line_table, *[tables.read_lookup(spark, path, "value") for path in (names, places)],
+        terms, default or EMPTY_RECORD, predictions=predictions, item_spec=ITEMS, line_spec=LINES,
     )
     tables.write_store(records, store, partition_by="priority")
 

@@ -2,17 +2,16 @@
 
 Each round fits a tree to weighted rows; well predicted rows lose weight. The
 prediction is the weighted median of the trees. Trees see the weights themselves
-in place of a weighted bootstrap sample, which makes a round reproducible.
+in place of a weighted bootstrap sample, which makes a round reproducible. Equal rows
+are kept once, with the sum of their weights.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import (
     HasCheckpointInterval, HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, HasStepSize,
@@ -26,13 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tallyrank.ml.trees import TREES_AT_ONCE, in_parts, tree_expression, weighted_groups
 from tallyrank.session import cut_lineage
 
 LOSSES = ("linear", "square", "exponential")
-TREES_AT_ONCE = 100
-# Deeper trees are scored by their own model; as expressions they would grow too large.
-MOST_DEPTH = 6
-_BRANCH = re.compile(r"(If|Else) \(feature (\d+) (<=|>) ([^)]+)\)")
+# Larger trees are scored by their own model; as expressions they would grow too large.
+MOST_NODES = 127
 
 
 def loss_column(error: Column, largest: float, loss: str) -> Column:
@@ -88,6 +86,9 @@ class _BoostParams(
 class AdaBoostR2(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):
     """Weighted-median boosting of regression trees."""
 
+    #: a model holds those of fewer rounds, see ``upto``
+    staged = True
+
     @keyword_only
     def __init__(
         self, *, featuresCol="features", labelCol="label", predictionCol="prediction", maxIter=50,
@@ -103,11 +104,9 @@ class AdaBoostR2(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWr
             maxDepth=self.getOrDefault("maxDepth"), maxBins=self.getOrDefault("maxBins"),
             seed=self.getOrDefault("seed"),
         )
-        current = dataset.select(
-            F.col(self.getFeaturesCol()).alias("features"),
-            F.col(self.getLabelCol()).cast("double").alias("label"), F.lit(1.0).alias("weight"),
-        )
-        trees, weights, kept = [], [], None
+        current = weighted_groups(dataset, self.getFeaturesCol(), self.getLabelCol())
+        current = current.persist(StorageLevel.MEMORY_AND_DISK)
+        trees, weights, kept = [], [], current
         try:
             for turn in range(self.getOrDefault("maxIter")):
                 tree = tree_learner.fit(current)
@@ -118,8 +117,7 @@ class AdaBoostR2(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWr
                     scored = cut_lineage(scored)
                 before, kept = kept, scored.persist(StorageLevel.MEMORY_AND_DISK)
                 largest, total, rows, mean_loss = self._losses(scored, loss)
-                if before is not None:
-                    before.unpersist()
+                before.unpersist()
                 if mean_loss <= 0 or mean_loss >= 0.5:
                     if mean_loss <= 0 or not trees:
                         trees.append(tree)
@@ -133,8 +131,7 @@ class AdaBoostR2(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWr
                 weight = reweighted(F.col("weight"), lost, beta, rate) * (rows / total)
                 current = scored.select("features", "label", weight.alias("weight"))
         finally:
-            if kept is not None:
-                kept.unpersist()
+            kept.unpersist()
         return self._copyValues(AdaBoostR2Model(trees, weights))
 
     @staticmethod
@@ -153,21 +150,6 @@ class AdaBoostR2(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWr
         return largest, total, rows, scored.agg(F.sum(weight * loss_column(error, largest, loss))).first()[0] / total
 
 
-def tree_expression(described: str, features: str) -> str:
-    """A tree, as its description prints it, as one SQL expression over an array of features."""
-    lines = [line.strip() for line in described.splitlines()[1:] if line.strip()]
-
-    def node(at: int) -> tuple[str, int]:
-        if lines[at].startswith("Predict:"):
-            return f"{float(lines[at].split(':')[1])!r}D", at + 1
-        _, feature, _, bound = _BRANCH.match(lines[at]).groups()
-        yes, at = node(at + 1)
-        no, at = node(at + 1)
-        return f"if({features}[{feature}] <= {float(bound)!r}D, {yes}, {no})", at
-
-    return node(0)[0]
-
-
 class AdaBoostR2Model(Model, _BoostParams, MLReadable, MLWritable):
     """Trees and their weights; predicts the weighted median."""
 
@@ -175,27 +157,35 @@ class AdaBoostR2Model(Model, _BoostParams, MLReadable, MLWritable):
         super().__init__()
         self.trees, self.weights = list(trees), list(weights)
 
+    def upto(self, rounds: int) -> AdaBoostR2Model:
+        """The model that fewer rounds would have given."""
+        return self._copyValues(AdaBoostR2Model(self.trees[:rounds], self.weights[:rounds]))
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Scores some trees at a time, each as one expression, so that plans stay small."""
-        kept, parts = dataset.columns, []
-        shallow = all(tree.depth <= MOST_DEPTH for tree in self.trees)
-        scored = dataset.withColumn("_array", vector_to_array(self.getFeaturesCol())) if shallow else dataset
-        carried = [*kept, "_array"] if shallow else kept
+        """Scores small trees as expressions, some at a time; larger ones by their own models."""
+        def pairs(start: int, values: list[Column]) -> Column:
+            return weighted_pairs(values, self.weights[start:start + TREES_AT_ONCE])
+
+        if all(tree.numNodes <= MOST_NODES for tree in self.trees):
+            values = [F.expr(tree_expression(tree.toDebugString, "_array")) for tree in self.trees]
+            scored, parts = in_parts(dataset, self.getFeaturesCol(), values, pairs, "_pairs")
+        else:
+            scored, parts = self._by_models(dataset, pairs)
+        median = weighted_median(F.concat(*parts), math.fsum(self.weights))
+        return scored.withColumn(self.getPredictionCol(), median).drop(*parts)
+
+    def _by_models(self, dataset: DataFrame, pairs) -> tuple[DataFrame, list[str]]:
+        kept, parts, scored = dataset.columns, [], dataset
         for start in range(0, len(self.trees), TREES_AT_ONCE):
             trees = self.trees[start:start + TREES_AT_ONCE]
-            if shallow:
-                values = [F.expr(tree_expression(tree.toDebugString, "_array")) for tree in trees]
-            else:
-                values = [F.col(f"_tree{i}") for i in range(len(trees))]
-                for i, tree in enumerate(trees):
-                    scored = tree.copy({
-                        tree.featuresCol: self.getFeaturesCol(), tree.predictionCol: f"_tree{i}"
-                    }).transform(scored)
-            part = weighted_pairs(values, self.weights[start:start + TREES_AT_ONCE])
-            scored = scored.select(*carried, *parts, part.alias(f"_pairs{start}"))
+            for i, tree in enumerate(trees):
+                scored = tree.copy({
+                    tree.featuresCol: self.getFeaturesCol(), tree.predictionCol: f"_tree{i}"
+                }).transform(scored)
+            part = pairs(start, [F.col(f"_tree{i}") for i in range(len(trees))])
+            scored = scored.select(*kept, *parts, part.alias(f"_pairs{start}"))
             parts.append(f"_pairs{start}")
-        median = weighted_median(F.concat(*parts), math.fsum(self.weights))
-        return scored.withColumn(self.getPredictionCol(), median).drop(*parts, "_array")
+        return scored, parts
 
     def write(self) -> MLWriter:
         return _ModelWriter(self)

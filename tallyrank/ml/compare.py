@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.ml.adaboost import AdaBoostR2
 from tallyrank.ml.knn import knn_predict
+from tallyrank.ml.median import MedianBoosting
 from tallyrank.ml.split import rmse, with_split
 from tallyrank.ml.stack import assembler
 from tallyrank.plans.features import FEATURES
@@ -37,6 +38,12 @@ def boosting(label: str = "rating", rounds: int = 400, **params) -> AdaBoostR2:
     )
 
 
+def median_boosting(label: str = "rating", rounds: int = 400, **params) -> MedianBoosting:
+    return MedianBoosting(
+        featuresCol="features", labelCol=label, predictionCol="predicted", maxIter=rounds, **params
+    )
+
+
 def split_errors(predictions: DataFrame, name: str, label: str = "rating") -> DataFrame:
     """(model, split, rmse) rows from predictions that carry their split."""
     return predictions.groupBy("split").agg(rmse(label, "predicted").alias("rmse")).select(

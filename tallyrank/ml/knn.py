@@ -21,7 +21,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.operators.ordering import range_bounds, range_count, running_total
+from tallyrank.operators.ordering import Borders, borders, range_count, running_total
 from tallyrank.operators.rank import topk
 from tallyrank.session import write_through
 
@@ -58,7 +58,7 @@ def knn_predict(
         F.col(key).alias("_id"), at.alias("_at"),
         F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_probe"), *point,
     )
-    bounds = range_bounds(known, ["_at"], range_count(train, None))[0]
+    bounds = borders(known, "_at", range_count(train, None))
     placed = write_through(
         running_total(
             known.unionByName(asked), "_at", 1 - F.col("_probe"), "_rank",
@@ -107,7 +107,7 @@ def _with_slack(reach: Column, at: Column) -> Column:
 
 
 def _cells_within_reach(
-    rows: DataFrame, probes: DataFrame, reach: DataFrame, cell_rows: int, bounds: Sequence[float]
+    rows: DataFrame, probes: DataFrame, reach: DataFrame, cell_rows: int, bounds: Borders
 ) -> DataFrame:
     """Each probe with every cell not looked at yet that may hold rows within its reach."""
     within = probes.join(reach, "_id").withColumn("_reach", _with_slack(F.col("_reach"), F.col("_at")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.ml import search
 from tallyrank.ml.adaboost import AdaBoostR2
+from tallyrank.ml.median import MedianBoosting
 from tallyrank.ml.split import train_test_split, with_folds
 from tallyrank.plans.features import FEATURES
 
@@ -34,6 +35,12 @@ def second_stage(label: str = "rating", **params) -> GBTRegressor:
     )
 
 
+def median_stage(label: str = "rating", **params) -> MedianBoosting:
+    """A second stage whose leaves are exact medians; it can be searched in stages."""
+    settings = {"stepSize": 0.1, "maxIter": 500, "maxDepth": 3, "seed": 7}
+    return MedianBoosting(featuresCol="stacked", labelCol=label, predictionCol="predicted", **(settings | params))
+
+
 def stack_pipeline(first: AdaBoostR2, second: GBTRegressor, features: Sequence[str] = FEATURES) -> Pipeline:
     """Assemble, score with the first stage, assemble with that score, fit the second stage.
 
@@ -75,7 +82,8 @@ class StackResult:
 
 def train_stack(
     df: DataFrame, *, first_space=None, second_space=None, draws: int = 2, folds: int = 4,
-    max_rounds: int | None = 3, seed: int = 7, parallelism: int = 2, first_params=None, second_params=None, label: str = "rating",
+    max_rounds: int | None = 3, seed: int = 7, parallelism: int = 4, first_params=None, second_params=None,
+    label: str = "rating", store: search.Store | None = None,
 ) -> StackResult:
     """The whole training run on a table without missing values.
 
@@ -84,14 +92,8 @@ def train_stack(
     the first on the hold-out rows.
     """
     first, second = first_stage(label, **(first_params or {})), second_stage(label, **(second_params or {}))
-    first_space = first_space or {
-        first.loss: search.BOOST_LOSSES, first.stepSize: search.BOOST_RATES,
-        first.maxIter: search.Between(*search.BOOST_ROUNDS),
-    }
-    second_space = second_space or {
-        second.maxDepth: search.GRADIENT_DEPTHS, second.stepSize: search.GRADIENT_RATES,
-        second.maxIter: search.Between(*search.GRADIENT_ROUNDS),
-    }
+    first_space = first_space or search.boosting_space(first)
+    second_space = second_space or search.gradient_space(second)
     vectors, stacked = assembler(), assembler([*FEATURES, FIRST], "stacked")
     train, holdout = train_test_split(df)
     train, held = vectors.transform(train), vectors.transform(holdout)
@@ -99,23 +101,23 @@ def train_stack(
     try:
         errors["first", "train"] = search.cv_rmse(first, train, folds, label, parallelism)
         best_first = search.random_search(
-            first, train, first_space, draws, folds, seed, label=label, parallelism=parallelism
+            first, train, first_space, draws, folds, seed, label=label, parallelism=parallelism, store=store
         ).bestModel
         errors["first", "test"] = search.holdout_rmse(best_first, held, FIRST, label)
         train2 = stacked.transform(best_first.transform(train))
         held2 = stacked.transform(best_first.transform(held))
         cached += [train2.persist(), held2.persist()]
         errors["second", "train"] = search.cv_rmse(second, train2, folds + 1, label, parallelism)
-        best_second, found = search.retrain_until(
+        retrained = search.retrain_until(
             second, train2, held2, second_space, errors["first", "test"], max_rounds, draws, folds, seed, label,
-            parallelism,
+            parallelism, store,
         )
     finally:
         for table in cached:
             table.unpersist()
-    errors["second", "test"] = min(found)
-    model = PipelineModel(stages=[vectors, best_first, stacked, best_second])
-    return StackResult(model, holdout, errors, errors["second", "test"] <= errors["first", "test"])
+    errors["second", "test"] = min(retrained.errors)
+    model = PipelineModel(stages=[vectors, best_first, stacked, retrained.model])
+    return StackResult(model, holdout, errors, retrained.reached)
 
 
 def error_rows(spark: SparkSession, errors: dict[tuple[str, str], float]) -> DataFrame:

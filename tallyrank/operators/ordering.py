@@ -5,20 +5,24 @@ into ranges of about equal row counts first; each range is handled on its own,
 and a table with one row per range carries the totals (or the next value) across
 range borders. Unless given, there are four ranges to a shuffle partition, so
 that ranges falling together by hash leave no partition with much more than others.
+
+If one order value holds the rows of several ranges, ranges are cut over the order value and
+the columns that settle ties, and over the rows' hash where these are equal too.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrank.functions.scalars import known_in
-
-RANGE = "_range"
+from tallyrank.operators.selection import RANGE, Reached, at_rank, select_ranks, splits
+from tallyrank.session import write_through
 
 
 def range_count(df: DataFrame, ranges: int | None) -> int:
@@ -35,9 +39,47 @@ def range_bounds(df: DataFrame, columns: Sequence[str], ranges: int) -> list[lis
     return [sorted({b for b in borders if math.isfinite(b)}) for borders in found]
 
 
-def _splits(bounds: Sequence[float]) -> list[float]:
-    """Outer and inner borders; without inner ones any number serves as the one a split needs."""
-    return [float("-inf"), *(bounds or [0.0]), float("inf")]
+class Borders(NamedTuple):
+    """Inner borders of ranges, and whether one value holds the rows of more than two of these."""
+
+    inner: list[float]
+    crowded: bool
+
+
+def borders(df: DataFrame, order: str, ranges: int) -> Borders:
+    """Borders that split a numeric column into about equal parts, where its values allow."""
+    if ranges < 2:
+        return Borders([], False)
+    found = df.select(F.col(order).cast("double").alias(order)).approxQuantile(
+        order, [i / ranges for i in range(1, ranges)], 0.5 / ranges
+    )
+    crowded = any(a == b for a, b in zip(found, found[3:]))
+    return Borders(sorted({b for b in found if math.isfinite(b)}), crowded)
+
+
+def _last(order: str) -> Column:
+    return F.col(order).asc_nulls_last()
+
+
+def spread_ranges(df: DataFrame, order: str, tie: Sequence[str], ranges: int) -> DataFrame:
+    """Adds the range number, ranges being about equal even where most rows share one order value.
+
+    Written once, as the sums of the ranges and their rows must see the same ranges.
+    """
+    keys = [_last(order), *tie, F.xxhash64(*df.columns, F.lit("spread"))]
+    cut = df.repartitionByRange(ranges, *keys).withColumn(RANGE, F.spark_partition_id())
+    return write_through(cut, "spread")
+
+
+def in_order(
+    df: DataFrame, order: str, tie: Sequence[str], ranges: int | None, found: Borders | None = None
+) -> DataFrame:
+    """Adds a range number that grows with the order value and the ties."""
+    count = range_count(df, ranges)
+    found = found or borders(df, order, count)
+    if found.crowded:
+        return spread_ranges(df, order, tie, max(count, len(found.inner) + 1))
+    return with_ranges(df, order, found.inner)
 
 
 def with_ranges(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
@@ -45,7 +87,7 @@ def with_ranges(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame
     as there are others."""
     tagged = df.withColumn("_order", F.col(order).cast("double"))
     tagged = Bucketizer(
-        splits=_splits(bounds), inputCol="_order", outputCol=RANGE, handleInvalid="keep"
+        splits=splits(bounds), inputCol="_order", outputCol=RANGE, handleInvalid="keep"
     ).transform(tagged)
     last = len(bounds) + 2 + F.pmod(F.xxhash64(*[c for c in df.columns if c != order], F.lit(0)), F.lit(len(bounds) + 1)).cast("int")
     missing = F.col("_order").isNull() | F.isnan("_order")
@@ -58,7 +100,7 @@ def _carry(df: DataFrame, small: DataFrame, by: Sequence[str], bounded: bool) ->
 
 
 def _accumulate(
-    tagged: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str, bounded: bool
+    tagged: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: str, out: str, bounded: bool
 ) -> DataFrame:
     """Running sum ``out`` and group total ``_total`` over rows that carry their range."""
     inside = Window.partitionBy(*by, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -87,7 +129,7 @@ def running_total(
     by: Sequence[str] = (),
     tie: Sequence[str] = (),
     ranges: int | None = None,
-    bounds: Sequence[float] | None = None,
+    bounds: Borders | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in the order of a numeric column.
 
@@ -95,12 +137,10 @@ def running_total(
     order of equal values. Borders already known spare the look at the data.
     """
     by = list(by)
-    if bounds is None:
-        bounds = range_bounds(df, [order], range_count(df, ranges))[0]
-    tagged = with_ranges(df, order, bounds).withColumn(
+    tagged = in_order(df, order, tie, ranges, bounds).withColumn(
         "_value", F.col(value) if isinstance(value, str) else value
     )
-    placed = _accumulate(tagged, by, [order, *tie], "_value", out, bounded=not by)
+    placed = _accumulate(tagged, by, [_last(order), *tie], "_value", out, bounded=not by)
     return placed.drop("_value", "_total")
 
 
@@ -142,21 +182,26 @@ def backfill(
     order: str,
     *,
     by: Sequence[str] = (),
+    tie: Sequence[str] = (),
     ranges: int | None = None,
 ) -> DataFrame:
     """Replaces a missing value, NaN included, by the next non-missing one; trailing ones become NULL.
 
+    ``tie`` names the columns that settle the order of equal order values.
+
     Windows run in descending order: a frame that starts at the current row would
     be evaluated anew for every row, one that ends there grows by a row at a time.
     """
     by, names = list(by), df.columns
     df = df.withColumns({c: known_in(df, c) for c in columns})
-    bounds = range_bounds(df, [order], range_count(df, ranges))[0]
-    tagged = with_ranges(df, order, bounds)
-    inside = Window.partitionBy(*by, RANGE).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    tagged = in_order(df, order, tie, ranges)
+    place = [F.desc_nulls_first(order), *[F.desc(c) for c in tie]]
+    inside = Window.partitionBy(*by, RANGE).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*by).orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    # rows without an order value stand last
+    at = F.struct(F.col(order).isNull().alias("missing"), F.col(order).alias("at"), *tie)
     first = tagged.groupBy(*by, RANGE).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_first_{c}") for c in columns]
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_first_{c}") for c in columns]
     )
     following = first.select(
         *by, RANGE,
@@ -176,41 +221,35 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per column, one field per probability.
 
-    Equal values are counted together before anything is ordered, so repeated
-    values cost one row and the order is built over distinct values only. All
-    columns go through the same three shuffles.
+    All columns are cut into ranges of about equal counts; only rows of the ranges that hold a
+    wanted rank are put in order.
     """
     columns = list(columns)
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     bounds = range_bounds(wide, columns, range_count(df, ranges))
     tagged = Bucketizer(
-        splitsArray=[_splits(b) for b in bounds],
+        splitsArray=[splits(b) for b in bounds],
         inputCols=columns, outputCols=[f"{RANGE}_{c}" for c in columns], handleInvalid="keep",
     ).transform(wide)
-    values = F.inline(F.array(*[
+    values = tagged.select(F.inline(F.array(*[
         F.struct(
             F.lit(c).alias("metric"), F.col(c).alias("value"),
-            F.col(f"{RANGE}_{c}").cast("int").alias(RANGE),
+            F.col(f"{RANGE}_{c}").cast("int").alias(RANGE), F.lit(1).alias("n"),
         )
         for c in columns
-    ]))
-    counts = (
-        tagged.select(values).where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("metric", RANGE, "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    placed = _accumulate(counts, ["metric"], ["value"], "n", "_upto", bounded=True)
-    ends, picks = [], []
+    ]))).where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+    def rank(p: float, side: Callable[[Column], Column]) -> Reached:
+        return at_rank(lambda total: side(F.lit(float(p)) * (total - 1)))
+
+    ends = {f"{n}{i}": rank(p, f) for i, p in enumerate(probabilities) for n, f in (("lo", F.floor), ("hi", F.ceil))}
+    found = select_ranks(values, ["metric"], "value", "n", ends)
+    picks = []
     for i, p in enumerate(probabilities):
-        rank = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, edge in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            ends.append(F.min(F.when(F.col("_upto") > edge, F.col("value"))).alias(f"{side}{i}"))
-        weight = rank - F.floor(rank)
-        picks.append(
-            # equal ends need no interpolation, and infinite ones allow none
-            F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}"))
-            .otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * weight).alias(quantile_name(p))
-        )
-    return placed.groupBy("metric").agg(F.max("_total").alias("_total"), *ends).select("metric", *picks)
+        at, lo, hi = F.lit(float(p)) * (F.col("_total") - 1), F.col(f"lo{i}"), F.col(f"hi{i}")
+        # equal ends need no interpolation, and infinite ones allow none
+        picks.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))).alias(quantile_name(p)))
+    return found.select("metric", *picks)
 
 
 def quantile_name(p: float) -> str:

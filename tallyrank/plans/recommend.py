@@ -313,23 +313,27 @@ def options(
     """
     found = None
     for dimension, column, wanted in (("name", spec.name, names), ("place", spec.place, places)):
-        choices = wanted.select(F.col(value).alias("value"), F.lower(F.trim(value)).alias("_low")).distinct()
-        choices = choices.where("_low != ''").withColumn("_part", F.substring("_low", 1, PART))
-        sizes = [r[0] for r in choices.select(F.length("_part").alias("n")).distinct().collect()]
         text = lines.select(F.lower(column).alias("_text")).where("_text is not null").distinct()
-        starts = F.expr("sequence(1, length(_text))")
-
-        def of_size(n: int) -> Column:
-            return F.transform(starts, lambda i: F.col("_text").substr(i, F.lit(n)))
-
-        every = F.flatten(F.array(*map(of_size, sizes))) if sizes else F.array().cast("array<string>")
-        parts = F.array_distinct(every)
-        held = text.where("_text != ''").select("_text", F.explode(parts).alias("_part")).join(choices, "_part")
-        rows = held.where(F.contains("_text", "_low")).select(F.lit(dimension).alias("dimension"), "value").distinct()
+        rows = held_choices(text, wanted, value).select(F.lit(dimension).alias("dimension"), "value").distinct()
         found = rows if found is None else found.unionByName(rows)
     return found.unionByName(lines.sparkSession.range(1).select(F.inline(_fixed_options())))
 
 
+def held_choices(texts: DataFrame, wanted: DataFrame, value: str = "value") -> DataFrame:
+    """(_text, value): the choices each of the distinct lower-case texts holds; empty choices are held by none."""
+    choices = wanted.select(F.col(value).alias("value"), F.lower(F.trim(value)).alias("_low")).distinct()
+    choices = choices.where("_low != ''").withColumn("_part", F.substring("_low", 1, PART))
+    sizes = [r[0] for r in choices.select(F.length("_part").alias("n")).distinct().collect()]
+    starts = F.expr("sequence(1, length(_text))")
+
+    def of_size(n: int) -> Column:
+        return F.transform(starts, lambda i: F.col("_text").substr(i, F.lit(n)))
+
+    every = F.flatten(F.array(*map(of_size, sizes))) if sizes else F.array().cast("array<string>")
+    held = texts.where("_text != ''").select("_text", F.explode(F.array_distinct(every)).alias("_part"))
+    return held.join(choices, "_part").where(F.contains("_text", "_low")).select("_text", "value").distinct()
+
+
 def _fixed_options() -> Column:
     return F.array(*[
         _option(dimension, v)

@@ -72,6 +72,46 @@ def test_positions_with_nulls_last(spark):
     assert got == {1: 0, 3: 1, 5: 2, 9: 3, None: 4}
 
 
+@pytest.fixture
+def crowded(spark):
+    """A third of the rows on one order value, some without any."""
+    i = F.col("id")
+    return spark.range(6000).select(
+        F.when(i % 3 == 0, 50.0).when(i % 50 == 1, None).otherwise(i / 60).alias("at"), i.alias("tie"),
+        F.when(i % 4 == 0, i).alias("v"), F.lit("x").alias("text"),
+    ).repartition(5)
+
+
+def test_a_crowded_order_value_is_spread_over_ranges(spark, crowded):
+    found = ordering.borders(crowded, "at", 16)
+    assert found.crowded and not ordering.borders(crowded, "tie", 16).crowded
+    sizes = [r["count"] for r in ordering.in_order(crowded, "at", ["tie"], 16, found).groupBy(ordering.RANGE).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 3 * np.median(sizes)
+
+
+def test_running_total_over_a_crowded_order_value(spark, crowded):
+    got = ordering.running_total(crowded, "at", F.coalesce("v", F.lit(0)), "total", tie=["tie"], ranges=16).collect()
+    want, total = {}, 0
+    for r in sorted(crowded.collect(), key=lambda r: (r["at"] is None, r["at"] or 0, r["tie"])):
+        total += r["v"] or 0
+        want[r["tie"]] = total
+    assert {r["tie"]: r["total"] for r in got} == want
+
+
+def test_backfill_over_a_crowded_order_value(spark, crowded):
+    got = {r["tie"]: r["v"] for r in ordering.backfill(crowded, ["v"], "at", tie=["tie"], ranges=16).collect()}
+    want, following = {}, None
+    for r in sorted(crowded.collect(), key=lambda r: (r["at"] is None, r["at"] or 0, r["tie"]), reverse=True):
+        following = following if r["v"] is None else r["v"]
+        want[r["tie"]] = following
+    assert got == want
+
+
+def test_positions_over_a_crowded_order_value(spark, crowded):
+    got = [r["position"] for r in ordering.row_positions(crowded, "at", ranges=16).collect()]
+    assert sorted(got) == list(range(6000))
+
+
 def test_strided_sample_is_a_slice(spark):
     df = spark.range(1000).select((F.col("id") * 3).alias("id")).repartition(7)
     for start, stop, step in ((0, 276, 4), (276, 600, 4), (5, None, 13)):
