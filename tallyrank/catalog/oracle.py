@@ -9,6 +9,7 @@ from tallyrank.catalog.fixtures import (
     TURNS,
 )
 from tallyrank.ml.search import BOOST_LOSSES, BOOST_RATES
+from tallyrank.plans.charts import LABELS
 
 SQL: dict[str, str] = {}
 
@@ -622,4 +623,60 @@ SQL["stack_group_mean"] = _with(
     """select id, title, season, views, round(pure.rating, 6) as rating, round(predicted, 6) as predicted
 from pure join (select id, title from items) using (id)""", "items", "lines", **_PURE_VIEWS,
 )
+# --- a tree of three levels, split greedily by variance, and what its features gain ---
+
+_SPLIT_BY = ("number_in_season", "cycle_year", "title_len")
+
+
+def _grown_tree(depth: int) -> dict[str, str]:
+    """Views ``splits`` (node, feature, rows, gain): at each level the best split of every node."""
+    variance = "({q} / {n} - pow({s} / {n}, 2))"
+    views = {"cells0": f"select 1::bigint as node, {', '.join(_SPLIT_BY)}, count(*)::double as n, sum(rating) as s, "
+                       "sum(pow(rating, 2)) as q from tagged where split = 'train' group by all"}
+    for level in range(depth):
+        tried = " union all ".join(
+            f"""select node, '{f}' as feature, x, n as rows, l_n, {variance.format(q='q', n='n', s='s')}
+  - l_n / n * {variance.format(q='l_q', n='l_n', s='l_s')}
+  - (n - l_n) / n * {variance.format(q='(q - l_q)', n='(n - l_n)', s='(s - l_s)')} as gain from (
+  select node, {f} as x, sum(sum(n)) over upto as l_n, sum(sum(s)) over upto as l_s, sum(sum(q)) over upto as l_q,
+    sum(sum(n)) over whole as n, sum(sum(s)) over whole as s, sum(sum(q)) over whole as q
+  from cells{level} group by node, {f}
+  window upto as (partition by node order by {f}), whole as (partition by node)) where l_n < n""" for f in _SPLIT_BY
+        )
+        views[f"splits{level}"] = f"""select * from ({tried}) where gain > 0
+qualify row_number() over (partition by node order by gain desc) = 1"""
+        value = " ".join(f"when '{f}' then {f}" for f in _SPLIT_BY)
+        views[f"cells{level + 1}"] = f"""select node * 2 + (case feature {value} end > x)::bigint as node,
+  {', '.join(_SPLIT_BY)}, n, s, q from cells{level} join splits{level} using (node)"""
+    views["splits"] = " union all ".join(f"select node, feature, rows, gain from splits{i}" for i in range(depth))
+    return views
+
+
+SQL["tree_nodes"] = _with(
+    "select feature, rows::bigint as rows, round(gain, 9) as gain from splits", "items", "lines", **_MODEL_VIEWS, **_grown_tree(3)
+)
+_LABELLED = " union all ".join(f"select '{f}' as feature, '{LABELS[f]}' as label" for f in _SPLIT_BY)
+SQL["feature_shares"] = _with(
+    f"""select feature, label, round(coalesce(sum(gain * rows), 0) / (select sum(gain * rows) from splits), 6) as importance
+from ({_LABELLED}) left join splits using (feature) group by feature, label""",
+    "items", "lines", **_MODEL_VIEWS, **_grown_tree(3),
+)
 SQL["recommend_choices"] = SQL["recommend_all"]
+SQL["item_features_in_series"] = _with(
+    """select * exclude (image, link) replace (round(mean_words, 6) as mean_words,
+  round(group_share, 6) as group_share), id * 3 % 1009 as number_in_series from features""",
+    "items", "lines", **_FEATURE_VIEWS,
+)
+SQL["recommend_stacked"] = _with(
+    f"""select name, place, priority, song, politics, {_FILLED}, coalesce(round(predicted, 6), 0) as predicted
+from grid left join (
+  select b.name, b.place, b.priority, b.song, b.politics, i.id, i.title, i.rating, i.image, i.link, p.predicted
+  from best b join items i on i.id = b.id join pure p on p.id = b.id
+) using (name, place, priority, song, politics)""",
+    "items", "lines", **_cascade(1), **_PURE_VIEWS,
+)
+SQL["predicted_vs_actual_stacked"] = _with(
+    """select id, round(rating, 6) as rating, round(predicted, 6) as predicted, position
+from (select *, row_number() over (order by id) - 1 as position from pure) where position % 4 = 0""",
+    "items", "lines", **_PURE_VIEWS,
+)

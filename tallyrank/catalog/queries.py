@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.catalog import fixtures as fx
 from tallyrank.functions import scalars, text
-from tallyrank.ml import compare, knn, search, split, stack
+from tallyrank.ml import compare, knn, search, split, stack, trees
 from tallyrank.operators import aggregate, impute, ordering, profile, rank
 from tallyrank.plans import charts, choices, features, recommend
 from tallyrank.session import scratch_path, write_through
@@ -456,6 +457,15 @@ def item_features(spark, sf):
     return table.withColumns({c: F.round(c, 6) for c in ("mean_words", "group_share")})
 
 
+@query
+def item_features_in_series(spark, sf):
+    """The feature table of items that also carry their number in the whole series."""
+    items = fx.items(spark, sf).withColumn("number_in_series", F.col("id") * 3 % 1009)
+    cleaned = features.clean_items(items, ItemSpec(series="number_in_series"))
+    table = features.item_features(cleaned, fx.lines(spark, sf), fx.GROUP_TERM).drop("image", "link")
+    return table.withColumns({c: F.round(c, 6) for c in ("mean_words", "group_share")})
+
+
 def _ratio(spark, sf, column, wanted):
     found = recommend.match_odds(fx.lines(spark, sf), LINE.key, column, wanted)
     items = fx.items(spark, sf).select("id")
@@ -646,6 +656,33 @@ def models_group_mean(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+SPLIT_BY = ("number_in_season", "cycle_year", "title_len")
+
+
+def _grown(spark, sf):
+    """The nodes of a tree of three levels."""
+    vectors = stack.assembler(SPLIT_BY).transform(split.with_split(_model_table(spark, sf)))
+    learner = DecisionTreeRegressor(featuresCol="features", labelCol="rating", maxDepth=3)
+    return trees.node_table(spark, learner.fit(vectors.where(F.col("split") == "train")))
+
+
+@query
+def tree_nodes(spark, sf):
+    """What every split of a tree gains on how many rows."""
+    names = F.array(*map(F.lit, SPLIT_BY))
+    return _grown(spark, sf).where("feature is not null").select(
+        names[F.col("feature")].alias("feature"), "rows", F.round("gain", 9).alias("gain")
+    )
+
+
+@query
+def feature_shares(spark, sf):
+    """Importances from the nodes of a tree, with their labels, the largest first."""
+    return charts.labelled_importances(trees.importances(_grown(spark, sf), SPLIT_BY)).withColumn(
+        "importance", F.round("importance", 6)
+    )
+
+
 def _few_valued(spark, sf):
     """Vectors of the features of few values, written once for the many fits over them."""
     return write_through(_pure_vectors(spark, sf).select("id", "split", "rating", "features"), "few-valued")
@@ -736,8 +773,7 @@ def cv_group_mean(spark, sf):
     return stack.error_rows(spark, errors).withColumn("rmse", F.round("rmse", 6))
 
 
-@query
-def stack_group_mean(spark, sf):
+def _stack_scores(spark, sf):
     """All items scored with a stack that was saved and loaded."""
     table, path = _model_table(spark, sf), scratch_path(spark, "stack")
     train, _ = split.train_test_split(table)
@@ -745,5 +781,31 @@ def stack_group_mean(spark, sf):
         stack.first_stage(maxIter=1, **PURE), stack.second_stage(maxIter=1, **PURE), FEW_VALUED
     )
     stack.save_model(pipeline.fit(train), path)
-    scored = stack.batch_score(stack.load_model(path), table, fx.items(spark, sf))
+    return stack.batch_score(stack.load_model(path), table, fx.items(spark, sf))
+
+
+@query
+def stack_group_mean(spark, sf):
+    """All items with the stack's prediction and what is displayed."""
+    scored = _stack_scores(spark, sf)
     return scored.select("id", "title", "season", "views", *[F.round(c, 6).alias(c) for c in ("rating", "predicted")])
+
+
+@query
+def recommend_stacked(spark, sf):
+    """The recommendation table with the stack's predicted rating next to the actual one."""
+    items = fx.items(spark, sf)
+    found = recommend.winners(items, _scores(spark, sf), fx.TERMS)
+    records = recommend.enrich(found, items, _stack_scores(spark, sf))
+    grid = recommend.preference_grid(spark.range(1), fx.TERMS.names, fx.TERMS.places).drop("id")
+    table = recommend.with_default(grid, records, recommend.KEYS, {**fx.DEFAULT, "predicted": 0.0})
+    return table.withColumn("predicted", F.round("predicted", 6))
+
+
+@query
+def predicted_vs_actual_stacked(spark, sf):
+    """Every fourth item by id, with the stack's prediction and the actual rating."""
+    series = charts.predicted_vs_actual(_stack_scores(spark, sf))
+    return ordering.strided_sample(series, "id", 0, None, 4).withColumns(
+        {c: F.round(c, 6) for c in ("rating", "predicted")}
+    )

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Sequence
+
+from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyrank.session import scratch_path
+
 TREES_AT_ONCE = 100
 _BRANCH = re.compile(r"(If|Else) \(feature (\d+) (<=|>) ([^)]+)\)")
 
@@ -55,3 +60,43 @@ def in_parts(dataset: DataFrame, features: str, values: list[Column], combine, o
         scored = scored.select(*kept, "_array", *parts, part.alias(f"{out}{start}"))
         parts.append(f"{out}{start}")
     return scored.drop("_array"), parts
+
+
+def node_table(spark: SparkSession, model: Model) -> DataFrame:
+    """(tree, node, feature, gain, rows, predicted, left, right) of a tree or of many.
+
+    Read from the files of the saved model, so the nodes of large forests never pass through the
+    driver. A leaf has no feature. ``rows`` counts the training rows that reach a node.
+    """
+    path = scratch_path(spark, "nodes")
+    model.write().overwrite().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    many = "nodeData" in data.columns
+    node = "nodeData." if many else ""
+
+    def of(name: str) -> Column:
+        return F.col(f"{node}{name}")
+
+    leaf = of("leftChild") < 0
+    return data.select(
+        (F.col("treeID") if many else F.lit(0)).cast("int").alias("tree"), of("id").alias("node"),
+        F.when(~leaf, of("split.featureIndex")).alias("feature"), F.when(~leaf, of("gain")).alias("gain"),
+        of("rawCount").alias("rows"), of("prediction").alias("predicted"),
+        F.when(~leaf, of("leftChild")).alias("left"), F.when(~leaf, of("rightChild")).alias("right"),
+    )
+
+
+def importances(nodes: DataFrame, names: Sequence[str], per_tree: bool = False) -> DataFrame:
+    """(feature, importance): each feature's share of what all splits gain, weighted by their rows.
+
+    ``per_tree`` makes the gains of each tree add up to one first, as a forest does.
+    """
+    gained = nodes.where("feature is not null").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("g"))
+    if per_tree:
+        gained = gained.withColumn("g", F.col("g") / F.sum("g").over(Window.partitionBy("tree")))
+    # one row per feature
+    total = gained.groupBy("feature").agg(F.sum("g").alias("g"))
+    labels = F.array(*[F.struct(F.lit(i).alias("feature"), F.lit(n).alias("name")) for i, n in enumerate(names)])
+    every = nodes.sparkSession.range(1).select(F.inline(labels))
+    share = F.coalesce(F.try_divide("g", F.sum("g").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))
+    return every.join(total, "feature", "left").select(F.col("name").alias("feature"), share.alias("importance"))

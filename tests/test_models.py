@@ -166,11 +166,124 @@ def test_retraining_is_bounded(table):
     vectors = stack.assembler().transform(table)
     learner = compare.gradient_boosting()
     space = {learner.maxDepth: [2, 3], learner.maxIter: search.Between(1, 3)}
-    model, errors = search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, draws=1, folds=2)
-    assert len(errors) == 2
-    assert search.holdout_rmse(model, vectors, "predicted") == pytest.approx(min(errors))
-    _, once = search.retrain_until(learner, vectors, vectors, space, 100.0, draws=1, folds=2)
-    assert len(once) == 1
+    found = search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, draws=1, folds=2)
+    assert len(found.errors) == 2 and not found.reached
+    assert search.holdout_rmse(found.model, vectors, "predicted") == pytest.approx(min(found.errors))
+    once = search.retrain_until(learner, vectors, vectors, space, 100.0, draws=1, folds=2)
+    assert len(once.errors) == 1 and once.reached
+
+
+class Counted(AdaBoostR2):
+    """Boosting that counts its fits, and breaks down after some."""
+
+    fits, most = [], 10_000
+
+    def _fit(self, dataset):
+        if len(self.fits) >= self.most:
+            raise RuntimeError("broken off")
+        self.fits.append(self.getOrDefault("maxIter"))
+        return super()._fit(dataset)
+
+
+def counted(**params):
+    Counted.fits, Counted.most = [], 10_000
+    return Counted(featuresCol="features", labelCol="rating", predictionCol="predicted", **params)
+
+
+def test_draws_that_differ_in_rounds_share_a_fit(table):
+    vectors = stack.assembler().transform(table).cache()
+    learner = counted()
+    settings = [{learner.maxIter: n, learner.stepSize: rate} for n, rate in ((2, 0.5), (4, 0.5), (3, 0.3), (1, 0.5))]
+    scores = search.fold_scores(learner, vectors, settings, 2, "r2")
+    assert sorted(Counted.fits) == [3, 3, 4, 4]
+    folds = split.with_folds(vectors, 2)
+    for chosen, row in zip(settings, scores):
+        for fold in range(2):
+            alone = search.fold_scores(learner, vectors, [chosen], 2, "r2")[0]
+            assert row[fold] == pytest.approx(alone[fold])
+    assert folds.count() == 400
+
+
+def test_search_resumes_where_it_was_broken_off(spark, table, tmp_path):
+    vectors = stack.assembler().transform(table).cache()
+    learner = counted()
+    space = {learner.loss: ["linear", "square"], learner.stepSize: [0.3, 0.5], learner.maxIter: search.Between(1, 4)}
+    options = {"draws": 2, "folds": 2, "parallelism": 1, "store": search.Store(spark, str(tmp_path / "s"))}
+    whole = search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, draws=2, folds=2, parallelism=1)
+    needed = len(Counted.fits)
+    Counted.fits, Counted.most = [], 3
+    with pytest.raises(RuntimeError):
+        search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, **options)
+    Counted.most = 10_000
+    again = search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, **options)
+    assert len(Counted.fits) == needed and again.errors == pytest.approx(whole.errors)
+    assert [s.settings for s in again.searches] == [s.settings for s in whole.searches]
+    # nothing is fitted anew, unless the rows change
+    search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, **options)
+    assert len(Counted.fits) == needed
+    search.retrain_until(learner, vectors.where("id > 5"), vectors, space, 0.0, max_rounds=1, **options)
+    assert len(Counted.fits) > needed
+
+
+def test_best_draw():
+    nan = float("nan")
+    assert search.best_draw([[0.1, 0.3], [0.2, 0.3], [0.3, 0.2]], True) == 1
+    assert search.best_draw([[0.1, 0.3], [nan, 0.0]], False) == 0 and search.best_draw([[nan], [0.1]], True) == 1
+
+
+# --- the absolute error ---
+
+
+def test_median_rounds_by_hand(spark):
+    """One feature of two values, rate one half.
+
+    Start: median of 0, 1, 2, 10, 12, 20 = 6. Residuals left -6, -5, -4: median -5; right 4, 6, 14: median 6.
+    Round 2: left -3.5, -2.5, -1.5: median -2.5; right 1, 3, 11: median 3. Sum left 6 - 2.5 - 1.25, right 6 + 3 + 1.5.
+    """
+    rows = [(0.0, y) for y in (0.0, 1.0, 2.0)] + [(1.0, y) for y in (10.0, 12.0, 20.0)]
+    vectors = stack.assembler(["x"]).transform(spark.createDataFrame(rows, "x double, rating double"))
+    model = compare.median_boosting(rounds=2, stepSize=0.5, maxDepth=1).fit(vectors)
+    assert model.start == 6.0
+    got = {r["x"]: r["predicted"] for r in model.transform(vectors).collect()}
+    assert got == {0.0: pytest.approx(2.25), 1.0: pytest.approx(10.5)}
+    first = {r["x"]: r["predicted"] for r in model.upto(1).transform(vectors).collect()}
+    assert first == {0.0: pytest.approx(3.5), 1.0: pytest.approx(9.0)}
+
+
+def test_lower_median_of_an_even_leaf(spark):
+    rows = [(0.0, 1.0)] * 3 + [(0.0, 5.0)] * 3
+    vectors = stack.assembler(["x"]).transform(spark.createDataFrame(rows, "x double, rating double"))
+    model = compare.median_boosting(rounds=1, stepSize=1.0).fit(vectors)
+    assert model.start == 3.0 and model.transform(vectors).first()["predicted"] == 1.0
+
+
+def test_median_boosting_lowers_the_absolute_error_and_survives_saving(spark, table, tmp_path):
+    vectors = stack.assembler().transform(table)
+    model = compare.median_boosting(rounds=6, stepSize=0.5, checkpointInterval=2).fit(vectors)
+
+    def error(m):
+        return m.transform(vectors).agg(F.avg(F.abs(F.col("rating") - F.col("predicted")))).first()[0]
+
+    errors = [error(model.upto(n)) for n in (1, 3, 6)]
+    assert errors[0] > errors[1] > errors[2]
+    assert sum(model.featureImportances) == pytest.approx(1.0)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    back = search.Store(spark, str(tmp_path)).load("../m")
+    a, b = (m.transform(vectors).orderBy("id").select("predicted").collect() for m in (model, back))
+    assert a == b
+
+
+def test_median_stage_in_a_stack(table):
+    model = stack.stack_pipeline(stack.first_stage(maxIter=2), stack.median_stage(maxIter=3, stepSize=0.5)).fit(table)
+    assert search.holdout_rmse(model, table, "predicted") < spread(table)
+
+
+def test_boosting_does_not_see_how_often_rows_come(table):
+    """Rows doubled: the same groups with twice the weight, so the same model."""
+    vectors = stack.assembler().transform(table)
+    once, twice = (compare.boosting(rounds=3).fit(v) for v in (vectors, vectors.unionByName(vectors)))
+    assert once.weights == pytest.approx(twice.weights)
+    assert [t.toDebugString.partition("\n")[2] for t in once.trees] == [t.toDebugString.partition("\n")[2] for t in twice.trees]
 
 
 def test_comparison_has_all_models(table, fitted):
