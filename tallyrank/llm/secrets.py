@@ -58,9 +58,8 @@ def running(values: Column, step: Callable[[Column, Column], Column], zero: Colu
     """
     def grown(part: Column, start: Column) -> Column:
         def add(so_far: Column, value: Column) -> Column:
-            return bound(step(so_far["last"], value), lambda now: F.struct(
-                now.alias("last"), F.concat(so_far["out"], F.array(now)).alias("out")
-            ))
+            now = step(so_far["last"], value)
+            return F.struct(now.alias("last"), F.concat(so_far["out"], F.array(now)).alias("out"))
 
         begin = F.struct(start.alias("last"), F.slice(F.array(start), 1, 0).alias("out"))
         return F.aggregate(part, begin, add, lambda end: end["out"])
@@ -290,18 +289,19 @@ def _not_inside(runs: Column, base: Column) -> Column:
 _PIECE = "(?s).{1,512}"
 
 
-def mask(text: Column, spans: Column, sign: str = "<secret>") -> Column:
-    """The text with ``sign`` in place of every span; overlapping spans are masked as one.
+def masked(df: DataFrame, text: str, spans: Column, sign: str = "<secret>") -> DataFrame:
+    """The table with ``sign`` in place of every span of a text; overlapping spans are masked as one.
 
     Pieces of the text and the borders of spans are put in order together. Between two of these
     marks lies a part of one piece, which goes if a span before it reaches further.
     """
-    sizes = F.struct(F.lit(0).alias("end"), F.lit(0).alias("piece"), F.lit(0).alias("start"))
+    held, pieces, ends, before, marks, states = map(fresh, ("held", "pieces", "ends", "before", "marks", "states"))
 
-    def mark(at, rank: int, end, piece, fresh_span) -> Column:
+    def mark(at: Column, rank: int, end: Column, piece: int, fresh_span: Column) -> Column:
         # ends of spans come first, then starts, then pieces
         return F.struct(
-            at.alias("at"), F.lit(rank).alias("rank"), end.alias("end"), piece.alias("piece"), fresh_span.alias("fresh"),
+            at.alias("at"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(piece).alias("piece"),
+            fresh_span.alias("fresh"),
         )
 
     def reach(a: Column, b: Column) -> Column:
@@ -310,34 +310,30 @@ def mask(text: Column, spans: Column, sign: str = "<secret>") -> Column:
             F.greatest(a["start"], b["start"]).alias("start"),
         )
 
-    def masked(pieces: Column, ends: Column, all_spans: Column, length: Column) -> Column:
-        reached = _largest(F.transform(all_spans, lambda s: s["end"]), 0)
-        before = F.slice(F.concat(F.array(F.lit(0)), reached), 1, F.size(all_spans))
-        starts = F.zip_with(all_spans, before, lambda s, end: mark(s["start"], 1, s["end"], F.lit(0), s["start"] >= end))
-        stops = F.transform(all_spans, lambda s: mark(s["end"], 0, F.lit(0), F.lit(0), F.lit(False)))
-        cuts = F.zip_with(pieces, ends, lambda p, end: mark(end - F.length(p), 2, F.lit(0), F.lit(1), F.lit(False)))
-        marks = F.array_sort(F.concat(starts, stops, cuts))
-
-        def joined(all_marks: Column) -> Column:
-            values = F.transform(all_marks, lambda m: F.struct(
-                m["end"].alias("end"), m["piece"].alias("piece"), (m["at"] * m["piece"]).alias("start")
-            ))
-            nexts = F.concat(F.slice(F.transform(all_marks, lambda m: m["at"]), 2, F.size(all_marks)), F.array(length))
-            states = F.arrays_zip(running(values, reach, sizes).alias("state"), nexts.alias("next"))
-
-            def part(m: Column, s: Column) -> Column:
-                inside = F.element_at(pieces, s["state"]["piece"]).substr(
-                    m["at"] - s["state"]["start"] + 1, s["next"] - m["at"]
-                )
-                shown = (s["state"]["end"] <= m["at"]) & (s["next"] > m["at"])
-                return F.concat(F.when(m["fresh"], F.lit(sign)).otherwise(""), F.when(shown, inside).otherwise(""))
-
-            return F.array_join(F.zip_with(all_marks, states, part), "")
-
-        return bound(marks, joined)
-
-    def with_pieces(pieces: Column) -> Column:
-        return bound(_sums(F.transform(pieces, F.length)), lambda ends: masked(pieces, ends, spans, F.length(text)))
-
-    whole = bound(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), with_pieces)
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    def part(m: Column, s: Column) -> Column:
+        inside = F.element_at(F.col(pieces), s["state"]["piece"]).substr(
+            m["at"] - s["state"]["start"] + 1, s["next"] - m["at"]
+        )
+        shown = (s["state"]["end"] <= m["at"]) & (s["next"] > m["at"])
+        return F.concat(F.when(m["fresh"], F.lit(sign)).otherwise(""), F.when(shown, inside).otherwise(""))
+
+    nothing, no = F.lit(0), F.lit(False)
+    rows = df.withColumn(held, spans)
+    # texts without spans are not cut up
+    rows = rows.withColumn(pieces, F.when(F.size(held) > 0, F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))))
+    rows = rows.withColumn(ends, _sums(F.transform(pieces, F.length)))
+    reached = _largest(F.transform(held, lambda s: s["end"]), 0)
+    rows = rows.withColumn(before, F.slice(F.concat(F.array(nothing), reached), 1, F.size(held)))
+    rows = rows.withColumn(marks, F.array_sort(F.concat(
+        F.zip_with(held, before, lambda s, end: mark(s["start"], 1, s["end"], 0, s["start"] >= end)),
+        F.transform(held, lambda s: mark(s["end"], 0, nothing, 0, no)),
+        F.zip_with(pieces, ends, lambda p, end: mark(end - F.length(p), 2, nothing, 1, no)),
+    )))
+    values = F.transform(marks, lambda m: F.struct(
+        m["end"].alias("end"), m["piece"].alias("piece"), (m["at"] * m["piece"]).alias("start")
+    ))
+    start = F.struct(nothing.alias("end"), nothing.alias("piece"), nothing.alias("start"))
+    nexts = F.concat(F.slice(F.transform(marks, lambda m: m["at"]), 2, F.size(marks)), F.array(F.length(text)))
+    rows = rows.withColumn(states, F.arrays_zip(running(values, reach, start).alias("state"), nexts.alias("next")))
+    whole = F.array_join(F.zip_with(marks, states, part), "")
+    return rows.withColumn(text, F.when(F.size(held) > 0, whole).otherwise(F.col(text))).select(*df.columns)
