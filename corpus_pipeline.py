@@ -11,7 +11,7 @@ from tallyrank.llm import langid, packing, secrets, simhash, toxicity
 from tallyrank.llm.queries import vocabulary
 from tallyrank.session import scratch_path
 
-#: SQL cannot express the stages; a test runs them against brute force.
+#: SQL cannot express the stages; tests hold near copies against all pairs, and toxic and masked rows against planted ones.
 ORACLE_SQL = None
 #: Smallest likeness to a language's profile that a document must reach.
 LEAST_LANGUAGE = 0.2
@@ -38,7 +38,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret; ``n_chars`` is that of the masked text."""
     found = secrets.scan(docs, secrets.fit(docs), out="_secrets")
-    masked = found.withColumn("text", secrets.mask(F.col("text"), F.col("_secrets.all")))
+    masked = secrets.masked(found, "text", F.col("_secrets.all"))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked.select(*docs.columns)
