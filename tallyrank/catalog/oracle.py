@@ -680,3 +680,7 @@ SQL["predicted_vs_actual_stacked"] = _with(
 from (select *, row_number() over (order by id) - 1 as position from pure) where position % 4 = 0""",
     "items", "lines", **_PURE_VIEWS,
 )
+SQL["forest_chain"] = _with(
+    """select id, round(log2(avg(pow(2.0, -(id % 60)) * (1 + id % 7 / 100)) over (partition by id % 60)), 6) as log_predicted
+from items""", "items",
+)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyrank.catalog import fixtures as fx
 from tallyrank.functions import scalars, text
-from tallyrank.ml import compare, knn, search, split, stack, trees
+from tallyrank.ml import compare, forest, knn, search, split, stack, trees
 from tallyrank.operators import aggregate, impute, ordering, profile, rank
 from tallyrank.plans import charts, choices, features, recommend
 from tallyrank.session import scratch_path, write_through
@@ -656,6 +656,27 @@ def models_group_mean(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def forest_regress(spark, sf):
+    """A forest of 400 trees without a limit of depth."""
+    table = split.with_split(_model_table(spark, sf))
+    grown = forest.fit(table.where(F.col("split") == "train"), features.FEATURES, "rating")
+    return table.select("id", "split", "rating").join(grown.predict(table), "id")
+
+
+@query
+def forest_chain(spark, sf):
+    """A tree far deeper than thirty levels, grown to purity: it predicts the mean of rows with equal features.
+
+    Labels halve from one feature value to the next, so every split parts the largest from the rest.
+    """
+    items = fx.items(spark, sf).select("id", (F.col("id") % 60).alias("step"))
+    label = F.pow(F.lit(2.0), -F.col("step")) * (1 + F.col("id") % 7 / 100)
+    table = write_through(items.withColumn("label", label), "chain")
+    grown = forest.fit(table, ["step"], "label", trees=1, bootstrap=False, few=400)
+    return grown.predict(table).select("id", F.round(F.log2("predicted"), 6).alias("log_predicted"))
+
+
 SPLIT_BY = ("number_in_season", "cycle_year", "title_len")
 
 

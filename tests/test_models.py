@@ -209,7 +209,8 @@ def test_search_resumes_where_it_was_broken_off(spark, table, tmp_path):
     learner = counted()
     space = {learner.loss: ["linear", "square"], learner.stepSize: [0.3, 0.5], learner.maxIter: search.Between(1, 4)}
     options = {"draws": 2, "folds": 2, "parallelism": 1, "store": search.Store(spark, str(tmp_path / "s"))}
-    whole = search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, draws=2, folds=2, parallelism=1)
+    other = {**options, "store": search.Store(spark, str(tmp_path / "whole"))}
+    whole = search.retrain_until(learner, vectors, vectors, space, 0.0, max_rounds=2, **other)
     needed = len(Counted.fits)
     Counted.fits, Counted.most = [], 3
     with pytest.raises(RuntimeError):
