@@ -673,7 +673,7 @@ def forest_chain(spark, sf):
     items = fx.items(spark, sf).select("id", (F.col("id") % 60).alias("step"))
     label = F.pow(F.lit(2.0), -F.col("step")) * (1 + F.col("id") % 7 / 100)
     table = write_through(items.withColumn("label", label), "chain")
-    grown = forest.fit(table, ["step"], "label", trees=1, bootstrap=False, few=400)
+    grown = forest.fit(table, ["step"], "label", trees=1, bootstrap=False, few=12_000)
     return grown.predict(table).select("id", F.round(F.log2("predicted"), 6).alias("log_predicted"))
 
 
