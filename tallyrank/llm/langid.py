@@ -130,8 +130,8 @@ def fit(
 ) -> Profiles:
     """Profiles of ``size`` n-grams from rows with a language.
 
-    About ``sample`` rows of each language are drawn by a hash of ``key``; that bounds the
-    work, not the languages, of which there must be few enough for a driver to hold
+    About ``sample`` rows of each language are drawn by a hash of ``key`` and text; that bounds
+    the work, not the languages, of which there must be few enough for a driver to hold
     (``size`` numbers each). Counts are summed inside each task before they are shuffled.
     """
     rows = labelled.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null")
@@ -141,7 +141,7 @@ def fit(
     total = F.lit(1)
     for name, n in totals.items():
         total = F.when(F.col("l") == name, F.lit(n)).otherwise(total)
-    chosen = rows.where("t is not null").where(drawn(share_of(total, sample), "k")).select("l", "t")
+    chosen = rows.where("t is not null").where(drawn(share_of(total, sample), "k", "t")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}

@@ -360,7 +360,7 @@ def _common(df: DataFrame, text: str, words: int) -> np.ndarray:
 def profile_of(text: str | None, words: int, similarity: float, common: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     """Size of a text's shingle set, the leading shingles of it and its counts in ``CELLS`` cells.
 
-    Sets are ordered by hash, ``common`` shingles last. Two sets that are ``similarity`` alike
+    Sets are ordered by hash, ``common`` shingles (in order) last. Two sets that are ``similarity`` alike
     share one of the shingles that lead both, as too few would be left to share otherwise.
     """
     own = np.unique(hashes_of(text, words)).view(np.int64)
@@ -368,7 +368,10 @@ def profile_of(text: str | None, words: int, similarity: float, common: np.ndarr
     cells = np.minimum(np.bincount(own & (CELLS - 1), minlength=CELLS), FULL).astype(np.uint8).tobytes()
     if not n:
         return 0, np.zeros(1, dtype=np.int64), cells
-    own = own[np.argsort(np.isin(own, common), kind="stable")]
+    late = np.zeros(n, dtype=bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+    own = own[np.argsort(late, kind="stable")]
     return n, own[:n - math.ceil(similarity * n - ROUNDING) + 1], cells
 
 

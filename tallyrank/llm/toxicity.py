@@ -3,7 +3,9 @@
 Lexicon. Words and stems (first letters, whatever follows) that labelled toxic texts hold
 far more often than clean ones, each text counted once. Of these, the one that most toxic texts hold is taken, then the one that most texts with fewer than
 ``COVER`` terms so far hold, and so on, as long as these are ``support`` of the toxic texts
-drawn: words that only occur next to better ones in a few copies are left out.
+drawn: words that only occur next to better ones in a few copies are left out. So there are at
+most ``COVER`` / ``support`` terms, of at most a text's mean words and stems / ``support``
+looked at; neither number is cut. Words of more than ``LONGEST`` letters are known by their stems.
 
 Matching. The terms form a trie. Its product with the Levenshtein automata of its terms (one
 edit for words of ``FUZZY_FROM`` letters and stems of ``FUZZY_STEM`` letters and more) is made deterministic once and run over
@@ -18,8 +20,9 @@ with such a match, smoothed by that of all terms at the same distance and contex
 by a fixed prior. A text's score is the largest of its matches, or the share among labelled
 texts without a match. Labelled texts are weighted so that shares are those of all labels.
 
-Scale. ``fit`` looks at about ``sample`` labelled rows of either class, drawn by hash; these
-ids are the only broadcast. Words are counted inside tasks before they are shuffled. Scoring
+Scale. ``fit`` looks at the rows of about ``sample`` labelled ids of either class, drawn by
+hash; these ids are the only broadcast. If the rows of these ids hold more texts than that, as
+where ids repeat, the texts are drawn by hash as well. Words are counted inside tasks before they are shuffled. Scoring
 is one pass without a shuffle.
 
 Defined cases. A text that is null or empty has no match and the score of such texts. A row
@@ -40,10 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrank.llm.common import arrays, code_points, drawn, fresh, letters, share_of, texts
+from tallyrank.session import write_through
 
-LEXICON = 128
-#: Terms looked at for the lexicon.
-CANDIDATES = 2048
 FUZZY_FROM, FUZZY_STEM = 4, 6
 SHORTEST, LONGEST = 3, 24
 #: Lengths of stems.
@@ -286,7 +287,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counts()
 
 
-def _covering(bad: DataFrame, candidates: dict[str, float], most: int, least: float) -> tuple[str, ...]:
+def _covering(bad: DataFrame, candidates: dict[str, float], least: float) -> tuple[str, ...]:
     """Candidates that cover the toxic texts, the one with most texts not yet fully covered first.
 
     Clean texts that hold a term (the number given) count against it; of equal ones whole
@@ -306,7 +307,7 @@ def _covering(bad: DataFrame, candidates: dict[str, float], most: int, least: fl
             texts_of[word].add(i)
     chosen: list[str] = []
     times: dict[int, int] = {}
-    while texts_of and len(chosen) < most:
+    while texts_of:
         word = max(texts_of, key=lambda w: (len(texts_of[w]) - candidates[w], w.endswith(WHOLE), len(w), w))
         covered = texts_of.pop(word)
         if len(covered) < least:
@@ -325,7 +326,7 @@ def _covering(bad: DataFrame, candidates: dict[str, float], most: int, least: fl
 
 def fit(
     documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", *,
-    sample: int = 4_000, lexicon: int = LEXICON, lift: float = 40.0, support: float = 0.01,
+    sample: int = 4_000, lift: float = 40.0, support: float = 0.01,
 ) -> Toxicity:
     """Learns lexicon and shares from labelled rows.
 
@@ -344,25 +345,25 @@ def fit(
         documents.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null")
         .join(F.broadcast(chosen), "k").groupBy("text").agg(F.max("toxic").alias("toxic"))
     )
-    from tallyrank.session import write_through
-
     rows = write_through(rows, "toxicity-sample")
     base = total[1] / (total[0] + total[1])
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if max(size.values(), default=0) > 2 * sample:
+        share = F.when(F.col("toxic") == 1, share_of(size.get(1, 0), sample)).otherwise(share_of(size.get(0, 0), sample))
+        rows = write_through(rows.where(drawn(share, "text")), "toxicity-thinned")
+        size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     terms = (
         rows.mapInArrow(_word_counts, "word string, bad long, good long")
         .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .where(F.col("bad") >= max(3, support * bad))
         .where(F.col("bad") / max(bad, 1) >= lift * (F.col("good") + 0.5) / max(good, 1))
-        .orderBy(F.desc("bad"), "word").limit(CANDIDATES)
     )
     # a drawn text stands for as many labelled ones as its class has been thinned
     weight = {1: total[1] / max(bad, 1), 0: total[0] / max(good, 1)}
     against = weight[0] / weight[1]
     words = _covering(
-        rows.where("toxic = 1"), {r["word"]: r["good"] * against for r in terms.collect()}, lexicon,
-        max(3, support * bad),
+        rows.where("toxic = 1"), {r["word"]: r["good"] * against for r in terms.collect()}, max(3, support * bad),
     )
     if not words:
         return Toxicity(None, {}, {}, base)

@@ -1,5 +1,6 @@
 """The stages of the pipeline on the smallest tables."""
 
+import itertools
 import re
 
 import pytest
@@ -39,6 +40,17 @@ def test_toxic_documents_go(steps, spark, sf_dir):
     assert clean.join(after, "doc_id", "left_anti").count() <= 0.05 * clean.count()
 
 
+def test_most_toxic_documents_go(spark):
+    """With as many labels as a lexicon needs; the smallest tables have eleven toxic ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = pipeline.without_toxic(spark, docs, sf).select("doc_id").withColumn("kept", F.lit(1))
+    stays = F.avg(F.coalesce("kept", F.lit(0))).alias("s")
+    rows = docs.join(labels, "doc_id").join(kept, "doc_id", "left").groupBy("toxic").agg(stays).collect()
+    rate = {r["toxic"]: r["s"] for r in rows}
+    assert rate[1] <= 0.15 and rate[0] >= 0.97
+
+
 def test_copies_go_and_all_else_stays(steps):
     before, after = steps["simhash"]
     rows = before.select("doc_id", "text").collect()
@@ -59,6 +71,30 @@ def test_copies_go_and_all_else_stays(steps):
         assert best >= 0.8
 
 
+def test_one_of_each_group_of_near_copies_stays(steps):
+    """The smallest id of each group that pairs of 0.8 join, counted over all pairs."""
+    before, after = steps["simhash"]
+    sets = {}
+    for r in before.select("doc_id", "text").collect():
+        words = (r["text"] or "").lower().split()
+        sets[r["doc_id"]] = {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        small, large = sorted((len(sets[i]), len(sets[j])))
+        if small >= 0.8 * large:
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (small + large - shared) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert {r["doc_id"] for r in after.select("doc_id").collect()} == {root(i) for i in sets}
+
+
 def test_secrets_are_masked(steps):
     before, after = steps["secrets"]
     assert after.count() == before.count()

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,6 +79,14 @@ def test_language_without_labels_or_rows(spark, awkward, none):
     assert none.select(langid.fit(labelled(spark)).predict(F.col("text"))).count() == 0
 
 
+def test_language_of_rows_that_share_an_id(spark):
+    """Which rows are drawn does not hang on the id alone."""
+    rows = [(7, f"{EN} number {i}", "en") for i in range(400)] + [(7, f"{i} le chat et la souris dans le jardin", "fr") for i in range(400)]
+    profiles = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert profiles.languages and profiles.judge(EN)[0] == "en"
+    assert profiles.judge("le chat dans le jardin")[0] == "fr"
+
+
 def test_held_out_languages(spark, sf_dir):
     got = queries.REGISTRY["op1_language_id"](spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
@@ -141,6 +150,29 @@ def test_toxicity_learns_and_finds_misspelled_terms(spark, awkward, none):
     assert toxicity.clean(none, model).count() == 0
 
 
+def test_toxicity_of_ids_with_many_rows(spark):
+    """An id holds any number of texts; no more of them than the sample allows are looked at."""
+    rows = [(i % 2, f"part {i} of {EN} what a {'grumpf' if i % 2 else 'day'} it is") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, sample=100)
+    new = spark.createDataFrame([("such a grumpf",), ("such a day",)], "text string")
+    scores = [r[0] for r in new.select(model.score(F.col("text"))).collect()]
+    assert scores[0] > 0.5 > scores[1]
+
+
+def test_lexicon_is_not_cut(spark):
+    """More terms than any fixed number would hold, each in as many toxic texts as it must be."""
+    names = [f"{a}{b}{c}rgh" for a in "bdfgklmn" for b in "aeiou" for c in "zvxqj"]
+    rows = [(k, f"so {name} number {k}") for k, name in enumerate(n for n in names for _ in range(5))]
+    clean = [(len(rows) + i, f"so {EN} {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(rows))) for i in range(len(rows) + len(clean))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, support=0.004, lift=5.0)
+    got = spark.createDataFrame([(n,) for n in names], "text string").select(model.score(F.col("text")).alias("s"))
+    assert got.where("s < 0.5").count() == 0
+
+
 def test_toxicity_without_labels(spark, awkward):
     docs, labels = tox_tables(spark)
     for part, want in ((labels.where("false"), 0.0), (labels.where("toxic = 1"), 1.0), (labels.where("toxic = 0"), 0.0)):
@@ -214,6 +246,61 @@ def test_url_score_is_the_models_log_ratio(spark):
     assert np.isclose(got, want)
 
 
+def url_table():
+    rng = random.Random(3)
+    words = ["casino", "bets", "poker"]
+    good = [f"http://{''.join(rng.choice('aeinorst') for _ in range(7))}.example.com/en/{i}" for i in range(120)]
+    bad = [f"http://{rng.choice(words)}-{rng.choice(['win', 'top', 'gold'])}.example.com/en/{i}.html" for i in range(90)]
+    return good, bad
+
+
+def test_url_models_equal_brute_force(spark):
+    """Counts, smoothing, score and threshold are recomputed from the URLs by plain recursion."""
+    good, bad = url_table()
+    order, least, strength = 3, 2, 1.5
+    pages = spark.createDataFrame([(u,) for u in good + bad], "url string")
+    model = urlfilter.fit(pages, order=order, least=least, strength=strength)
+    held = F.pmod(F.xxhash64(F.lit("held"), "host", "path"), F.lit(4)) == 0
+    split = pages.select(
+        urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path")
+    ).distinct().withColumn("held", held).collect()
+
+    def folded(r):
+        return "^" + re.sub("[^a-z0./_~%=+,^-]", "?", re.sub("[0-9]", "0", r["host"] + r["path"]))
+
+    def is_bad(r):
+        return bool(set(re.split("[.-]", r["host"])) & set(urlfilter.SEED_WORDS))
+
+    counts = {False: Counter(), True: Counter()}
+    for r in split:
+        if not r["held"]:
+            t = folded(r)
+            counts[is_bad(r)].update(t[i - n:i] for i in range(2, len(t) + 1) for n in range(1, min(i, order + 1) + 1))
+    followed = {side: Counter() for side in counts}
+    for side, seen in counts.items():
+        for gram, n in seen.items():
+            followed[side][len(gram), gram[:-1]] += n
+
+    def probability(gram, side):
+        shorter = probability(gram[1:], side) if len(gram) > 1 else 1 / urlfilter.SYMBOLS
+        if counts[True][gram] + counts[False][gram] < least:
+            return shorter
+        return (counts[side][gram] + strength * shorter) / (followed[side][len(gram), gram[:-1]] + strength)
+
+    def score(r):
+        t = folded(r)
+        grams = [t[max(0, i - order - 1):i] for i in range(2, len(t) + 1)]
+        return sum(math.log(probability(g, True) / probability(g, False)) for g in grams) / len(grams)
+
+    rows = spark.createDataFrame([(r["host"], r["path"]) for r in split], "host string, path string")
+    got = {(r["host"], r["path"]): r["s"] for r in model.score(rows, F.col("host"), F.col("path"), "s").collect()}
+    want = {(r["host"], r["path"]): score(r) for r in split}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    high = max(score(r) for r in split if r["held"] and not is_bad(r))
+    low = min(score(r) for r in split if r["held"] and is_bad(r))
+    assert np.isclose(model.threshold, (high + low) / 2 if low > high else high)
+
+
 # --- secrets -----------------------------------------------------------------
 
 PATTERNS = (
