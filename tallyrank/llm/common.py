@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,30 @@ from pyspark.sql import functions as F
 #: Texts handled at a time inside a Python worker.
 SLICE = 256
 
+#: Rows that go to a Python worker at a time in jobs that :func:`small_batches` has run.
+BATCH = 1024
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(work: Callable) -> Callable:
+    """Runs the jobs of ``work(df, …)`` with at most ``BATCH`` rows in an Arrow batch.
+
+    A batch of texts is held several times, in the JVM outside its heap and in the Python
+    worker. What is only planned here and run later keeps the session's own setting.
+    """
+
+    @wraps(work)
+    def bounded(df: DataFrame, *args, **kwargs):
+        conf = df.sparkSession.conf
+        before = conf.get(_BATCH_CONF)
+        conf.set(_BATCH_CONF, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+        try:
+            return work(df, *args, **kwargs)
+        finally:
+            conf.set(_BATCH_CONF, before)
+
+    return bounded
+
 
 def fresh(name: str) -> str:
     """A column name no input has."""

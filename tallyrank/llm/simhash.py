@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import arrays, fresh, texts
+from tallyrank.llm.common import arrays, fresh, small_batches, texts
 from tallyrank.session import write_through
 
 SEED = 42
@@ -372,7 +372,7 @@ def profile_of(text: str | None, words: int, similarity: float, common: np.ndarr
     if len(common):
         late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
     own = own[np.argsort(late, kind="stable")]
-    return n, own[:n - math.ceil(similarity * n - ROUNDING) + 1], cells
+    return n, own[:n - math.ceil(similarity * n - ROUNDING) + 1].copy(), cells
 
 
 def _profiles(df: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
@@ -464,6 +464,7 @@ def alike_components(
     return joined if more.isEmpty() else connected(links.union(more))
 
 
+@small_batches
 def one_of_each(
     df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, similarity: float = 0.8,
     marks: int = 2, radius: int = 6,

@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyrank.llm import imatch, queries, simhash, vptree
+from tallyrank.llm import common, imatch, queries, simhash, vptree
 
 # --- SimHash -----------------------------------------------------------------
 
@@ -340,3 +341,18 @@ def test_one_of_each_equals_all_pairs(spark, sf_dir, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.one_of_each(table).collect()} == brute_one_of_each(rows)
+
+
+def test_small_batches_hold_for_the_work_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    @common.small_batches
+    def work(df, fails):
+        assert int(df.sparkSession.conf.get(name)) <= common.BATCH
+        return 1 // (1 - fails)
+
+    assert work(spark.range(1), 0) == 1
+    with pytest.raises(ZeroDivisionError):
+        work(spark.range(1), 1)
+    assert spark.conf.get(name) == before
