@@ -291,3 +291,46 @@ def test_comparison_has_all_models(table, fitted):
     rows = compare.compare_models(table, fitted, trees=3, rounds=2, depth=4).collect()
     assert len(rows) == 10 and len({(r.model, r.split) for r in rows}) == 10
     assert all(r.rmse < 3 for r in rows)
+
+
+# --- gradient boosting in blocks ---
+
+
+@pytest.mark.parametrize("loss", ["squared", "absolute"])
+def test_gradient_boosting_is_that_of_mllib(table, loss):
+    """On features whose values are all candidates, the same trees; many blocks and renewed sums change nothing."""
+    settings = {"lossType": loss, "stepSize": 0.3, "maxIter": 7, "maxDepth": 3}
+    names = ["number_in_season", "title_len", "mean_words", "n_places"]
+    uneven = table.withColumn("rating", F.col("rating") + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000)
+    vectors = stack.assembler(names).transform(uneven.repartition(3)).cache()
+    want = GBTRegressor(featuresCol="features", labelCol="rating", predictionCol="p", **settings).fit(vectors)
+    got = compare.gradient_boosting(rounds=7, checkpointInterval=2, **{k: v for k, v in settings.items() if k != "maxIter"}).fit(vectors)
+    pairs = got.transform(want.transform(vectors)).select("p", "predicted").collect()
+    assert [r["predicted"] for r in pairs] == pytest.approx([r["p"] for r in pairs])
+    assert list(got.featureImportances) == pytest.approx(list(want.featureImportances), abs=1e-9)
+
+
+def test_a_round_of_gradient_boosting_is_one_short_job_a_level(spark, table):
+    vectors = stack.assembler().transform(table).cache()
+    vectors.count()
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"rounds{rounds}", "")
+        compare.gradient_boosting(rounds=rounds, lossType="absolute").fit(vectors)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(f"rounds{rounds}"))
+
+    assert jobs(12) - jobs(2) <= 10 * 3
+
+
+def test_gradient_boosting_survives_saving_and_holds_smaller_models(spark, table, tmp_path):
+    vectors = stack.assembler().transform(table)
+    model = compare.gradient_boosting(rounds=5, lossType="absolute").fit(vectors)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    back = search.Store(spark, str(tmp_path)).load("../m")
+    a, b = (m.transform(vectors).orderBy("id").select("predicted").collect() for m in (model, back))
+    assert a == b
+    less = compare.gradient_boosting(rounds=3, lossType="absolute").fit(vectors)
+    a, b = (m.transform(vectors).orderBy("id").select("predicted").collect() for m in (model.upto(3), less))
+    assert a == b
