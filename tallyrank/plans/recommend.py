@@ -11,7 +11,8 @@ from tallyrank.functions.scalars import parse_flag
 from tallyrank.functions.text import contains_flag, keyword_score, normalise, odds, song_flags
 from tallyrank.operators.impute import dropna_any
 from tallyrank.operators.rank import cascade, kth_floor
-from tallyrank.session import write_through
+from tallyrank.plans.features import DEALT, ROWS
+from tallyrank.session import partition_count, write_through
 from tallyrank.spec import CUTS, PRIORITIES, ItemSpec, LineSpec, Stage, Terms
 
 KEYS = ("name", "place", "priority", "song", "politics")
@@ -62,13 +63,22 @@ def _flag(lowered: str, term: str) -> Column:
 
 
 def match_odds(
-    lines: DataFrame, key: str, column: str, wanted: Sequence[str]
+    lines: DataFrame, key: str, column: str, wanted: Sequence[str], *, rows: int = ROWS
 ) -> DataFrame:
-    """Matched rows, other rows and their odds per group and term, all terms in one scan."""
-    flagged = lines.where(F.col(key).isNotNull()).select(key, F.lower(column).alias("_c"))
-    sums = flagged.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(_flag("_c", t)).alias(f"_t{i}") for i, t in enumerate(wanted)],
+    """Matched rows, other rows and their odds per group and term, all terms in one scan.
+
+    About ``rows`` lines come to a partition; those of one group are dealt out before they are summed.
+    """
+    flagged = lines.where(F.col(key).isNotNull()).select(
+        key, F.lower(column).alias("_c"), (F.spark_partition_id() % DEALT).alias("_from")
+    )
+    parts = partition_count(lines, rows)
+    flags = [_flag("_c", t).alias(f"_t{i}") for i, t in enumerate(wanted)]
+    counted = flagged.select(key, "_from", *flags).repartition(parts, key, "_from").groupBy(key, "_from").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_t{i}").alias(f"_t{i}") for i in range(len(wanted))]
+    )
+    sums = counted.repartition(parts, key).groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in ("_n", *[f"_t{i}" for i in range(len(wanted))])]
     )
     rows = F.array(*[
         F.struct(F.lit(t).alias("term"), F.col(f"_t{i}").alias("matched")) for i, t in enumerate(wanted)

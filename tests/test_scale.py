@@ -276,3 +276,15 @@ def test_neighbours_beyond_a_block_and_in_pieces(spark, cell_rows, piece):
     assert [r["predicted"] for r in few.collect()] == pytest.approx([sum(r[3] for r in rows[:3]) / 3] * 91)
     assert knn_predict(known.limit(0), asked, ["a", "b"], "y", weights=[1.0, 0.0]).count() == 0
     assert knn_predict(known, asked.limit(0), ["a", "b"], "y", weights=[1.0, 0.0]).count() == 0
+
+
+def test_line_sums_get_more_partitions_with_more_lines(spark, sf_dir, sorted_rows):
+    """The memory of a task stays the same as lines grow."""
+    lines = fx.lines(spark, sf_dir)
+    for work in (
+        lambda **o: features.line_features(lines, LineSpec(), "red", **o),
+        lambda **o: recommend.match_odds(lines, "item_id", "place", ("nation_1", "nation_2"), **o),
+    ):
+        fine = work(rows=300)
+        assert fine.rdd.getNumPartitions() >= lines.count() / 300 > work().rdd.getNumPartitions()
+        assert sorted_rows(fine) == sorted_rows(work())
