@@ -246,6 +246,18 @@ def test_url_score_is_the_models_log_ratio(spark):
     assert np.isclose(got, want)
 
 
+def test_url_models_count_all_urls(spark):
+    """Pairs of symbols that a dozen of 60,000 URLs hold are all in the model."""
+    i = F.col("id")
+    common = spark.range(60_000).select(F.concat(F.lit("http://a"), i.cast("string"), F.lit(".com/")).alias("url"))
+    letter = [F.chr(F.lit(97) + x) for x in (i % 10, F.floor(i / 10) % 10)]
+    rare = spark.range(1200).select(F.concat(F.lit("http://b"), i.cast("string"), F.lit(".com/~"), *letter).alias("url"))
+    bad = spark.range(40).select(F.concat(F.lit("http://casino.a"), i.cast("string"), F.lit(".com/")).alias("url"))
+    model = urlfilter.fit(common.unionByName(rare).unionByName(bad), order=2)
+    held = {gram for part in model.table.first()["parts"] for gram in part}
+    assert {f"~{a}{b}" for a in "abcdefghij" for b in "abcdefghij"} <= held
+
+
 def url_table():
     rng = random.Random(3)
     words = ["casino", "bets", "poker"]
