@@ -334,3 +334,21 @@ def test_gradient_boosting_survives_saving_and_holds_smaller_models(spark, table
     less = compare.gradient_boosting(rounds=3, lossType="absolute").fit(vectors)
     a, b = (m.transform(vectors).orderBy("id").select("predicted").collect() for m in (model.upto(3), less))
     assert a == b
+
+
+# --- AdaBoost.R2 in blocks ---
+
+
+def test_a_round_of_boosting_is_one_short_job_a_level_and_one_for_its_losses(spark, table):
+    vectors = stack.assembler().transform(table).cache()
+    vectors.count()
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"boosted{rounds}", "")
+        model = compare.boosting(rounds=rounds).fit(vectors)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(model.trees) == rounds
+        return len(tracker.getJobIdsForGroup(f"boosted{rounds}"))
+
+    assert jobs(4) - jobs(2) <= 2 * (3 + 1)
