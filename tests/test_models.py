@@ -352,3 +352,11 @@ def test_a_round_of_boosting_is_one_short_job_a_level_and_one_for_its_losses(spa
         return len(tracker.getJobIdsForGroup(f"boosted{rounds}"))
 
     assert jobs(4) - jobs(2) <= 2 * (3 + 1)
+
+
+def test_large_trees_are_scored_as_small_ones(table, monkeypatch):
+    vectors = stack.assembler().transform(table)
+    model = compare.boosting(rounds=3).fit(vectors)
+    a = model.transform(vectors).orderBy("id").select("predicted").collect()
+    monkeypatch.setattr("tallyrank.ml.adaboost.MOST_NODES", 0)
+    assert a == model.transform(vectors).orderBy("id").select("predicted").collect()
