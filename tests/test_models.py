@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from tallyrank.ml import compare, search, split, stack
+from tallyrank.ml import compare, search, split, stack, trees
 from tallyrank.ml.adaboost import AdaBoostR2, AdaBoostR2Model, loss_column, reweighted, weighted_median, weighted_pairs
 from tallyrank.plans import charts
 from tallyrank.plans.features import FEATURES
@@ -360,3 +360,28 @@ def test_large_trees_are_scored_as_small_ones(table, monkeypatch):
     a = model.transform(vectors).orderBy("id").select("predicted").collect()
     monkeypatch.setattr("tallyrank.ml.adaboost.MOST_NODES", 0)
     assert a == model.transform(vectors).orderBy("id").select("predicted").collect()
+
+
+# --- rows that count by a weight ---
+
+
+@pytest.fixture(scope="module")
+def repeated(table):
+    """Rows of features of few values as they are, and equal ones once with their number."""
+    tagged = split.with_folds(table, 2).select("number_in_season", "cycle_year", F.round("rating", 0).alias("rating"), "fold")
+    vectors = stack.assembler(["number_in_season", "cycle_year"])
+    return vectors.transform(tagged).cache(), vectors.transform(trees.equal_rows(tagged)).cache()
+
+
+@pytest.mark.parametrize("learner", [compare.forest, compare.boosting, compare.gradient_boosting])
+def test_weighted_rows_give_the_model_and_the_errors_of_repeated_rows(repeated, learner):
+    rows, groups = repeated
+    settings = {"trees": 1, "depth": 5, "bootstrap": False} if learner is compare.forest else {"rounds": 3}
+    plain, weighted = learner(**settings), learner(**settings, weightCol="weight")
+    assert groups.count() < rows.count() == groups.agg(F.sum("weight")).first()[0]
+    pairs = weighted.fit(groups).transform(plain.fit(rows).transform(rows).withColumnRenamed("predicted", "p"))
+    pairs = pairs.select("p", "predicted").collect()
+    assert [r["predicted"] for r in pairs] == pytest.approx([r["p"] for r in pairs])
+    assert search.cv_rmse(weighted, groups, 2) == pytest.approx(search.cv_rmse(plain, rows, 2))
+    a, b = (search.holdout_rmse(m.fit(t), t, "predicted") for m, t in ((plain, rows), (weighted, groups)))
+    assert a == pytest.approx(b)
