@@ -288,3 +288,14 @@ def test_line_sums_get_more_partitions_with_more_lines(spark, sf_dir, sorted_row
         fine = work(rows=300)
         assert fine.rdd.getNumPartitions() >= lines.count() / 300 > work().rdd.getNumPartitions()
         assert sorted_rows(fine) == sorted_rows(work())
+
+
+def test_lines_are_joined_in_partitions_of_bounded_size(spark, sf_dir, sorted_rows, monkeypatch):
+    """However many lines there are, no task of the join with their parts sorts more than so many."""
+    want = sorted_rows(fx.lines(spark, sf_dir).drop("words"))
+    monkeypatch.setattr(fx, "LINE_ROWS", 600)
+    lines = fx.lines(spark, sf_dir)
+    parts = -(-fx.table(spark, sf_dir, "lineitem").count() // 600)
+    assert "hashpartitioning(l_partkey" in (plan := lines._jdf.queryExecution().executedPlan().toString())
+    assert parts > 4 and f", {parts})" in plan.split("hashpartitioning(l_partkey", 1)[1].split("\n", 1)[0]
+    assert sorted_rows(lines.drop("words")) == want
