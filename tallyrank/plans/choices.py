@@ -23,13 +23,15 @@ from tallyrank.spec import CUTS, PRIORITIES, ItemSpec, LineSpec, Terms
 
 
 def term_counts(lines: DataFrame, key: str, column: str, choices: DataFrame, value: str = "value") -> DataFrame:
-    """(id, value, matched): how many lines of an item hold a choice, where any do."""
-    texts = lines.where(F.col(key).isNotNull()).groupBy(
-        F.col(key).alias("id"), F.lower(column).alias("_text")
-    ).agg(F.count(F.lit(1)).alias("_n")).where("_text is not null")
-    texts = write_through(texts, "line-texts")
-    held = held_choices(texts.select("_text").distinct(), choices, value)
-    return texts.join(held, "_text").groupBy("id", "value").agg(F.sum("_n").alias("matched"))
+    """(id, value, matched): how many lines of an item hold a choice, where any do.
+
+    The distinct texts that hold a choice are written first: by their size as files Spark tells whether
+    they can be sent to the lines, so that of these only what matches is shuffled.
+    """
+    texts = lines.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.lower(column).alias("_text"))
+    texts = texts.where("_text is not null")
+    held = write_through(held_choices(texts.select("_text").distinct(), choices, value), "held-choices")
+    return texts.join(held, "_text").groupBy("id", "value").agg(F.count(F.lit(1)).alias("matched"))
 
 
 def _at_least_floor(rows: DataFrame, by: str, value: str, cut: int) -> DataFrame:
@@ -80,8 +82,8 @@ def recommend_choices(
 ) -> DataFrame:
     """The whole recommendation table with names and places as tables of any length.
 
-    Of ``terms`` only the lists of songs and topics are used. Written in between: counts per item and
-    text, scored items, odds and winners, each far smaller than the lines or the grid.
+    Of ``terms`` only the lists of songs and topics are used. Written in between: names and places of the
+    lines, which are read four times, texts that hold a choice, scored items, odds and winners.
     """
     fixed = Terms((), (), terms.song_text, terms.song_name, terms.topic)
     totals = line_scores(lines, fixed, line_spec).drop("matched_names", "matched_places")
@@ -91,8 +93,10 @@ def recommend_choices(
         "id", "rating", "n_lines", F.col("song").alias("song_score"), F.col("topic").alias("topic_score")
     ), "scored-items")
 
+    narrow = write_through(lines.select(line_spec.key, line_spec.name, line_spec.place), "line-names")
+
     def matched(column: str, choices: DataFrame, name: str) -> DataFrame:
-        counts = term_counts(lines, line_spec.key, column, choices, value).join(base.select("id", "n_lines"), "id")
+        counts = term_counts(narrow, line_spec.key, column, choices, value).join(base.select("id", "n_lines"), "id")
         ratio: Column = odds(F.col("matched"), F.col("n_lines") - F.col("matched"))
         return write_through(counts.select("id", F.col("value").alias(name), ratio.alias(f"{name}_odds")), f"{name}-odds")
 

@@ -23,3 +23,20 @@ def test_counts_of_what_matches(spark):
     wanted = spark.createDataFrame([(" OLD ",), ("cold",), ("none",), ("",)], "value string")
     got = {tuple(r) for r in choices.term_counts(lines, "k", "who", wanted).collect()}
     assert got == {(1, " OLD ", 2), (1, "cold", 2), (2, " OLD ", 1), (2, "cold", 1)}
+
+
+def test_only_texts_that_hold_a_choice_are_written(spark, monkeypatch):
+    """Counting choices shuffles and writes no row for a line that holds none."""
+    written = []
+    monkeypatch.setattr(choices, "write_through", lambda df, name: written.append(df.count()) or df)
+    texts = ["Red hen", "red fox", None, *[f"text {i}" for i in range(40)]]
+    lines = spark.createDataFrame([(i % 5 if i != 1 else None, t) for i, t in enumerate(texts * 3)], "k long, who string")
+    wanted = spark.createDataFrame([("red",), ("fox",), ("owl",)], "value string")
+    got = {tuple(r) for r in choices.term_counts(lines, "k", "who", wanted).collect()}
+    want = {}
+    for r in lines.collect():
+        for c in ("red", "fox"):
+            if r.k is not None and r.who and c in r.who.lower():
+                want[r.k, c] = want.get((r.k, c), 0) + 1
+    assert got == {(*at, n) for at, n in want.items()}
+    assert written == [3]
