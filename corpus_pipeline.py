@@ -1,4 +1,8 @@
-"""From documents to packed token sequences, in stages that are each written and read again."""
+"""From documents to packed token sequences, in stages that are each written and read again.
+
+A stage's rows are written after its function has returned, so each sets the session itself to small batches of texts
+(``lower_batches``) and leaves it so: what one machine holds at a time then does not depend on the session's settings.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrank.llm import langid, packing, secrets, simhash, toxicity
+from tallyrank.llm.common import lower_batches
 from tallyrank.llm.queries import vocabulary
 from tallyrank.session import scratch_path
 
@@ -21,22 +26,26 @@ MOST_TOXIC = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language known from the labelled ones."""
+    lower_batches(spark)
     return langid.accepted(docs, langid.fit(docs), least=LEAST_LANGUAGE)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that a model of the labelled ones does not find toxic."""
+    lower_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean(docs, toxicity.fit(docs, labels), most=MOST_TOXIC)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: shingles of five words, 0.8 alike."""
+    lower_batches(spark)
     return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret; ``n_chars`` is that of the masked text."""
+    lower_batches(spark)
     found = secrets.scan(docs, secrets.fit(docs), out="_secrets")
     masked = secrets.masked(found, "text", F.col("_secrets.all"))
     if "n_chars" in docs.columns:
@@ -46,6 +55,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in windows of equal size."""
+    lower_batches(spark)
     return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json")))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import arrays, code_points, drawn, letters, share_of, texts
+from tallyrank.llm.common import arrays, code_points, drawn, letters, share_of, texts, works_for
 
 UNKNOWN = "und"
 #: Code points of folded text counted at a time; longer texts are counted in blocks.
@@ -115,6 +115,7 @@ class Profiles:
 
         @F.arrow_udf("struct<lang:string,score:double>")
         def judged(column: pa.Array) -> pa.Array:
+            works_for("langid")
             found = [profiles.judge(t) for _, part in texts(column) for t in part]
             return pa.StructArray.from_arrays(
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

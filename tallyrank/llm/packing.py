@@ -26,7 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import arrays, texts
+from tallyrank.llm.common import arrays, keeps, texts, works_for
 from tallyrank.session import write_through
 
 WINDOW = 2048
@@ -89,17 +89,22 @@ class Encoder:
     """Ids as little-endian 32-bit numbers, with a store of stretches."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.merger = _merger(described)
         self.special = tuple(t["content"] for t in described.get("added_tokens", []))
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, read where the merger cannot do."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, parts: list[str]) -> list[bytes]:
         if self.merger and not any(s in p for s in self.special for p in parts):
             encode = self.merger.encode_ordinary
@@ -132,6 +137,9 @@ def load(path: str) -> Encoder:
     return Encoder(path)
 
 
+keeps("packing", load.cache_clear)
+
+
 def pieces(
     df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", *, window: int = WINDOW, end: int = END,
     keep_ids: bool = False,
@@ -144,6 +152,7 @@ def pieces(
     schema += ", ids array<int>" if keep_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        works_for("packing")
         encoder = load(tokenizer)
         for keys, column in arrays(batches, "doc_id", "text"):
             for at, part in texts(column):

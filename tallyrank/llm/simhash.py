@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import arrays, fresh, small_batches, texts
+from tallyrank.llm.common import arrays, fresh, small_batches, texts, works_for
 from tallyrank.session import write_through
 
 SEED = 42
@@ -103,6 +103,7 @@ def fingerprint(text: Column, words: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def marked(column: pa.Array) -> pa.Array:
+        works_for("simhash")
         found = [fingerprint_of(t, words) for _, part in texts(column) for t in part]
         return pa.array(np.array(found, dtype=np.uint64).view(np.int64))
 
@@ -337,6 +338,7 @@ def shingle_set(text: Column, words: int) -> Column:
 
     @F.arrow_udf("array<long>")
     def shingled(column: pa.Array) -> pa.Array:
+        works_for("simhash")
         found = [np.unique(hashes_of(t, words)).view(np.int64) for _, part in texts(column) for t in part]
         return pa.array(found, pa.list_(pa.int64()))
 
@@ -381,6 +383,7 @@ def _profiles(df: DataFrame, text: str, words: int, similarity: float) -> DataFr
 
     @F.arrow_udf("struct<n:int,first:array<long>,cells:binary>")
     def profiled(column: pa.Array) -> pa.Array:
+        works_for("simhash")
         found = [profile_of(t, words, similarity, common) for _, part in texts(column) for t in part]
         n, first, cells = zip(*found) if found else ((), (), ())
         return pa.StructArray.from_arrays(

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyrank.llm.common import arrays, code_points, drawn, fresh, letters, share_of, texts
+from tallyrank.llm.common import arrays, code_points, drawn, fresh, letters, share_of, texts, works_for
 from tallyrank.session import write_through
 
 FUZZY_FROM, FUZZY_STEM = 4, 6
@@ -258,6 +258,7 @@ class Toxicity:
 
         @F.arrow_udf("double")
         def scored(column: pa.Array) -> pa.Array:
+            works_for("toxicity")
             if model.automaton is None:
                 return pa.array([model.otherwise] * len(column), pa.float64())
             matcher = Matcher(model.automaton)

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from tallyrank.llm import common, packing
+from tallyrank.llm.queries import vocabulary
 from tallyrank.session import scratch_path
 
 
@@ -124,3 +126,39 @@ def test_run_is_the_stages_in_order(spark, sf_dir, steps):
     order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     got = sorted(map(tuple, pipeline.run(spark, sf_dir).select(*order).collect()))
     assert got == sorted(map(tuple, steps["packing"][1].select(*order).collect()))
+
+
+def test_rows_of_every_stage_are_written_in_small_batches(spark, sf_dir):
+    """They are written after the stage's function has returned, so that the session's settings count."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
+    before = {n: spark.conf.get(n) for n in names}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    try:
+        for name, stage in pipeline.STAGES:
+            for n, v in names.items():
+                spark.conf.set(n, v)
+            stage(spark, docs, sf_dir)
+            assert [int(spark.conf.get(n)) for n in names] == [common.BATCH, common.READ], name
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_a_worker_lets_go_of_another_stages_vocabulary():
+    packing.load(vocabulary("byte_bpe_50k.json"))
+    common.works_for("packing")
+    assert packing.load.cache_info().currsize == 1
+    common.works_for("simhash")
+    assert packing.load.cache_info().currsize == 0
+
+
+def test_the_tokenizer_is_read_only_where_the_merger_cannot_do():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    encoder, own = packing.Encoder(path), Tokenizer.from_file(path)
+    special = encoder.special[0] if encoder.special else ""
+    for text, read in (("plain words  and more\n", False), (f"one {special} two", bool(special))):
+        want = own.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(encoder.encode([text])[0]).cast("I")) == want
+        assert ("tokenizer" in vars(encoder)) == read
