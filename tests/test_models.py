@@ -6,7 +6,8 @@ import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from tallyrank.ml import compare, search, split, stack, trees
+from tallyrank.catalog import queries
+from tallyrank.ml import adaboost, compare, search, split, stack, trees
 from tallyrank.ml.adaboost import AdaBoostR2, AdaBoostR2Model, loss_column, reweighted, weighted_median, weighted_pairs
 from tallyrank.plans import charts
 from tallyrank.plans.features import FEATURES
@@ -385,3 +386,43 @@ def test_weighted_rows_give_the_model_and_the_errors_of_repeated_rows(repeated,
     assert search.cv_rmse(weighted, groups, 2) == pytest.approx(search.cv_rmse(plain, rows, 2))
     a, b = (search.holdout_rmse(m.fit(t), t, "predicted") for m, t in ((plain, rows), (weighted, groups)))
     assert a == pytest.approx(b)
+
+
+def test_weighted_r2_is_that_of_repeated_rows(repeated):
+    rows, groups = repeated
+    plain, weighted = compare.boosting(rounds=3), compare.boosting(rounds=3, weightCol="weight")
+    a, b = (search.fold_scores(m, t, [{}], 2, "r2")[0] for m, t in ((plain, rows), (weighted, groups)))
+    assert a == pytest.approx(b)
+
+
+# --- few distinct rows, all rounds in one task ---
+
+
+def test_rounds_in_one_task_are_those_of_many_tasks(spark, table, monkeypatch):
+    vectors = stack.assembler().transform(table.repartition(3)).cache()
+    vectors.count()
+    tracker = spark.sparkContext.statusTracker()
+
+    def fitted(rounds, loss):
+        spark.sparkContext.setJobGroup(f"{loss}{rounds}{adaboost.ROWS}", "")
+        model = compare.boosting(rounds=rounds, loss=loss, checkpointInterval=2).fit(vectors)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return model, len(tracker.getJobIdsForGroup(f"{loss}{rounds}{adaboost.ROWS}"))
+
+    for loss in adaboost.LOSSES:
+        (near, jobs), (_, fewer) = fitted(6, loss), fitted(2, loss)
+        assert jobs == fewer and len(near.trees) == 6
+        with monkeypatch.context() as patched:
+            patched.setattr(adaboost, "ROWS", 150)
+            spread, more = fitted(6, loss)
+        assert more > jobs
+        assert near.weights == pytest.approx(spread.weights)
+        a, b = (m.transform(vectors).orderBy("id").select("predicted").collect() for m in (near, spread))
+        assert [r["predicted"] for r in a] == pytest.approx([r["predicted"] for r in b])
+
+
+def test_the_search_draws_from_the_whole_range_of_rounds(spark, sf_dir, monkeypatch):
+    spaces = []
+    monkeypatch.setattr(search, "random_search", lambda _, train, space, **options: spaces.append(space) or search.Search([], [], 0, None))
+    queries.random_search(spark, sf_dir)
+    assert search.Between(*search.BOOST_ROUNDS) in spaces[0].values()
